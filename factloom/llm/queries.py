@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import url_filter
+from factloom.llm import media, mixing, url_filter
 from factloom.llm.common import table
 
 #: (host, path, action) of the rules that the URL query applies.
@@ -22,8 +22,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.encode(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op7_source_mix": op7_source_mix,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL = {
