@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, media, mixing, simhash, url_filter
+from factloom.llm import decontaminate, licenses, media, mixing, pii, simhash, url_filter
 from factloom.llm.common import table
 
 #: (host, path, action) of the rules that the URL query applies.
@@ -26,6 +26,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode(table(spark, sf_dir, "documents")))
 
@@ -42,8 +50,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pii": op3_pii,
     "op5_simhash": op5_simhash,
     "op7_source_mix": op7_source_mix,
+    "op8_licenses": op8_licenses,
     "op10_media": op10_media,
 }
 
