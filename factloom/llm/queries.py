@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, licenses, media, mixing, pii, simhash, url_filter
-from factloom.llm.common import table
+from factloom.llm import decontaminate, language, licenses, media, mixing, pii, simhash, url_filter
+from factloom.llm.common import held_out, table
 
 #: (host, path, action) of the rules that the URL query applies.
 URL_RULES = [
@@ -43,6 +44,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    told = language.identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
+    return told.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode(table(spark, sf_dir, "documents")))
 
@@ -54,6 +62,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_source_mix": op7_source_mix,
     "op8_licenses": op8_licenses,
+    "op9_language": op9_language,
     "op10_media": op10_media,
 }
 
