@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, language, licenses, media, mixing, pii, simhash, url_filter
+from factloom.llm import decontaminate, language, licenses, media, mixing, pii, quality, simhash, url_filter
 from factloom.llm.common import held_out, table
 
 #: (host, path, action) of the rules that the URL query applies.
@@ -31,6 +31,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.assess(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op7_source_mix": op7_source_mix,
     "op8_licenses": op8_licenses,
