@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, language, licenses, media, mixing, pii, quality, simhash, url_filter
+from factloom.llm import decontaminate, language, licenses, media, mixing, pii, quality, simhash, suffix_dedup, url_filter
 from factloom.llm.common import held_out, table
 
 #: (host, path, action) of the rules that the URL query applies.
@@ -41,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
