@@ -15,11 +15,11 @@ matches; items of equal text are all reported; repeated documents are reported a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.2
@@ -158,13 +158,16 @@ def leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no passage of any item."""
-    for block in blocks(benchmark, block_chars=block_chars):
 
+    def clean(block: list[tuple[object, str]]) -> Callable[..., Column]:
         @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], block=block) -> Iterator[pd.Series]:
+        def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             matcher = Matcher(block, rate, min_words)
             for batch in texts:
                 yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
 
-        docs = docs.where(clean(F.col(text_col)))
+        return of
+
+    for block in blocks(benchmark, block_chars=block_chars):
+        docs = docs.where(clean(block)(F.col(text_col)))
     return docs
