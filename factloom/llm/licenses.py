@@ -12,6 +12,8 @@ counted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +127,9 @@ SENTENCES = [
     ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
 ]
 
-#: Substrings of the lower-cased text, one of which every base phrase and every keyword's text contains.
-GATES = ["licen", "cc", "gpl", "public domain", "hereby", "all rights", "redistribution", "free software", "unencumbered", "warranty", "creative", "wtfpl", "mulan", "accompanying", "this file", "source code"]
+#: Every base phrase and every rule needs one of these in the lower-cased text, or the expression below.
+GATES = ["licen", "gpl", "wtfpl", "mulan", "creative", "reserved", "hereby", "redistribut", "unencumbered", "warranty"]
+GATE_WORDS = rf"cc(?:0|{GAP}by)|public{GAP}domain"
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -150,8 +153,12 @@ def _places(words: Column, line: Column, phrase: str) -> Column:
 
 def _detections(line: Column) -> Column:
     """Array of (start, -length, -priority, label, weight) of every rule whose keyword the line contains."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("key"), F.lit(x).alias("regex"), F.lit(p).alias("priority"), F.lit(w).alias("weight")) for a, k, x, p, w in rules()])
-    tried = F.filter(table, lambda r: line.contains(r["key"]))
+    by_key: dict[str, list[Column]] = {}
+    for label, key, regex, priority, weight in rules():
+        rule = F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight"))
+        by_key.setdefault(key, []).append(rule)
+    # Each keyword is looked up once, for all its rules.
+    tried = F.flatten(F.array_compact(F.array(*[F.when(line.contains(key), F.array(*group)) for key, group in by_key.items()])))
     empty = F.array().cast("array<struct<start:int,less:int,rank:int,label:string,weight:double>>")
 
     def of(r: Column) -> Column:
@@ -173,13 +180,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), low.alias("low"))
-    gate = F.exists(F.array(*[F.lit(g) for g in GATES]), lambda g: F.col("low").contains(g))
+    gate = reduce(lambda a, b: a | b, [F.col("low").contains(g) for g in GATES]) | F.col("low").rlike(GATE_WORDS)
     line = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace("low", GAP, " ")), F.lit(" ")))
     rows = rows.select("id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), line.alias("line"))
 
     none = F.array().cast("array<int>")
-    words = F.split(F.trim("line"), " ")
-    places = F.array(*[_places(words, F.col("line"), p) for p, _ in BASE])
+    # A column of its own: inside the lambdas of ``_places`` the expression would be split anew for every word.
+    based = reduce(lambda a, b: a | b, [F.col("line").contains(f" {p} ") for p, _ in BASE])
+    rows = rows.withColumn("words", F.when(based, F.split(F.trim("line"), " ")))
+    places = F.array(*[_places(F.col("words"), F.col("line"), p) for p, _ in BASE])
     detected = F.sort_array(_detections(F.col("line")))
     rows = rows.select(
         "id", "n_words",
