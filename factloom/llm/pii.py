@@ -114,9 +114,9 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spans = [F.when(gates[k], _base(F.col("text"), k)).otherwise(none).alias(k) for k in KINDS[:4]]
     tokens = F.when(F.col("digit"), _tokens(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>"))
     rows = rows.select("id", F.when(F.col("digit"), F.sha2(F.col("text").cast("binary"), 256)).alias("key"), *spans, tokens.alias("tokens"))
-    known = F.flatten(F.array(*KINDS[:4]))
-    marked = F.transform("tokens", lambda t: t.withField("known", F.exists(known, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
-    return rows.withColumn("tokens", marked)
+    rows = rows.withColumn("base", F.flatten(F.array(*KINDS[:4])))
+    marked = F.transform("tokens", lambda t: t.withField("known", F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    return rows.withColumn("tokens", marked).drop("base")
 
 
 def pattern_scores(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
