@@ -35,28 +35,40 @@ from pyspark.sql import functions as F
 
 WIDTH = 50
 PIECE = 20
-#: Bytes of text in a group of documents, and of stretches in one suffix array, about; marks in a bucket, about.
-GROUP_BYTES, SHARD_BYTES, BUCKET_MARKS = 8 << 20, 4 << 20, 1 << 20
+#: Bytes of text in a group of documents, of text for every shard, and of stretches in one suffix array; marks in a
+#: bucket; all about.
+GROUP_BYTES, TEXT_BYTES, SHARD_BYTES, BUCKET_MARKS = 4 << 20, 1 << 19, 3 << 20, 1 << 18
 #: Strings in one stretch at most, and bytes whose marks are computed at once.
-LONGEST, BLOCK = 256, 1 << 20
+LONGEST, BLOCK = 256, 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+_known: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for the next block."""
+    if not _known or len(_known[0]) < n:
+        made = []
+        for base in (_ODD, _BACK):
+            out = np.full(max(n, 2 * BLOCK), base)
+            out[0] = 1
+            made.append(np.multiply.accumulate(out))
+        _known[:] = made
+    return _known[0][:n], _known[1][:n]
+
+
 def marks(data: np.ndarray) -> np.ndarray:
     """For every start of a string of WIDTH bytes in ``data`` its mark, 48 bits."""
     n = len(data) - PIECE + 1
+    power, back = _powers(len(data))
     with np.errstate(over="ignore"):
-        power = np.full(len(data), _ODD)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
         # A sum's terms start at the power of its place; the inverse power there makes equal pieces equal.
-        back = np.full(n, _BACK)
-        back[0] = 1
-        h = (total[PIECE:] - total[:n]) * np.multiply.accumulate(back)
+        h = (total[PIECE:] - total[:n]) * back[:n]
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(32)
@@ -207,9 +219,10 @@ def common_prefixes(order: np.ndarray, eight: np.ndarray, starts: np.ndarray, co
     return out
 
 
-def least_ids(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, counts, ids): for every string of WIDTH bytes in ``texts``, text after text, the least id of all texts
-    that have it."""
+def least_ids(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, counts, heads, least): for every string of WIDTH bytes in ``texts``, text after text, the number of its
+    group of equal strings; how many strings each text has; and for every group, in suffix order, where its first
+    string stands in the texts joined by a byte, and the least id of all texts that have it."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     starts = np.concatenate(([0], (sizes + 1).cumsum()[:-1]))
@@ -222,49 +235,32 @@ def least_ids(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     shared = common_prefixes(order, eight, starts, counts, WIDTH)
     heads = np.flatnonzero(shared < WIDTH)
     least = np.minimum.reduceat(ids[owner[order]], heads)
-    of = np.empty(len(data), np.int64)
-    of[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
-    return of[at], counts, order[heads]
+    group = np.empty(len(data), np.int32)
+    group[order] = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(order))))
+    return group[at], counts, order[heads], least
 
 
 def merged_ids(texts: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(least ids of all strings, number of strings of each text), with one suffix array per ``shard_bytes`` of text."""
+    """(least id of every string, number of strings of each text), with one suffix array per ``shard_bytes`` of text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     part = (sizes.cumsum() - sizes) // shard_bytes
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    parts = []
-    for a, b in zip(cuts, np.append(cuts[1:], len(texts)), strict=True):
-        least, counts, heads = least_ids(texts[a:b], ids[a:b])
-        parts.append((least, counts, heads, b"\xff".join(texts[a:b]) + b"\xff"))
+    stops = np.append(cuts[1:], len(texts))
+    parts = [least_ids(texts[a:b], ids[a:b]) for a, b in zip(cuts, stops, strict=True)]
+    best = [least.copy() for _, _, _, least in parts]
     if len(parts) > 1:
-        # Each part's distinct strings, in suffix order, are looked up in the others' by binary search.
-        tables = [(np.lib.stride_tricks.sliding_window_view(np.frombuffer(d, np.uint8), WIDTH)[h].copy().view(f"S{WIDTH}").ravel(), h, d) for _, _, h, d in parts]
-        own, best = [], []
-        for (strings, heads, _), (least, counts, _, data) in zip(tables, parts, strict=True):
-            at = _string_starts(counts)
-            of = np.full(len(data), -1, np.int64)
-            of[at] = least
-            own.append((at, of))
-            best.append(of[heads].copy())
-        first = [b.copy() for b in best]
-        for i, (strings, _, _) in enumerate(tables):
-            for j, (others, _, _) in enumerate(tables):
+        # Every part's distinct strings, which its suffix array has in order, are looked up in the others'.
+        tables = []
+        for (_, _, heads, _), a, b in zip(parts, cuts, stops, strict=True):
+            data = np.frombuffer(b"\xff".join(texts[a:b]), np.uint8)
+            tables.append(np.lib.stride_tricks.sliding_window_view(data, WIDTH)[heads].copy().view(f"S{WIDTH}").ravel())
+        for i, strings in enumerate(tables):
+            for j, others in enumerate(tables):
                 if i != j:
                     at = np.minimum(np.searchsorted(others, strings), len(others) - 1)
                     hit = others[at] == strings
-                    best[i][hit] = np.minimum(best[i][hit], first[j][at[hit]])
-        for i, (least, counts, heads, data) in enumerate(parts):
-            # Equal strings of a part stand together in suffix order, from its head on: give all of them the head's id.
-            strings, all_starts = tables[i][0], own[i][0]
-            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), WIDTH)[all_starts].copy().view(f"S{WIDTH}").ravel()
-            parts[i] = (best[i][np.searchsorted(strings, windows)], counts, heads, data)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-
-def _string_starts(counts: np.ndarray) -> np.ndarray:
-    """Where the strings of joined texts start, given how many each text has."""
-    starts = np.concatenate(([0], (counts + WIDTH).cumsum()[:-1]))
-    return np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts)
+                    best[i][hit] = np.minimum(best[i][hit], parts[j][3][at[hit]])
+    return np.concatenate([b[p[0]] for b, p in zip(best, parts, strict=True)]), np.concatenate([p[1] for p in parts])
 
 
 # --- what groups and shards tell each other ------------------------------------------------------------------------
@@ -405,40 +401,41 @@ def _remove(n_shards: int):
         first = {b: s for b, s in _slices(_bucket(mark, n_shards)[order])}
         size = np.array([len(t) - WIDTH + 1 for t in texts], np.int64)
         single = least.copy()  # the least id of all strings of a text, where they agree
-        several: dict[int, np.ndarray] = {}
+        several = np.full(len(texts), -1, np.int64)  # else where its strings' ids begin in ``each``
+        parts, filled = [], 0
         for shard, blob in zip(answers["shard"][told], answers["blob"][told], strict=True):
             same, ids, mixed, each = _unzip(blob)
             mine = order[first[shard]]
             single[mine[np.frombuffer(same, np.int32)]] = np.frombuffer(ids, np.int64)
-            mixed, each = mine[np.frombuffer(mixed, np.int32)], np.frombuffer(each, np.int64)
-            for t, e in zip(mixed.tolist(), np.split(each, size[mixed].cumsum()[:-1]) if len(mixed) else [], strict=True):
-                several[t] = e
-        doc, start, count = group.doc[picked], group.start[picked], group.count[picked]
-        ids = group.ids[doc]
-        plain = np.ones(len(texts), bool)
-        plain[list(several)] = False
-        whole = np.flatnonzero(plain[which] & (single[which] < ids))
-        spans = [np.stack([doc[whole], start[whole], start[whole] + count[whole] + WIDTH - 1], axis=1)]
-        for i in np.flatnonzero(~plain[which]).tolist():
-            hit = np.flatnonzero(several[int(which[i])] < ids[i])
-            if len(hit):
-                heads = np.flatnonzero(np.diff(hit, prepend=-2) > 1)
-                tails = np.append(heads[1:], len(hit)) - 1
-                spans.append(np.stack([np.full(len(heads), doc[i]), start[i] + hit[heads], start[i] + hit[tails] + WIDTH], axis=1))
-        spans = np.concatenate(spans)
-        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+            mixed = mine[np.frombuffer(mixed, np.int32)]
+            several[mixed] = filled + size[mixed].cumsum() - size[mixed]
+            parts.append(np.frombuffer(each, np.int64))
+            filled += len(parts[-1])
+        each = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        # Documents stand one after another with a gap of one, so that runs of two never touch.
+        lengths = np.fromiter(map(len, group.texts), np.int64, len(group.texts))
+        base = (lengths + 1).cumsum() - lengths - 1
+        doc, count = group.doc[picked], group.count[picked]
+        at, ids = base[doc] + group.start[picked], group.ids[doc]
+        whole = np.flatnonzero((several[which] < 0) & (single[which] < ids))
+        part = np.flatnonzero(several[which] >= 0)
+        n = count[part]
+        step = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        hit = each[np.repeat(several[which[part]], n) + step] < np.repeat(ids[part], n)
+        single_begin = (np.repeat(at[part], n) + step)[hit]
+        begin = np.concatenate([at[whole], single_begin])
+        end = np.concatenate([at[whole] + count[whole] + WIDTH - 1, single_begin + WIDTH])
+        by = np.argsort(begin, kind="stable")
+        begin, reach = begin[by], np.maximum.accumulate(end[by])
+        new = np.ones(len(begin), bool)
+        new[1:] = begin[1:] > reach[:-1]
+        head = np.flatnonzero(new)
+        begin, end = begin[head], reach[np.append(head[1:], len(by))[: len(head)] - 1]
+        edges = np.searchsorted(begin, np.append(base, np.iinfo(np.int64).max)).tolist()
         rows = []
-        by_doc = dict(_slices(spans[:, 0]))
         for d, (key, text) in enumerate(zip(group.ids.tolist(), group.texts, strict=True)):
-            runs: list[tuple[int, int]] = []
-            if d in by_doc:
-                change = np.zeros(len(text) + 1, np.int64)
-                mine = spans[by_doc[d]]
-                np.add.at(change, mine[:, 1], 1)
-                np.add.at(change, mine[:, 2], -1)
-                edge = np.flatnonzero(np.diff((change.cumsum() > 0).astype(np.int8), prepend=0))
-                runs = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-            rows.append((key, text, runs))
+            mine = slice(edges[d], edges[d + 1])
+            rows.append((key, text, list(zip((begin[mine] - base[d]).tolist(), (end[mine] - base[d]).tolist(), strict=True))))
         rows += [(None, text, []) for text in docs.loc[docs["id"].isna(), "text"]]
         out = []
         for key, text, runs in rows:
@@ -455,6 +452,7 @@ def repeated_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
     group_bytes: int = GROUP_BYTES,
+    text_bytes: int = TEXT_BYTES,
     shard_bytes: int = SHARD_BYTES,
     bucket_marks: int = BUCKET_MARKS,
 ) -> DataFrame:
@@ -463,7 +461,7 @@ def repeated_spans(
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_groups = max(1, -(-total // group_bytes))
     n_buckets = max(1, -(-total // (16 * bucket_marks)))
-    n_shards = max(1, -(-total // shard_bytes))
+    n_shards = max(1, -(-total // text_bytes))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     gid = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n_groups))
