@@ -1,4 +1,8 @@
 """Named queries over the driver tables and the SQL each must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from factloom.plans import changes, facts, people, streams, texts
+from factloom.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "changes", "facts", "people", "streams", "texts"]
