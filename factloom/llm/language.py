@@ -243,8 +243,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(languages, (w * idf[:, None] * SCALE / t).astype(np.float32), b / t)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its probability; columns of these two names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -253,4 +253,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             names, scores = shared.value.predict(batch.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_said", predict(F.col(text_col))).select(*docs.columns, "_said.lang_pred", "_said.score")
+    kept = [c for c in docs.columns if c not in (pred_col, score_col)]
+    said = docs.withColumn("__said", predict(F.col(text_col)))
+    return said.select(*kept, F.col("__said.lang_pred").alias(pred_col), F.col("__said.score").alias(score_col))

@@ -28,10 +28,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A run of identifier characters with a digit in it.
-TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+"
-#: What a token must look like to be an instance: long, with several digits.
-INSTANCE = r"^(?=(?:[^0-9]*+[0-9]){2}).{8,}$"
+#: A run of identifier characters with a digit or an at sign in it.
+TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
+#: What a token must look like to be an instance: like an address, or long with several digits.
+INSTANCE = r"^[^@]++@[^@]|^(?=(?:[^0-9]*+[0-9]){2}).{8,}$"
 ROUNDS = 3
 #: Distinct known instances a pattern needs, its smoothing, and the score from which it vouches for others.
 SUPPORT, SMOOTHING, CONFIDENT = 3, 1.0, 0.6
@@ -54,7 +54,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, text: Column) -> Column:
     if kind == "ip":
-        part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+        part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
         return text.rlike(rf"^{part}(?:\.{part}){{3}}$")
     digits = _digits(text)
     if kind == "card":
@@ -103,17 +103,22 @@ def _tokens(text: Column) -> Column:
     return F.filter(_matches(text, TOKEN, make, shape), lambda x: x["text"].rlike(INSTANCE))
 
 
+def _key(text: Column) -> Column:
+    """Every span has a digit or an at sign in it."""
+    return F.when(text.rlike("[0-9@]"), F.sha2(text.cast("binary"), 256))
+
+
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, email, ip, card, phone, tokens): arrays of spans, and of tokens with their neighbours. ``key`` tells
-    texts of one id apart where a token is yet unknown."""
+    texts of one id apart; it is null for texts that can have no span."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    gates = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+"), "ip": F.col("digit"), "card": F.col("digit")}
-    rows = rows.withColumn("digit", F.col("text").rlike("[0-9]"))
+    gates = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+"), "ip": F.col("some"), "card": F.col("some")}
+    rows = rows.withColumn("some", F.col("text").rlike("[0-9@]"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = [F.when(gates[k], _base(F.col("text"), k)).otherwise(none).alias(k) for k in KINDS[:4]]
-    tokens = F.when(F.col("digit"), _tokens(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>"))
-    rows = rows.select("id", F.when(F.col("digit"), F.sha2(F.col("text").cast("binary"), 256)).alias("key"), *spans, tokens.alias("tokens"))
+    tokens = F.when(F.col("some"), _tokens(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>"))
+    rows = rows.select("id", _key(F.col("text")).alias("key"), *spans, tokens.alias("tokens"))
     rows = rows.withColumn("base", F.flatten(F.array(*KINDS[:4])))
     marked = F.transform("tokens", lambda t: t.withField("known", F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
     return rows.withColumn("tokens", marked).drop("base")
@@ -184,12 +189,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     """``docs`` with every span replaced by a mask of its kind; overlapping spans become one, named by the first."""
     found = find(docs, id_col, text_col, rounds, support)
     # Rows without spans need no change; of the others one row per id and text is enough.
-    hits = found.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_row"), F.coalesce("key", F.lit("")).alias("_key"), _ordered(KINDS).alias("_spans")).where(F.size("_spans") > 0)
-    hits = hits.dropDuplicates(["_row", "_key"])
+    hits = found.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__pii_row"), F.col("key").alias("__pii_key"), _ordered(KINDS).alias("__pii_spans")).where(F.size("__pii_spans") > 0)
+    hits = hits.dropDuplicates(["__pii_row", "__pii_key"])
     names = docs.columns
-    # Only texts with a digit have a key; an email needs none, so those without one are keyed by the empty string.
-    key = F.when(F.col(text_col).rlike("[0-9]"), F.sha2(F.col(text_col).cast("binary"), 256)).otherwise(F.lit(""))
-    rows = docs.withColumn("_row", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_key", key)
+    rows = docs.withColumn("__pii_row", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__pii_key", _key(F.col(text_col)))
     masks = F.array(*[F.lit(MASKS[k]) for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -199,5 +202,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate("_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return rows.join(hits, ["_row", "_key"], "left").withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(rest)).select(*names)
+    rest = F.aggregate("__pii_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
+    return rows.join(hits, ["__pii_row", "__pii_key"], "left").withColumn(text_col, F.when(F.col("__pii_spans").isNull(), F.col(text_col)).otherwise(rest)).select(*names)
