@@ -86,7 +86,7 @@ def figures_match(a: Column, b: Column, within: float = 0.01) -> Column:
 
 def significant_digits(x: Column) -> Column:
     """Digits of a whole number without its trailing zeros."""
-    return F.length(F.rtrim(F.lit("0"), F.abs(x).cast("long").cast("string")))
+    return F.length(F.rtrim(F.abs(x).cast("long").cast("string"), F.lit("0")))
 
 
 def one_digit_edit(a: Column, b: Column) -> Column:
