@@ -28,7 +28,7 @@ MAX_SOURCES = 1_000_000
 #: Cells of the knapsack table.
 TABLE = 1 << 16
 #: Documents of one source and length that one task ranks together, about.
-RANKED = 1_000
+RANKED = 200
 
 
 def size_of(text: Column) -> Column:
