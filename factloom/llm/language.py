@@ -48,11 +48,10 @@ def _letters() -> np.ndarray:
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, and where each text's begin (one more entry than texts). A text starts and
-    ends with a space; texts without letters have none."""
-    joined = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes + (np.arange(len(texts)) < len(texts) - 1))[: len(joined)]
+    """Buckets of all n-grams of the texts, and where each text's begin (one more entry than texts). A text starts with
+    its first letter and ends with a space; texts without letters have none."""
+    joined = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     letter = _letters()[joined]
     # Keep letters, and the first of every run of others; a text's first character that is no letter is dropped.
     fresh = np.empty(len(joined), bool)

@@ -57,8 +57,18 @@ def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their lengths sum to ``budget`` or as near below as the
-    method gets. ``lengths`` are distinct."""
+    """How many documents of each length to take, so that their lengths sum to ``budget`` or near it: the best sum below
+    that the method finds, or one document more where that comes nearer. ``lengths`` are distinct."""
+    take = _fill(lengths, counts, budget)
+    rest = budget - int((take * lengths).sum())
+    more = np.flatnonzero((counts > take) & (lengths > 0))
+    if rest > 0 and len(more):
+        i = more[np.argmin(np.abs(rest - lengths[more]))]
+        take[i] += int(abs(rest - int(lengths[i])) < rest)
+    return take
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())

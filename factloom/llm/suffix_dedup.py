@@ -176,7 +176,8 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         at = order[place]
         after = at + depth
-        key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        # A suffix that ends here is less than one that goes on, and a shorter one less than a longer.
+        key = rank[at] * (n + depth + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + depth + 1, n - at)
         by = np.argsort(key)
         at, key = at[by], key[by]
         order[place] = at
