@@ -42,19 +42,25 @@ def diversify(df: DataFrame, pos: str, kind: str, cap: int) -> DataFrame:
     return placed.unionByName(df.where(F.col(kind).isNull()).withColumn("new_pos", F.col(pos)))
 
 
+# 32-bit FNV-1a, and the linear congruential generator of the daily order.
+FNV_START, FNV_PRIME = 2166136261, 16777619
+LCG_FACTOR, LCG_STEP, LCG_MASK = 1664525, 1013904223, 0x7FFFFFFF
+
+
 def seed(text: Column) -> Column:
-    """32-bit FNV-1a of a text's bytes, unsigned."""
+    """FNV-1a of an ASCII text, its lower 31 bits."""
     codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    folded = F.aggregate(codes, F.lit(FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return folded.bitwiseAND(F.lit(LCG_MASK))
 
 
 def shuffled(ids: Sequence[str], start: int) -> list[str]:
-    """Fisher-Yates with a 31-bit linear congruential generator; for a pool of a few thousand ids on the driver."""
-    out, state = list(ids), start & 0x7FFFFFFF
-    for i in range(len(out) - 1, 0, -1):
-        state = (state * 1103515245 + 12345) & 0x7FFFFFFF
-        j = state % (i + 1)
-        out[i], out[j] = out[j], out[i]
+    """Seeded Fisher-Yates from the end, for a pool of a few thousand ids on the driver."""
+    out, state = list(ids), start
+    for last in range(len(out) - 1, 0, -1):
+        state = (state * LCG_FACTOR + LCG_STEP) & LCG_MASK
+        other = min(last, int(state / LCG_MASK * (last + 1)))
+        out[last], out[other] = out[other], out[last]
     return out
 
 

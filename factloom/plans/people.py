@@ -127,7 +127,7 @@ def diversify(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH RECURSIVE days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events),
   f(day, i, h) AS (SELECT day, 0, 2166136261::BIGINT FROM days UNION ALL
     SELECT day, i + 1, (xor(h, ascii(substr(day, i + 1, 1))::BIGINT) * 16777619) % 4294967296 FROM f WHERE i < length(day))
-  SELECT day, h AS seed FROM f WHERE i = length(day)""")
+  SELECT day, h % 2147483648 AS seed FROM f WHERE i = length(day)""")
 def daily_order_seed(spark: SparkSession, d: str) -> DataFrame:
     days = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
     return days.select("day", ranking.seed(F.col("day")).alias("seed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import changes, facts, people, streams, texts
+from factloom.plans import changes, facts, feeds, people, streams, texts
 from factloom.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "changes", "facts", "people", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "changes", "facts", "feeds", "people", "streams", "texts"]
