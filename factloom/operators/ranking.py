@@ -70,9 +70,10 @@ def pool(eligible: DataFrame, everyone: DataFrame, least: int = 10) -> DataFrame
     return eligible.where(n >= least).unionByName(everyone.where(n < least))
 
 
-def tiers(df: DataFrame, order: Sequence[Column], run: int) -> DataFrame:
-    """Rows due on a numbered run: the first 100 always, the next 300 on every third, the rest on every tenth."""
-    ranked = df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-    tier = F.when(F.col("place") <= 100, 1).when(F.col("place") <= 400, 2).otherwise(3)
-    due = F.when(tier == 1, True).when(tier == 2, F.lit(run % 3 == 0)).otherwise(F.lit(run % 10 == 0))
-    return ranked.withColumn("tier", tier).where(due)
+def tiers(df: DataFrame, key: str, order: Sequence[Column], run: int) -> DataFrame:
+    """Rows due on a numbered run, with ``tier``: the first 100 always, the next 300 on every third, the rest on every
+    tenth. Only the first 400, a sorted limit, are ranked together."""
+    head = df.orderBy(*order).limit(400)
+    ranked = head.withColumn("tier", F.when(F.row_number().over(Window.orderBy(*order)) <= 100, 1).otherwise(2))
+    due = ranked if run % 3 == 0 else ranked.where("tier = 1")
+    return due.unionByName(df.join(head.select(key), key, "left_anti").withColumn("tier", F.lit(3))) if run % 10 == 0 else due
