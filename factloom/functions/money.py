@@ -63,3 +63,9 @@ def currency(amount: Column) -> Column:
 
 def percent_label(percent: Column) -> Column:
     return F.when(percent.isNull(), F.lit(None)).when(percent < 0.1, "<0.1%").otherwise(F.concat(F.format_string("%.1f", percent), F.lit("%")))
+
+
+def exact_usd(amount: Column) -> Column:
+    """Dollars in full, grouped, with cents only where there are some."""
+    cents = F.floor(F.abs(amount) * 100 + 0.5) % 100 != 0
+    return F.concat(F.when(amount < 0, F.lit("-$")).otherwise(F.lit("$")), F.when(cents, F.format_number(F.abs(amount), 2)).otherwise(F.format_number(F.abs(amount), 0)))

@@ -5,6 +5,7 @@ All of them refuse on doubt: a text is left as it is, or withheld whole, rather
 
 from __future__ import annotations
 
+import html
 import json
 import re
 
@@ -193,3 +194,31 @@ def party_prose(text: pd.Series, breakdown: pd.Series) -> pd.Series:
         return spelled(t or "", wanted) if wanted else None
 
     return pd.Series([of(*x) for x in zip(text, breakdown, strict=True)], dtype=object)
+
+
+def plain_html(markup: str) -> str:
+    """Text of a piece of markup: no comments or tags, entities decoded, white space squeezed."""
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"(?s)<!--.*?-->", "", markup))).split())
+
+
+def under_heading(page: str | None, heading: str, css: str) -> bool:
+    """Whether a page has text of a class under a heading, before the next heading or the end of its box."""
+    for m in re.finditer(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>", page or ""):
+        if plain_html(m[2]).lower() != heading.lower():
+            continue
+        scope = re.split(r"(?i)<h[1-6]\b|</div\s*>", page[m.end() :], maxsplit=1)[0]
+        for p in re.finditer(r"(?is)<p\b([^>]*)>(.*?)</p\s*>", scope):
+            classes = re.search(r"""(?is)\bclass\s*=\s*["'](.*?)["']""", p[1])
+            if classes and css in classes[1].split() and plain_html(p[2]):
+                return True
+    return False
+
+
+def prose_under(heading: str, css: str):
+    """A pandas UDF that says whether pages have such text."""
+
+    @F.pandas_udf(T.BooleanType())
+    def has(pages: pd.Series) -> pd.Series:
+        return pd.Series([under_heading(p, heading, css) for p in pages], dtype=bool)
+
+    return has

@@ -184,3 +184,44 @@ def goal_matches(spark: SparkSession, d: str) -> DataFrame:
     return goals.join(ranked, "place_key").select("s_suppkey", "c_custkey", F.col("points").cast("int").alias("points"), "place")
 
 
+
+
+_ENRICHED_SQL = f"""s AS ({_LATEST_SQL}), ev AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+  talk AS (SELECT user_id, count(*) AS remarks, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS last_view FROM events GROUP BY user_id),
+  card AS (SELECT o_orderkey AS card, o_custkey AS person FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)"""
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    """The newest fifty cards with their person's name, score (only with evidence), newest view and number of remarks. The
+    page is cut first; all that is joined to it is reduced to its persons before it is aggregated."""
+    orders = table(spark, d, "orders")
+    cards = orders.select(F.col("o_orderkey").alias("card"), F.col("o_custkey").alias("person"), "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).drop("o_orderdate")
+    of_page = cards.select("person").distinct()
+    own = orders.withColumnRenamed("o_custkey", "person").join(of_page, "person", "left_semi")
+    scores = latest.latest_by(own, ["person"], ["o_orderdate", "o_orderkey"], ["o_totalprice"]).withColumnRenamed("o_totalprice", "score")
+    seen = own.where("o_orderpriority = '1-URGENT'").select("person").distinct().withColumn("evidence", F.lit(True))
+    facts = table(spark, d, "events").withColumnRenamed("user_id", "person").join(of_page, "person", "left_semi")
+    newest = F.max(F.when(F.col("event_type") == "view", F.struct("ts", "event_id", "value")))["value"]
+    talk = facts.groupBy("person").agg(F.count(F.lit(1)).alias("remarks"), newest.alias("last_view"))
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("person"), F.col("c_name").alias("name"))
+    rows = cards.join(names, "person", "left").join(scores, "person", "left").join(seen, "person", "left").join(talk, "person", "left")
+    return rows.select("card", "person", "name", F.when(F.col("evidence"), F.col("score")).alias("score"), F.coalesce("remarks", F.lit(0)).alias("remarks"), "last_view")
+
+
+@query(f"""WITH {_ENRICHED_SQL}
+  SELECT card, person, c_name AS name, CASE WHEN ev.o_custkey IS NOT NULL THEN score END AS score, coalesce(remarks, 0) AS remarks, last_view
+  FROM card LEFT JOIN customer ON c_custkey = person LEFT JOIN s ON s.o_custkey = person LEFT JOIN ev ON ev.o_custkey = person LEFT JOIN talk ON user_id = person""")
+def card_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    return enriched(spark, d)
+
+
+@query(f"""WITH {_SCORE_SQL}, one AS (SELECT c_custkey, score, {_GRADE_SQL} AS grade, CASE WHEN worth > 0 AND given > 0 THEN given / worth * 100 END AS percent FROM scored)
+  SELECT a.c_custkey, a.score AS score_a, b.score AS score_b, a.grade AS grade_a, b.grade AS grade_b, a.percent AS percent_a, b.percent AS percent_b
+  FROM one a JOIN one b ON a.c_custkey + 1 = b.c_custkey""")
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """Every person beside the next one; a ratio that cannot be stated is left out."""
+    percent = numeric.giving_ratio(F.col("worth"), F.col("given"))
+    one = scored(spark, d).select("c_custkey", "score", numeric.grade(F.col("score")).alias("grade"), percent.alias("percent"))
+    a = one.withColumnsRenamed({c: f"{c}_a" for c in ("score", "grade", "percent")})
+    b = one.withColumnsRenamed({c: f"{c}_b" for c in ("score", "grade", "percent")}).withColumn("c_custkey", F.col("c_custkey") - 1)
+    return a.join(b, "c_custkey")

@@ -186,3 +186,21 @@ def test_sentences(one):
     assert one(text.sentences(C("t")), t=said) == ["Dr. Vessel gave 2.5 million.", "He left!", "Why?", "No. 4 knows"]
     assert one(text.first_sentences(C("t"), 2), t=said) == "Dr. Vessel gave 2.5 million. He left!"
     assert one(text.without_sentences(C("t"), "left"), t=said) == "Dr. Vessel gave 2.5 million. Why? No. 4 knows"
+
+
+def test_texts_that_speak_of_themselves(one):
+    found = one(text.speaks_of_itself(C("t")), t="The provided news data shows little. He provided $5 million. The search returned 1,204 results.")
+    assert [(x["sentence"][:12], x["labels"]) for x in found] == [("The provided", ["its input"]), ("The search r", ["its counts"])]
+
+
+def test_exact_dollars(one):
+    assert [one(money.exact_usd(C("x")), x=x) for x in (93720.25, 10.0, 711.5900000000003, -5.5)] == ["$93,720.25", "$10", "$711.59", "-$5.50"]
+
+
+def test_prose_under_a_heading():
+    from factloom.functions.prose import plain_html, under_heading
+
+    page = '<div><h2>Political&nbsp;activity</h2><p class="a summary-text">Gave &amp; gave</p></div>'
+    assert under_heading(page, "political activity", "summary-text") and not under_heading(page.replace("Gave &amp; gave", " <b></b> "), "political activity", "summary-text")
+    assert not under_heading(page.replace("<p", "<h3>x</h3><p"), "political activity", "summary-text") and not under_heading(None, "x", "y")
+    assert plain_html("a<!-- b --> <i>c</i>&#x64;&#101;") == "a cde"
