@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,43 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+#: Matches that are counted up together in ``matches``.
+_RUN = 128
+
+
+def matches(text: Column, pattern: Column, make: Callable[[Column, Column, Column, Column, Column], Column], kind: str, moved: Sequence[str]) -> Column:
+    """Array of ``make(start, end, match, before, after)``, structs of type ``kind``, over the matches of a pattern that
+    never matches nothing; before and after are the stretches up to the neighbouring matches. ``moved`` names the
+    fields that hold places. Places are counted up in runs of matches that are then moved on together, so that a text
+    full of matches takes little more than one pass."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    between = F.split(text, pattern, -1)
+    none = F.array().cast(f"array<{kind}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["b"])
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(make(start, end, x["m"], x["b"], x["a"]))).alias("out"))
+
+    def run_on(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("by"), x["out"].alias("out")))).alias("out"))
+
+    def move(run: Column) -> Column:
+        def one(x: Column) -> Column:
+            for name in moved:
+                x = x.withField(name, x[name] + run["by"])
+            return x
+
+        return F.transform(run["out"], one)
+
+    def of(parts: Column) -> Column:
+        heads = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(heads, lambda h: F.aggregate(F.slice(parts, h * _RUN + 1, F.lit(_RUN)), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<by:int,out:array<{kind}>>>").alias("out"))
+        return F.flatten(F.transform(F.aggregate(runs, first, run_on, lambda acc: acc["out"]), move))
+
+    # An array of one, transformed, is a name for its element: the expressions are evaluated once.
+    zipped = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"), F.slice(between, F.lit(2), F.size(found)).alias("a"))
+    return F.get(F.transform(F.array(zipped), of), 0)

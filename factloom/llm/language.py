@@ -28,7 +28,7 @@ UNKNOWN = "und"
 #: Rows per language that the regression is fitted on, about, by hash of the id; a tenth of them sets the temperature.
 SAMPLE = 1_500
 #: Languages are a dimension held on the driver.
-MAX_LANGUAGES = 10_000
+MAX_LANGUAGES = 500
 EPOCHS, BATCH = 6, 16
 #: Relative term frequencies are multiplied by this, so that features are of the order of one.
 SCALE = 64.0

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import matches
+
 #: Characters that are not part of a word, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -159,19 +161,12 @@ def _detections(line: Column) -> Column:
         by_key.setdefault(key, []).append(rule)
     # Each keyword is looked up once, for all its rules.
     tried = F.flatten(F.array_compact(F.array(*[F.when(line.contains(key), F.array(*group)) for key, group in by_key.items()])))
-    empty = F.array().cast("array<struct<start:int,less:int,rank:int,label:string,weight:double>>")
 
     def of(r: Column) -> Column:
-        found = F.regexp_extract_all(line, r["regex"], F.lit(0))
-        between = F.slice(F.split(line, r["regex"], -1), F.lit(1), F.size(found))
-
-        def step(acc: Column, x: Column) -> Column:
-            start, size = acc["at"] + F.length(x["b"]), F.length(x["m"])
-            one = F.struct(start.alias("start"), (-size).alias("less"), (-r["priority"]).alias("rank"), r["label"].alias("label"), r["weight"].alias("weight"))
-            return F.struct((start + size).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def make(start: Column, end: Column, *_: Column) -> Column:
+            return F.struct(start.alias("start"), (start - end).alias("less"), (-r["priority"]).alias("rank"), r["label"].alias("label"), r["weight"].alias("weight"))
 
-        first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.aggregate(F.arrays_zip(found.alias("m"), between.alias("b")), first, step, lambda acc: acc["out"])
+        return matches(line, r["regex"], make, "struct<start:int,less:int,rank:int,label:string,weight:double>", ["start"])
 
     return F.flatten(F.transform(tried, of))
 

@@ -13,12 +13,10 @@ two named are ignored. Whole texts are read; all patterns are possessive, so tha
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import cut, matches
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Equivalent to the plain patterns, but linear: possessive, and never started inside a run that an earlier start covers.
@@ -33,6 +31,8 @@ TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
 #: What a token must look like to be an instance: like an address, or long with several digits.
 INSTANCE = r"^[^@]++@[^@]|^(?=(?:[^0-9]*+[0-9]){2}).{8,}$"
 ROUNDS = 3
+#: Tokens of a text that are held against its base spans together.
+PART = 256
 #: Distinct known instances a pattern needs, its smoothing, and the score from which it vouches for others.
 SUPPORT, SMOOTHING, CONFIDENT = 3, 1.0, 0.6
 MASKS = {k: f"<{k.upper()}>" for k in KINDS}
@@ -64,26 +64,9 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, make: Callable[[Column, Column, Column, Column, Column], Column], kind: str) -> Column:
-    """Array of ``make(start, end, match, before, after)`` over the matches, where before and after are the stretches
-    up to the neighbouring matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    parts = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"), F.slice(between, F.lit(2), F.size(found)).alias("a"))
-    empty = F.array().cast(f"array<{kind}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(make(start, end, x["m"], x["b"], x["a"]))).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(parts, first, step, lambda acc: acc["out"])
-
-
 def _base(text: Column, kind: str) -> Column:
     shape = "struct<start:int,end:int,text:string>"
-    spans = _matches(text, PATTERNS[kind], lambda s, e, m, b, a: F.struct(s.alias("start"), e.alias("end"), m.alias("text")), shape)
+    spans = matches(text, F.lit(PATTERNS[kind]), lambda s, e, m, b, a: F.struct(s.alias("start"), e.alias("end"), m.alias("text")), shape, ["start", "end"])
     return F.transform(F.filter(spans, lambda x: _valid(kind, x["text"])), lambda x: F.struct(x["start"], x["end"]))
 
 
@@ -100,7 +83,7 @@ def _tokens(text: Column) -> Column:
             F.lower(before).alias("left"), F.lower(after).alias("right"),
         )
 
-    return F.filter(_matches(text, TOKEN, make, shape), lambda x: x["text"].rlike(INSTANCE))
+    return F.filter(matches(text, F.lit(TOKEN), make, shape, ["start", "end"]), lambda x: x["text"].rlike(INSTANCE))
 
 
 def _key(text: Column) -> Column:
@@ -120,7 +103,18 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tokens = F.when(F.col("some"), _tokens(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>"))
     rows = rows.select("id", _key(F.col("text")).alias("key"), *spans, tokens.alias("tokens"))
     rows = rows.withColumn("base", F.flatten(F.array(*KINDS[:4])))
-    marked = F.transform("tokens", lambda t: t.withField("known", F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+
+    def mark(part: Column) -> Column:
+        """Tokens of one part, against the base spans that reach into it."""
+        reach = F.filter("base", lambda b: (b["start"] < F.element_at(part, -1)["end"]) & (F.get(part, 0)["start"] < b["end"]))
+
+        def of(near: Column) -> Column:
+            return F.transform(part, lambda t: t.withField("known", F.exists(near, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+
+        return F.get(F.transform(F.array(reach), of), 0)
+
+    heads = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / PART).cast("int"))).otherwise(F.array().cast("array<int>"))
+    marked = F.flatten(F.transform(F.transform(heads, lambda h: F.slice("tokens", h * PART + 1, F.lit(PART))), mark))
     return rows.withColumn("tokens", marked).drop("base")
 
 

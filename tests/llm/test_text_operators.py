@@ -134,6 +134,7 @@ def base_spans(text):
 PERSONAL = [
     "a@b.c_x@d.e f@g @h.i j..k@l-m.n.", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.255 9.9.9 0.0.0.0 10.0.0.1 00.1.200.256 0255.1.1.1 256.1.1.1", "é4 4111 1111 1111 1111 é 4111-1111-1111-1112 4111111111111111", "+1 (375) 555-4393 +12 +1234567890123456 +49 30 1234567.",
     "9" * 5000 + " a" * 10, "a." * 3000 + "@x.y", "x@" + "a." * 3000 + "b", "+1 4111111111111111. 1.2.3.4@a.b ",
+    " é ".join(f"10.0.{i % 300}.{i % 256} u{i}@x.yz" for i in range(700)),
 ]
 
 
