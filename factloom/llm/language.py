@@ -77,17 +77,23 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams.ravel(), ends * 3
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
+def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Lower-cased texts in blocks of bounded size, with the number of each one's text; a text longer than a block
+    comes in several pieces, whose n-grams count together."""
+    numbers: list[int] = []
     block: list[str] = []
     size = 0
-    for t in texts:
-        block.append((t or "").lower())
-        size += len(block[-1])
-        if size >= _BLOCK:
-            yield block
-            block, size = [], 0
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        for start in range(0, max(1, len(low)), _BLOCK):
+            numbers.append(i)
+            block.append(low[start : start + _BLOCK])
+            size += len(block[-1])
+            if size >= _BLOCK:
+                yield numbers, block
+                numbers, block, size = [], [], 0
     if block:
-        yield block
+        yield numbers, block
 
 
 def _sums(table: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -108,21 +114,17 @@ class Model:
     bias: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names: list[str] = []
-        scores: list[float] = []
-        for block in _blocks(texts):
+        if not self.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for numbers, block in _blocks(texts):
             grams, ends = _grams(block)
-            count = np.diff(ends)
-            if not self.languages:
-                names += [UNKNOWN] * len(block)
-                scores += [0.0] * len(block)
-                continue
-            p = _softmax(_sums(self.table, grams, ends) / np.maximum(count, 1)[:, None] + self.bias)
-            best = p.argmax(axis=1)
-            known = count > 0
-            names += [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            scores += np.where(known, p[np.arange(len(p)), best], 0.0).tolist()
-        return names, scores
+            np.add.at(total, numbers, _sums(self.table, grams, ends))
+            np.add.at(count, numbers, np.diff(ends))
+        p = _softmax(total / np.maximum(count, 1)[:, None] + self.bias)
+        best = p.argmax(axis=1)
+        names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, count > 0, strict=True)]
+        return names, np.where(count > 0, p[np.arange(len(p)), best], 0.0).tolist()
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -174,14 +176,15 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
-            for block in _blocks(batch[text_col].tolist()):
+            last, seen = -1, np.zeros(DIMS, bool)
+            for numbers, block in _blocks(batch[text_col].tolist()):
                 grams, ends = _grams(block)
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    if b > a:
-                        seen = np.zeros(DIMS, bool)
-                        seen[grams[a:b]] = True
-                        total += seen
-                        n += 1
+                for i, a, b in zip(numbers, ends[:-1], ends[1:], strict=True):
+                    if i != last:
+                        total, n, last = total + seen, n + int(seen.any()), i
+                        seen[:] = False
+                    seen[grams[a:b]] = True
+            total, n = total + seen, n + int(seen.any())
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
@@ -220,10 +223,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             at, values = [], []
             for text in batch["text"]:
-                grams, _ = _grams([text.lower()])
-                b, c = np.unique(grams, return_counts=True)
+                c = sum((np.bincount(_grams(block)[0], minlength=DIMS) for _, block in _blocks([text])), np.zeros(DIMS, np.int64))
+                b = np.flatnonzero(c)
                 at.append(b.astype(np.int32).tobytes())
-                values.append((c * SCALE / max(1, len(grams))).astype(np.float32).tobytes())
+                values.append((c[b] * SCALE / max(1, c.sum())).astype(np.float32).tobytes())
             yield pd.DataFrame({"lang": batch["lang"], "place": batch["place"], "at": at, "values": values})
 
     # A row of the sample is at most DIMS buckets, whatever the length of its text.

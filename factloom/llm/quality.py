@@ -31,7 +31,8 @@ STRETCH = 64
 STEPS, RATE, DECAY = 250, 0.08, 1e-3
 #: Score from which a document counts as good.
 GOOD = 0.7
-OWN = 14
+#: Features of a line, and which of them says that it is repeated in its text.
+OWN, REPEATED = 14, 8
 _BLOCK = 1 << 20
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _SYMBOL, _INNER, _LEAD, _END = range(9)
@@ -52,11 +53,8 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line, its length in bytes, where each text's lines begin, with one entry more)."""
-    data = np.frombuffer(("\n".join(texts) + "\n").encode(), np.uint8)
-    lines = np.array([0, *(t.count("\n") + 1 for t in texts)]).cumsum()
-    ends = np.flatnonzero(data == 10)
+def _measure(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, lengths, marks) of the lines of ``data``, which end at ``ends``; equal lines have equal marks."""
     starts = np.concatenate(([0], ends[:-1] + 1))
     n, size = len(ends), ends - starts
     kind = _CLASS[data]
@@ -76,13 +74,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         same = (total[1:] == total[:-1]) & (letters_in[1:] == letters_in[:-1]) & (data[words[1:]] == data[words[:-1]]) & (of_line[1:] == of_line[:-1])
         again = np.bincount(of_line[1:][same], minlength=n)
 
-    place = np.arange(len(data), dtype=np.int64)
     plain = np.add.reduceat(data, starts, dtype=np.int64)
-    weighed = np.add.reduceat(data * place, starts) - starts * plain
-    doc = np.repeat(np.arange(len(texts)), np.diff(lines))
-    mark = doc * np.int64(1_000_003) + size * np.int64(8191) + plain * np.int64(131) + weighed * np.int64(524_287)
-    _, where, times = np.unique(mark, return_inverse=True, return_counts=True)
-    repeated = (times[where] > 1) & (size > 0)
+    weighed = np.add.reduceat(data * np.arange(len(data), dtype=np.int64), starts) - starts * plain
+    mark = size * np.int64(8191) + plain * np.int64(131) + weighed * np.int64(524_287)
 
     full = np.maximum(size, 1)
     last = data[np.maximum(ends - 1, starts)]
@@ -95,13 +89,31 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         np.minimum((size - count[:, _SPACE]) / np.maximum(n_words, 1) / 10, 3),
         5 * count[:, _SPACE] / full,
         again / np.maximum(n_words, 1),
-        repeated,
+        np.zeros(n),  # whether the line is repeated, which only its whole text can tell
         np.isin(last, [ord(c) for c in ".?"]) & (size > 0),
         np.isin(kind[starts], [_UPPER, _LEAD]),
         np.minimum(count[:, _SYMBOL] / np.maximum(n_words, 1), 3),
         np.minimum(n_words / (count[:, _STOP] + 1) / 20, 3),
         size == 0,
     ], axis=1).astype(np.float64)
+    return x, size, mark
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line, its length in bytes, where each text's lines begin, with one entry more). Lines are
+    measured in blocks, so that a long text takes little more memory than itself."""
+    data = np.frombuffer(("\n".join(texts) + "\n").encode(), np.uint8)
+    lines = np.array([0, *(t.count("\n") + 1 for t in texts)]).cumsum()
+    ends = np.flatnonzero(data == 10)
+    cuts = np.flatnonzero(np.diff(ends // _BLOCK, append=-1)) + 1
+    parts, line, byte = [], 0, 0
+    for cut in cuts.tolist():
+        parts.append(_measure(data[byte : ends[cut - 1] + 1], ends[line:cut] - byte))
+        line, byte = cut, int(ends[cut - 1]) + 1
+    x, size, mark = (np.concatenate(p) for p in zip(*parts, strict=True))
+    doc = np.repeat(np.arange(len(texts)), np.diff(lines))
+    _, where, times = np.unique(mark + doc * np.int64(1_000_003), return_inverse=True, return_counts=True)
+    x[:, REPEATED] = (times[where] > 1) & (size > 0)
     return x, size, lines
 
 

@@ -250,6 +250,16 @@ def test_temperature_repairs_confidence():
     assert language._temperature(logits * 8, y) == pytest.approx(8 * language._temperature(logits, y), rel=0.1)
 
 
+def test_long_texts_come_in_pieces(monkeypatch):
+    rng = np.random.default_rng(10)
+    model = language.Model(["a", "b"], rng.normal(size=(language.DIMS, 2)), np.zeros(2))
+    texts = ["word " * 4000, "other text " * 9, "", None, "words more " * 3000]
+    names, whole = model.predict(texts)
+    monkeypatch.setattr(language, "_BLOCK", 1000)
+    again, pieces = model.predict(texts)
+    assert names == again and np.allclose(whole, pieces, atol=0.01) and names[2:4] == ["und", "und"]
+
+
 def test_grams_stay_in_their_text():
     both, ends = language._grams(["ab cd", "ef1g", "", "7"])
     alone = [language._grams([t])[0] for t in ("ab cd", "ef1g", "", "7")]
@@ -273,6 +283,14 @@ def test_quality(spark, docs):
     assert {r.doc_id: r["count"] for r in lines} == {i: t.count("\n") + 1 for i, t in texts.items()}
 
 
+def test_lines_are_measured_alike_in_blocks(monkeypatch):
+    texts = ["One line.\nTwo TWO two two!!\n\nOne line.", "", "x" * 500, "\n\n", "é ü 12 | 34\n" * 60]
+    whole = quality.line_features(texts)
+    monkeypatch.setattr(quality, "_BLOCK", 40)
+    assert all(np.allclose(a, b) for a, b in zip(whole, quality.line_features(texts), strict=True))
+    assert whole[0][:4, quality.REPEATED].tolist() == [1, 0, 0, 1] and whole[2].tolist() == [0, 4, 5, 6, 9, 70]
+
+
 def test_quality_without_labels(spark, docs):
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality.assess(docs, none).collect()} == {0.5}
