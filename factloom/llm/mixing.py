@@ -51,8 +51,9 @@ def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most
         for i in over:
             out[i] = float(most * sizes[i])
         # Shares of those that stay are of what the others leave; one sum, so the order of cuts doesn't matter.
-        free = [i for i in free if i not in set(over)]
-        left = float(total) - sum(out[i] for i in range(len(out)) if i not in set(free))
+        gone = set(over)
+        free = [i for i in free if i not in gone]
+        left = float(total) - sum(out)
     return out
 
 
