@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on the
     executors that made it."""
@@ -36,6 +44,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that each node of ``edges`` (a, b) is connected with. Rounds of taking the least
+    label among neighbours, each followed by taking over the label's own label, until nothing changes."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+    both = cut(both, "edges")
+    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+    while True:
+        seen = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
+        best = seen.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
+        # Only labels that have a lower label themselves are looked up.
+        ends = labels.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = best.join(ends, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        old = labels.withColumnRenamed("label", "was")
+        new = cut(new.join(old, "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
+        labels = new.select("node", "label")
+        if new.where("moved").isEmpty():
+            return labels
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -7,8 +7,8 @@ its probabilities are calibrated by one temperature, fitted on a further part of
 train and to predict.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. Rows with a null language, or held out, are
-never learned from. With no training rows every text is ``und``; with one language every text with letters is that.
-Repeated rows stay and get equal results. Columns other than those named are ignored.
+never learned from; nor, beyond LANGUAGES languages, are those of the rarest, whose texts get a learned one. With no
+training rows every text is ``und``; with one language every text with letters is that. Repeated rows stay and get equal results. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -18,23 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import held_out
+from factloom.llm.common import held_out, unused
 
 DIMS = 1 << 15
 UNKNOWN = "und"
-#: Rows per language that the regression is fitted on, about, by hash of the id; a tenth of them sets the temperature.
-SAMPLE = 1_500
-#: Languages are a dimension held on the driver.
-MAX_LANGUAGES = 500
+#: The sample that the regression is fitted on: distinct rows per language at most, by hash of id and text (a tenth of them
+#: sets the temperature), and languages at most, the most frequent ones. The driver holds 0.5 MB of state a language.
+SAMPLE, LANGUAGES = 1_500, 1_000
 EPOCHS, BATCH = 6, 16
 #: Relative term frequencies are multiplied by this, so that features are of the order of one.
 SCALE = 64.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.002
 #: Characters that one block of texts holds.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 _LETTER = np.zeros(0x110000, bool)
 
@@ -47,9 +46,9 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, and where each text's begin (one more entry than texts). A text starts with
-    its first letter and ends with a space; texts without letters have none."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of the texts, and one space for every run of anything else, as code points; and where each text's begin
+    (one more entry than texts). A text starts with its first letter and ends with a space; texts without letters have none."""
     joined = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     letter = _letters()[joined]
@@ -58,42 +57,67 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     fresh[:1] = False
     fresh[1:] = letter[:-1]
     keep = letter | fresh
-    codes, owner = np.where(letter, joined, 32)[keep].astype(np.uint64), owner[keep]
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out = []
+    return np.where(letter, joined, 32)[keep].astype(np.uint32), np.searchsorted(owner[keep], np.arange(len(texts) + 1))
+
+
+def _long_codes(text: str) -> np.ndarray:
+    """The same for one long text, piece by piece."""
+    parts, before = [], False
+    for start in range(0, len(text) + 1, _BLOCK):
+        piece = np.frombuffer((text[start : start + _BLOCK] + ("\n" if start + _BLOCK > len(text) else "")).encode("utf-32-le"), np.uint32)
+        letter = _letters()[piece]
+        fresh = np.append(before, letter[:-1])[: len(letter)]
+        parts.append(np.where(letter, piece, 32)[letter | fresh].astype(np.uint32))
+        before = bool(letter[-1]) if len(letter) else before
+    return np.concatenate(parts)
+
+
+def _grams(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Buckets of the 1-, 2- and 3-grams that start at each code; one that would run into the next text counts as the 1-gram."""
+    wide = codes.astype(np.uint64)
+    grams = np.empty((len(codes), 3), np.int32)
     for n, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9)):
         h = np.full(len(codes), np.uint64(salt))
         for k in range(n):
-            h[: len(codes) - k] = (h[: len(codes) - k] ^ codes[k:]) * np.uint64(0x9FB21C651E98DF25)
+            h[: len(codes) - k] = (h[: len(codes) - k] ^ wide[k:]) * np.uint64(0x9FB21C651E98DF25)
             h ^= h >> np.uint64(29)
-        out.append((h >> np.uint64(20)) % np.uint64(DIMS))
-    grams = np.stack(out, axis=1).astype(np.int32)
-    # An n-gram must not run into the next text.
-    place = np.arange(len(codes))
-    last = ends[owner + 1] if len(codes) else place
+        grams[:, n - 1] = (h >> np.uint64(20)) % np.uint64(DIMS)
+    left = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(codes))
     for n in (2, 3):
-        over = place + n > last
+        over = left < n
         grams[over, n - 1] = grams[over, 0]
-    return grams.ravel(), ends * 3
+    return grams.ravel()
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Lower-cased texts in blocks of bounded size, with the number of each one's text; a text longer than a block
-    comes in several pieces, whose n-grams count together."""
+def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Buckets of the lower-cased texts' n-grams in blocks of bounded size: numbers of the texts, buckets, and where each
+    one's begin. A text longer than a block comes in several, which hold each of its n-grams once."""
     numbers: list[int] = []
     block: list[str] = []
     size = 0
+
+    def flush() -> tuple[list[int], np.ndarray, np.ndarray]:
+        codes, ends = _codes(block)
+        return numbers, _grams(codes, ends), ends * 3
+
     for i, t in enumerate(texts):
         low = (t or "").lower()
-        for start in range(0, max(1, len(low)), _BLOCK):
-            numbers.append(i)
-            block.append(low[start : start + _BLOCK])
-            size += len(block[-1])
-            if size >= _BLOCK:
-                yield numbers, block
-                numbers, block, size = [], [], 0
+        if len(low) > _BLOCK:
+            codes = _long_codes(low)
+            for start in range(0, len(codes), _BLOCK):
+                # Two codes more, so that n-grams over the cut are whole; those that start there belong to the next.
+                part = codes[start : start + _BLOCK + 2]
+                grams = _grams(part, np.array([0, len(part)]))[: 3 * _BLOCK] if start + _BLOCK < len(codes) else _grams(part, np.array([0, len(part)]))
+                yield [i], grams, np.array([0, len(grams)])
+            continue
+        if block and size + len(low) > _BLOCK:
+            yield flush()
+            numbers, block, size = [], [], 0
+        numbers.append(i)
+        block.append(low)
+        size += len(low) + 1
     if block:
-        yield numbers, block
+        yield flush()
 
 
 def _sums(table: np.ndarray, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -117,8 +141,7 @@ class Model:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        for numbers, block in _blocks(texts):
-            grams, ends = _grams(block)
+        for numbers, grams, ends in _blocks(texts):
             np.add.at(total, numbers, _sums(self.table, grams, ends))
             np.add.at(count, numbers, np.diff(ends))
         p = _softmax(total / np.maximum(count, 1)[:, None] + self.bias)
@@ -175,16 +198,21 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(DIMS, np.int64), 0
+        seen = np.zeros(DIMS, bool)
         for batch in batches:
-            last, seen = -1, np.zeros(DIMS, bool)
-            for numbers, block in _blocks(batch[text_col].tolist()):
-                grams, ends = _grams(block)
-                for i, a, b in zip(numbers, ends[:-1], ends[1:], strict=True):
+            last = -1
+            for numbers, grams, ends in _blocks(batch[text_col].tolist()):
+                for i, a, b in zip(numbers, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if i != last:
-                        total, n, last = total + seen, n + int(seen.any()), i
-                        seen[:] = False
+                        at = np.flatnonzero(seen)
+                        total[at] += 1
+                        n += len(at) > 0
+                        seen[at], last = False, i
                     seen[grams[a:b]] = True
-            total, n = total + seen, n + int(seen.any())
+            at = np.flatnonzero(seen)
+            total[at] += 1
+            n += len(at) > 0
+            seen[at] = False
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
@@ -198,39 +226,38 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
     return df, n
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from rows that have a language and are not held out."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_languages: int = LANGUAGES) -> Model:
+    """Learn from rows that have a language and are not held out: document frequencies from all of them, weights from at most
+    ``sample`` distinct rows of each of the ``most_languages`` most frequent languages."""
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = {r["lang"]: r["count"] for r in counts}
+    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((DIMS, 0)), np.zeros(0))
     df, n = document_frequencies(train, "text")
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0.0)
 
-    # A share of each language by hash of the id, so that about ``sample`` rows of each are fitted on.
-    share: Column = F.lit(0.0)
-    for lang, c in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / c))).otherwise(share)
-    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 11) / F.lit(float(1 << 53))
-    picked = train.where(place < share).select("lang", "text", place.alias("place"))
+    # A share of each language's texts by hash, a little more than ``sample`` of them; of repeated rows one. Then exactly the first ``sample``.
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(lang, min(1.0, (sample + 4 * sample**0.5) / c)) for lang, c in counts.items()], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(17)), 11) / F.lit(float(1 << 53))
+    placed = train.join(F.broadcast(shares), "lang").withColumn("place", place).where("place < share")
+    picked = placed.groupBy("lang", "place").agg(F.min("text").alias("text"))
+    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("rank") <= sample)
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at, values = [], []
             for text in batch["text"]:
-                c = sum((np.bincount(_grams(block)[0], minlength=DIMS) for _, block in _blocks([text])), np.zeros(DIMS, np.int64))
+                c = sum((np.bincount(grams, minlength=DIMS) for _, grams, _ in _blocks([text])), np.zeros(DIMS, np.int64))
                 b = np.flatnonzero(c)
                 at.append(b.astype(np.int32).tobytes())
                 values.append((c[b] * SCALE / max(1, c.sum())).astype(np.float32).tobytes())
             yield pd.DataFrame({"lang": batch["lang"], "place": batch["place"], "at": at, "values": values})
 
     # A row of the sample is at most DIMS buckets, whatever the length of its text.
-    sampled = picked.mapInPandas(rows_of, "lang string, place double, at binary, values binary").toPandas()
+    sampled = picked.select("lang", "text", "place").mapInPandas(rows_of, "lang string, place double, at binary, values binary").toPandas()
     sampled = sampled.sort_values(["place", "lang", "at"]).reset_index(drop=True)
     number = {lang: i for i, lang in enumerate(languages)}
     y = sampled["lang"].map(number).to_numpy(np.int64)
@@ -256,5 +283,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     kept = [c for c in docs.columns if c not in (pred_col, score_col)]
-    said = docs.withColumn("__said", predict(F.col(text_col)))
-    return said.select(*kept, F.col("__said.lang_pred").alias(pred_col), F.col("__said.score").alias(score_col))
+    said = unused(docs, "said")
+    told = docs.select(*kept, predict(F.col(text_col)).alias(said))
+    return told.select(*kept, F.col(f"{said}.lang_pred").alias(pred_col), F.col(f"{said}.score").alias(score_col))

@@ -1,11 +1,20 @@
 """SimHash near-duplicates: pivot distance tables, exact verification, connected components.
 
-Fingerprints are 64 bits over word shingles; two fingerprints link if they differ in at most two bits. Documents of one
-fingerprint are one node. Nodes that share two of four 16-bit blocks are candidates (with two differing bits at least
-two blocks are untouched, so no link is missed); a pair whose Hamming distances to any of the reference fingerprints
-differ by more than two is discarded, and survivors are verified bit by bit. A block key that many nodes share is not
-paired up: its nodes meet at the fingerprints one bit away from them instead, of which every two linked nodes share
-one and no two others do; such a meeting point has 65 visitors at most.
+Fingerprints are 64 bits over word shingles; two fingerprints link if they differ in at most RADIUS bits. Documents of one
+fingerprint are one node. Every node has a table of Hamming distances to reference fingerprints. References come as a few
+base ones and, of each, others that have all bits of one group turned: what a node's distance changes by between the two
+says how far it is from the base within that group. Two nodes that link differ in two bits, hence in two groups, at most; in
+every other group all their coordinates agree. So candidates are found by an equi-join on coordinates, and no link escapes:
+
+1. groups are the four quarters: nodes meet that agree in the coordinates of two of them;
+2. nodes of crowded cells are dealt anew by finer references, whose groups are the eight octets: they meet where they
+   agree in six of them;
+3. nodes of cells that are still crowded differ in 16 bits only; references with one bit turned deal them by all but two
+   of these bits, so that four nodes meet at most.
+
+Candidates whose tables differ by more than RADIUS in any coordinate are discarded, the others verified bit by bit. Plain
+references without groups could not be joined on: within RADIUS of a distance lies a third of all fingerprints, and their
+neighbouring values would have to be tried for each coordinate of a key.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero and links like any other; a text of fewer
 words than a shingle is one shingle. Repeated rows keep their number. A null id is kept and never names a component
@@ -21,21 +30,30 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import components, cut
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Nodes of one block key that are paired up; a key with more is handled by meeting points.
+#: Nodes of one cell that are compared with each other; a cell with more is dealt by further references.
 PAIRED = 48
-#: Reference fingerprints, from a fixed seed.
-PIVOTS = [int(p) for p in np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 24)]
+#: Base references, from a fixed seed.
+BASES = [int(p) for p in np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 6)]
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+#: Bits of each group, as numbers.
+QUARTERS = [_signed(0xFFFF << 16 * i) for i in range(4)]
+OCTETS = [_signed(0xFF << 8 * i) for i in range(8)]
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Signed 64-bit SimHash of a text: A-Z lower-cased, ASCII white space between words, repeats counted."""
     words = (text or "").encode().lower().split()
@@ -50,12 +68,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         ends = np.cumsum(sizes)
         starts = ends - sizes
         hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    if len(rows) > 512:
-        counts = np.concatenate([np.bincount(rows[:, i], minlength=256) @ _BITS for i in range(8)])
+    return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, rows of eight bytes, as a signed number; 0 without any."""
+    if len(hashes) > 512:
+        counts = np.concatenate([np.bincount(hashes[:, i], minlength=256) @ _BITS for i in range(8)])
     else:
-        counts = np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(rows)).tobytes(), "big", signed=True)
+        counts = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -69,51 +91,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def _apart(a: Column, b: Column | int) -> Column:
+    return F.bit_count(a.bitwiseXOR(F.lit(b).cast("long") if isinstance(b, int) else b))
+
+
+def _table(groups: list[int]) -> tuple[list[Column], list[list[Column]]]:
+    """Distances of ``fp`` to the bases, and for each group to the bases with the group's bits turned."""
+    return [_apart(F.col("fp"), p) for p in BASES], [[_apart(F.col("fp"), p ^ g) for p in BASES] for g in groups]
+
+
+def _within(own: list[Column], turned: list[Column]) -> list[Column]:
+    """Coordinates of one group: twice the distance to each base within it, less the group's size."""
+    return [a - b for a, b in zip(own, turned, strict=True)]
+
+
+def _cells(nodes: DataFrame, paired: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the cells that they share with others, split into those of few nodes and of many."""
+    sizes = nodes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(nodes.join(sizes, "cell"), "cells")
+    return shared.where(F.col("n") <= paired), shared.where(F.col("n") > paired)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Linked pairs (a, b), a < b, of nodes that meet in a cell: first the tables are compared, then the bits."""
+    own, turned = _table(QUARTERS)
+    table = {f"d{i}": d.cast("tinyint") for i, d in enumerate([*own, *(d for group in turned for d in group)])}
+    rows = met.select("cell", "fp", *[d.alias(name) for name, d in table.items()])
+    a, b = rows.alias("a"), rows.alias("b")
+    close = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.{d}") - F.col(f"b.{d}")) <= RADIUS for d in table])
+    linked = close & (_apart(F.col("a.fp"), F.col("b.fp")) <= RADIUS)
+    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & linked)
+    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def links(nodes: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """Edges (a, b), a < b, that connect all nodes (column ``fp``, distinct) within RADIUS bits of each other; every
-    edge is such a link, and pairs of one crowded block key may be connected through others instead of directly."""
-    blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.lit(n << 32) + F.shiftleft(blocks[i], 16) + blocks[j] for n, (i, j) in enumerate(combinations(range(4), 2))]
-    table = [_apart(F.col("fp"), F.lit(p).cast("long")).cast("tinyint").alias(f"p{i}") for i, p in enumerate(PIVOTS)]
-    rows = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(sizes, "key"), "shared-blocks")
-
-    near = shared.where(F.col("n") <= paired).select("key", "fp", *table)
-    a, b = near.alias("a"), near.alias("b")
-    within = [F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) <= RADIUS for i in range(len(PIVOTS))]
-    pairs = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & reduce(lambda x, y: x & y, within) & (_apart(F.col("a.fp"), F.col("b.fp")) <= RADIUS),
-    ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-
-    crowded = shared.where(F.col("n") > paired).select("fp").distinct()
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)])
-    met = crowded.select("fp", F.explode(around).alias("at")).withColumn("a", F.min("fp").over(Window.partitionBy("at")))
-    met = met.where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(met).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that each node of ``edges`` (a, b) is connected with. Rounds of taking the least
-    label among neighbours, each followed by taking over the label's own label, until nothing changes."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    both = cut(both, "edges")
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
-        best = seen.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
-        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = best.join(ends, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        old = labels.withColumnRenamed("label", "was")
-        new = cut(new.join(old, "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return labels
+    """All pairs (a, b), a < b, of nodes (column ``fp``, distinct) within RADIUS bits of each other."""
+    own, turned = _table(QUARTERS)
+    quarter = [_within(own, t) for t in turned]
+    met = [F.xxhash64(F.lit(n), *quarter[i], *quarter[j]) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    few, many = _cells(nodes.select("fp", F.explode(F.array(*met)).alias("cell")), paired)
+
+    own, turned = _table(OCTETS)
+    octet = [F.xxhash64(*_within(own, t)) for t in turned]
+    free = list(combinations(range(8), 2))
+    met = [
+        F.struct(F.xxhash64(F.lit(n), *[octet[k] for k in range(8) if k not in out]).alias("cell"), F.lit(8 * out[0]).alias("low"), F.lit(8 * out[1]).alias("high"))
+        for n, out in enumerate(free)
+    ]
+    finer = many.select("fp").distinct().select("fp", F.explode(F.array(*met)).alias("met")).select("fp", "met.*")
+    few2, many2 = _cells(finer, paired)
+
+    # Of the 64 references that turn one bit of a base each coordinate is one bit of this number.
+    bits = F.col("fp").bitwiseXOR(F.lit(BASES[0]).cast("long"))
+    left_out = F.array(*[F.lit((1 << i) | (1 << j)) for i, j in combinations(range(16), 2)])
+    mask = F.expr("shiftleft(cast(two & 255 AS bigint), low) | shiftleft(cast(two >> 8 AS bigint), high)")
+    last = many2.select("fp", "low", "high", F.explode(left_out).alias("two")).select("fp", mask.alias("mask"))
+    last = last.select("fp", F.xxhash64("mask", bits.bitwiseAND(F.bitwise_not("mask"))).alias("cell")).distinct()
+    return _pairs(few).union(_pairs(few2)).union(_pairs(last)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, paired: int = PAIRED) -> DataFrame:

@@ -9,8 +9,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import language, mixing, quality, queries, simhash, suffix_dedup
+from factloom.llm import common, language, mixing, quality, queries, simhash, suffix_dedup
 from factloom.llm.common import held_out
+from tests.llm.test_near_copies import plain_components
 
 SF = "/root/testdata/sf0.001"
 ODD_TEXTS = [None, "", " ", "\n\n\n", "é", "x" * 20_000, "word " * 4_000, "a b", "A B", "a b c", "ÀÉ İ ß \U0001f600 text"]
@@ -87,7 +88,7 @@ def test_links_of_crowded_blocks(spark, paired):
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
     edges = simhash.links(nodes, paired=paired)
     assert all((r.a ^ r.b).bit_count() <= 2 for r in edges.collect())
-    labels = {r.node: r.label for r in simhash.components(edges).collect()}
+    labels = {r.node: r.label for r in common.components(edges).collect()}
     root = clusters(fps, lambda a, b: (a ^ b).bit_count() <= 2)
     assert [labels.get(f, f) for f in fps] == [fps[r] for r in root]
 
@@ -347,8 +348,10 @@ def test_pipeline_stages(spark, docs):
         now = out
     rows = {n: d.collect() for n, d in kept.items()}
     assert not {None, "", " "} & {r.text for r in rows["language ID"]} and {r.doc_id for r in docs.where("lang = 'en' AND length(text) > 200 AND doc_id < 50").collect()} <= {r.doc_id for r in rows["language ID"]}
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept["language ID"]).collect()}
-    assert {r.doc_id for r in rows["near duplicates"] if r.doc_id is not None} == {c for i, c in groups.items() if i is not None}
+    given = sorted(rows["language ID"], key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    label = plain_components([r.text for r in given])
+    assert len(rows["near duplicates"]) == len(set(label))
+    assert {r.doc_id for r in rows["near duplicates"]} == {given[min(i for i, x in enumerate(label) if x == c)].doc_id for c in set(label)}
     clean = [r.text for r in rows["personal data"]]
     assert not any(re.search(r"[a-z]@mail[0-9]\.example\.com", t) for t in clean) and any("<EMAIL>" in t for t in clean)
     assert all(r.n_chars == len(r.text) for r in rows["personal data"])
