@@ -254,18 +254,40 @@ def test_temperature_repairs_confidence():
 def test_long_texts_come_in_pieces(monkeypatch):
     rng = np.random.default_rng(10)
     model = language.Model(["a", "b"], rng.normal(size=(language.DIMS, 2)), np.zeros(2))
-    texts = ["word " * 4000, "other text " * 9, "", None, "words more " * 3000]
+    texts = ["word " * 4000, "other text " * 9, "", None, "words more " * 3000, "7" * 70 + "ab" + " -" * 400 + "Σ", "x" * 128, " " * 200]
     names, whole = model.predict(texts)
-    monkeypatch.setattr(language, "_BLOCK", 1000)
-    again, pieces = model.predict(texts)
-    assert names == again and np.allclose(whole, pieces, atol=0.01) and names[2:4] == ["und", "und"]
+    for block in (1000, 64, 7):
+        monkeypatch.setattr(language, "_BLOCK", block)
+        again, pieces = model.predict(texts)
+        assert names == again and np.allclose(whole, pieces, atol=1e-6) and names[2:4] == ["und", "und"] and names[-1] == "und"
 
 
-def test_grams_stay_in_their_text():
-    both, ends = language._grams(["ab cd", "ef1g", "", "7"])
-    alone = [language._grams([t])[0] for t in ("ab cd", "ef1g", "", "7")]
-    for i, grams in enumerate(alone):
-        assert sorted(both[ends[i] : ends[i + 1]].tolist()) == sorted(grams.tolist())
+def grams_of(texts):
+    """Sorted n-gram buckets of each text."""
+    out = defaultdict(list)
+    for numbers, grams, ends in language._blocks(texts):
+        for i, a, b in zip(numbers, ends[:-1], ends[1:], strict=True):
+            out[i] += grams[a:b].tolist()
+    return [sorted(out[i]) for i in range(len(texts))]
+
+
+def test_grams_stay_in_their_text(monkeypatch):
+    texts = ["ab cd", "ef1g", "", "7", "long one, with 1 or 2 cuts in a row"]
+    whole = grams_of(texts)
+    assert whole == [grams_of([t])[0] for t in texts]
+    for block in (1, 2, 3, 8):
+        monkeypatch.setattr(language, "_BLOCK", block)
+        assert grams_of(texts) == whole
+
+
+def test_sample_is_of_distinct_rows(spark):
+    """A text that a third of all rows repeat is one row of the sample; more languages than are learned are no error."""
+    rows = [(None, "immer wieder der gleiche Satz", "de")] * 60 + [(i, f"word number {i} of these", "en") for i in range(60)] + [(i, f"rare {i}", f"l{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, sample=20, most_languages=3)
+    assert len(model.languages) == 3 and {"de", "en"} < set(model.languages)
+    said = {r.lang: r.lang_pred for r in language.identify(docs.where("lang IN ('de', 'en')"), model).collect()}
+    assert said == {"de": "de", "en": "en"}
 
 
 def test_quality(spark, docs):
@@ -284,39 +306,12 @@ def test_quality(spark, docs):
     assert {r.doc_id: r["count"] for r in lines} == {i: t.count("\n") + 1 for i, t in texts.items()}
 
 
-def test_lines_are_measured_alike_in_blocks(monkeypatch):
-    texts = ["One line.\nTwo TWO two two!!\n\nOne line.", "", "x" * 500, "\n\n", "é ü 12 | 34\n" * 60]
-    whole = quality.line_features(texts)
-    monkeypatch.setattr(quality, "_BLOCK", 40)
-    assert all(np.allclose(a, b) for a, b in zip(whole, quality.line_features(texts), strict=True))
-    assert whole[0][:4, quality.REPEATED].tolist() == [1, 0, 0, 1] and whole[2].tolist() == [0, 4, 5, 6, 9, 70]
-
-
 def test_quality_without_labels(spark, docs):
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality.assess(docs, none).collect()} == {0.5}
     assert quality.assess(docs.limit(0), none).count() == 0
 
 
-def test_marginals_are_the_plain_ones():
-    from itertools import product
-
-    rng = np.random.default_rng(9)
-    node, step, lines = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([0, 4, 5, 9])
-    good, pairs = quality._chain(node, step, lines, pairs=True)
-    together = np.zeros((2, 2))
-    for a, b in zip(lines[:-1], lines[1:], strict=True):
-        total, mass, move = 0.0, np.zeros(b - a), np.zeros((2, 2))
-        for ys in product((0, 1), repeat=b - a):
-            w = np.exp(sum(node[a + i] * y for i, y in enumerate(ys)) + sum(step[ys[i], ys[i + 1]] for i in range(b - a - 1)))
-            total, mass = total + w, mass + w * np.array(ys)
-            for i in range(b - a - 1):
-                move[ys[i], ys[i + 1]] += w
-        assert np.allclose(mass / total, good[a:b])
-        together += move / total
-    assert np.allclose(together, pairs)
-
-
 # --- queries and pipeline ------------------------------------------------------------------------------------------
 
 
