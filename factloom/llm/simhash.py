@@ -127,18 +127,17 @@ def _pairs(met: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, paired: int = PAIRED) -> DataFrame:
     """All pairs (a, b), a < b, of nodes (column ``fp``, distinct) within RADIUS bits of each other."""
     own, turned = _table(QUARTERS)
-    quarter = [_within(own, t) for t in turned]
-    met = [F.xxhash64(F.lit(n), *quarter[i], *quarter[j]) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    few, many = _cells(nodes.select("fp", F.explode(F.array(*met)).alias("cell")), paired)
+    placed = nodes.select("fp", *[F.xxhash64(*_within(own, t)).alias(f"g{i}") for i, t in enumerate(turned)])
+    met = [F.xxhash64(F.lit(n), f"g{i}", f"g{j}") for n, (i, j) in enumerate(combinations(range(4), 2))]
+    few, many = _cells(placed.select("fp", F.explode(F.array(*met)).alias("cell")), paired)
 
     own, turned = _table(OCTETS)
-    octet = [F.xxhash64(*_within(own, t)) for t in turned]
-    free = list(combinations(range(8), 2))
+    placed = many.select("fp").distinct().select("fp", *[F.xxhash64(*_within(own, t)).alias(f"g{i}") for i, t in enumerate(turned)])
     met = [
-        F.struct(F.xxhash64(F.lit(n), *[octet[k] for k in range(8) if k not in out]).alias("cell"), F.lit(8 * out[0]).alias("low"), F.lit(8 * out[1]).alias("high"))
-        for n, out in enumerate(free)
+        F.struct(F.xxhash64(F.lit(n), *[f"g{k}" for k in range(8) if k not in free]).alias("cell"), F.lit(8 * free[0]).alias("low"), F.lit(8 * free[1]).alias("high"))
+        for n, free in enumerate(combinations(range(8), 2))
     ]
-    finer = many.select("fp").distinct().select("fp", F.explode(F.array(*met)).alias("met")).select("fp", "met.*")
+    finer = placed.select("fp", F.explode(F.array(*met)).alias("met")).select("fp", "met.*")
     few2, many2 = _cells(finer, paired)
 
     # Of the 64 references that turn one bit of a base each coordinate is one bit of this number.
