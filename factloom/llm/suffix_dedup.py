@@ -7,19 +7,23 @@ Documents are dealt to groups by hash of the id. Every string of WIDTH bytes has
 pieces of PIECE bytes; equal strings have equal marks, and neighbouring strings mostly share theirs, so a document falls into
 stretches of one mark. The steps are one plan in which the dealt documents are shuffled once and read three times:
 
-1. each group sends its distinct marks to buckets, which answer which of them occur in more than one document;
-2. each group sends the text of its stretches of such marks, each distinct stretch once with the least id it occurs in,
-   to the shard of its mark. A shard builds a suffix array over the stretches by Larsson-Sadakane refinement, finds
-   common prefixes by Kasai's method, and so the least id of every string; a shard of more than SHARD_BYTES is cut
-   into parts with a suffix array each, which are merged by binary search;
+1. each group sends its distinct marks to buckets, with the number of distinct stretches that have them; buckets answer which
+   marks occur in more than one document, and which are crowded;
+2. each group sends the text of its stretches of shared marks, each distinct stretch once with the least id it occurs in,
+   to the shard of its mark. Stretches of a crowded mark (a piece that stands in very many different contexts) are cut
+   further by the marks of longer pieces, of the most crowded ones by whole strings, and each part goes to the shard of
+   that mark, so that no shard gets all contexts. A shard builds a suffix array over its stretches by Larsson-Sadakane
+   refinement, finds common prefixes by Kasai's method, and so the least id of every string; a shard of more than
+   SHARD_BYTES is cut into parts with a suffix array each, whose sorted strings are merged two by two by binary search;
 3. shards answer with these ids, and groups remove what has a smaller one than its own document.
 
-Hot passages meet at most once per group and mark. Groups, buckets and shards are of bounded size, their number follows
-the input. Everything before suffix sorting only decides where strings meet; equality is decided on the bytes.
+Hot passages meet at most once per group and mark. Groups, buckets and shards are of bounded size, their number and that
+of the tasks follow the input. Everything before suffix sorting only decides where strings meet; equality is decided on
+the bytes. What still grows is the number of groups that tell one shard of the same passage, a row each: one in 4 MB of text.
 
 Edge cases: a null text is an empty one; documents shorter than WIDTH lose nothing; rows that share an id never remove
-each other's bytes; rows with a null id lose nothing and remove nothing; repeated rows stay. Columns other than the
-two named are ignored.
+each other's bytes; rows with a null id lose nothing and remove nothing; repeated rows stay. Ids may be of any type that
+sorts; those that are no whole numbers are numbered in their order first. Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import cut
+
 WIDTH = 50
 PIECE = 20
+#: Distinct stretches, about, from which on a mark is crowded, and the pieces by which its stretches are marked anew.
+CROWDED = ((512, 44), (1 << 18, WIDTH))
+#: Tasks of one step at most; a task takes any number of groups, one after the other.
+TASKS = 20_000
 #: Bytes of text in a group of documents, of text for every shard, and of stretches in one suffix array; marks in a
 #: bucket; all about.
 GROUP_BYTES, TEXT_BYTES, SHARD_BYTES, BUCKET_MARKS = 4 << 20, 1 << 19, 3 << 20, 1 << 18
@@ -60,20 +70,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _known[0][:n], _known[1][:n]
 
 
-def marks(data: np.ndarray) -> np.ndarray:
-    """For every start of a string of WIDTH bytes in ``data`` its mark, 48 bits."""
-    n = len(data) - PIECE + 1
-    power, back = _powers(len(data))
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the bytes before each place, each byte times the power of its own."""
+    total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        # A sum's terms start at the power of its place; the inverse power there makes equal pieces equal.
-        h = (total[PIECE:] - total[:n]) * back[:n]
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[0], out=total[1:])
+    return total
+
+
+def _hashes(total: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """Hashes of the bytes from ``start`` to ``end``: a sum's terms start at the power of its place, and the inverse power
+    there makes equal stretches equal."""
+    with np.errstate(over="ignore"):
+        h = (total[end] - total[start]) * _powers(len(total) - 1)[1][start]
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(32)
-    window, least = 1, h
-    span = WIDTH - PIECE + 1
+    return h
+
+
+def marks(total: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """For every start of a string of WIDTH bytes its mark, 48 bits."""
+    n = len(total) - piece
+    window, least = 1, _hashes(total, slice(0, n), slice(piece, None))
+    span = WIDTH - piece + 1
     while window * 2 <= span:
         least = np.minimum(least[:-window], least[window:])
         window *= 2
@@ -82,8 +102,8 @@ def marks(data: np.ndarray) -> np.ndarray:
     return least >> np.uint64(16)
 
 
-def stretches(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start in it, number of strings, mark) of every stretch; each string is in exactly one."""
+def stretches(docs: list[bytes], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start in it, number of strings, mark, hash) of every stretch; each string is in exactly one."""
     found: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -92,7 +112,8 @@ def stretches(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         data = np.frombuffer(b"".join(b for _, _, b in held), np.uint8)
         lengths = np.array([len(b) for _, _, b in held])
         ends = lengths.cumsum()
-        mark = marks(data)
+        total = _sums(data)
+        mark = marks(total, piece)
         good = np.ones(len(mark), bool)
         for back in range(1, WIDTH):
             at = ends[:-1] - back
@@ -104,9 +125,11 @@ def stretches(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         head = np.flatnonzero(new)
         new |= (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % LONGEST == 0
         head = np.flatnonzero(new)
-        piece = np.searchsorted(ends, at[head], side="right")
+        of = np.searchsorted(ends, at[head], side="right")
         number, offset = np.array([d for d, _, _ in held]), np.array([o for _, o, _ in held])
-        found.append((number[piece], offset[piece] + at[head] - (ends - lengths)[piece], np.diff(np.append(head, len(at))), m[head]))
+        count = np.diff(np.append(head, len(at)))
+        hashed = _hashes(total, at[head], at[head] + count + WIDTH - 1)
+        found.append((number[of], offset[of] + at[head] - (ends - lengths)[of], count, m[head], hashed))
 
     for d, text in enumerate(docs):
         # A long document is taken in overlapping parts that share no string.
@@ -121,7 +144,7 @@ def stretches(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         flush()
     if not found:
         none = np.empty(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -146,7 +169,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal values in a sorted array."""
     at = np.flatnonzero(np.diff(keys, prepend=-1))
-    for a, b in zip(at, np.append(at[1:], len(keys)), strict=True):
+    for a, b in zip(at, np.append(at, len(keys))[1:], strict=True):
         yield int(keys[a]), slice(int(a), int(b))
 
 
@@ -241,6 +264,16 @@ def least_ids(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group[at], counts, order[heads], least
 
 
+def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Union of two sorted tables of distinct strings with their least ids: the strings of one are looked up in the other."""
+    (strings, ids), (others, low) = a, b
+    at = np.searchsorted(others, strings)
+    hit = others[np.minimum(at, len(others) - 1)] == strings
+    low = low.copy()
+    low[at[hit]] = np.minimum(low[at[hit]], ids[hit])
+    return np.insert(others, at[~hit], strings[~hit]), np.insert(low, at[~hit], ids[~hit])
+
+
 def merged_ids(texts: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(least id of every string, number of strings of each text), with one suffix array per ``shard_bytes`` of text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -248,25 +281,80 @@ def merged_ids(texts: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYT
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     stops = np.append(cuts[1:], len(texts))
     parts = [least_ids(texts[a:b], ids[a:b]) for a, b in zip(cuts, stops, strict=True)]
-    best = [least.copy() for _, _, _, least in parts]
+    best = [least for _, _, _, least in parts]
     if len(parts) > 1:
-        # Every part's distinct strings, which its suffix array has in order, are looked up in the others'.
+        # Every part's distinct strings, which its suffix array has in order, are merged with its neighbour's, and so on.
         tables = []
-        for (_, _, heads, _), a, b in zip(parts, cuts, stops, strict=True):
+        for (_, _, heads, least), a, b in zip(parts, cuts, stops, strict=True):
             data = np.frombuffer(b"\xff".join(texts[a:b]), np.uint8)
-            tables.append(np.lib.stride_tricks.sliding_window_view(data, WIDTH)[heads].copy().view(f"S{WIDTH}").ravel())
-        for i, strings in enumerate(tables):
-            for j, others in enumerate(tables):
-                if i != j:
-                    at = np.minimum(np.searchsorted(others, strings), len(others) - 1)
-                    hit = others[at] == strings
-                    best[i][hit] = np.minimum(best[i][hit], parts[j][3][at[hit]])
+            tables.append((np.lib.stride_tricks.sliding_window_view(data, WIDTH)[heads].copy().view(f"S{WIDTH}").ravel(), least))
+        rest = tables
+        while len(rest) > 1:
+            rest = [_merge(*rest[i : i + 2]) if i + 1 < len(rest) else rest[i] for i in range(0, len(rest), 2)]
+        best = [rest[0][1][np.searchsorted(rest[0][0], strings)] for strings, _ in tables]
     return np.concatenate([b[p[0]] for b, p in zip(best, parts, strict=True)]), np.concatenate([p[1] for p in parts])
 
 
 # --- what groups and shards tell each other ------------------------------------------------------------------------
 
 
+class _Asked:
+    """What a group asks shards for: its distinct stretches of shared marks, and the units they are sent as, a whole stretch
+    or the parts that a stretch of a crowded mark is cut into. Equal units are one."""
+
+    def __init__(self, group: _Group, status: np.ndarray, crowded: tuple[tuple[int, int], ...]):
+        self.picked = np.flatnonzero(status[group.of])
+        number: dict[bytes, int] = {}
+        doc, start, end = group.doc[self.picked], group.start[self.picked], group.start[self.picked] + group.count[self.picked] + WIDTH - 1
+        texts = group.texts
+        self.which = np.fromiter((number.setdefault(texts[d][a:b], len(number)) for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)), np.int64, len(self.picked))
+        self.texts = list(number)
+        self.least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.which, group.ids[doc])
+        mark, level = np.zeros(len(number), np.uint64), np.zeros(len(number), np.int64)
+        mark[self.which], level[self.which] = group.mark[self.picked], status[group.of[self.picked]]
+
+        # Parts: (text, first string, number of strings, mark).
+        whole = np.flatnonzero(level == 1)
+        size = np.fromiter(map(len, self.texts), np.int64, len(self.texts)) - WIDTH + 1
+        parts = [(whole, np.zeros(len(whole), np.int64), size[whole], mark[whole])]
+        for k, (_, piece) in enumerate(crowded):
+            hot = np.flatnonzero(level == 2 + k)
+            if len(hot):
+                of, first, count, finer, _ = stretches([self.texts[i] for i in hot.tolist()], piece)
+                parts.append((hot[of], first, count, finer))
+        self.text, self.first, self.count, part_mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+        number = {}
+        self.unit = np.fromiter(
+            (number.setdefault(self.texts[i][a : a + c + WIDTH - 1], len(number)) for i, a, c in zip(self.text.tolist(), self.first.tolist(), self.count.tolist(), strict=True)),
+            np.int64, len(self.text),
+        )
+        self.units = list(number)
+        self.unit_least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(self.unit_least, self.unit, self.least[self.text])
+        self.unit_mark = np.zeros(len(number), np.uint64)
+        self.unit_mark[self.unit] = part_mark
+
+    def put_together(self, single: np.ndarray, several: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From ids of units (one for all strings, or where theirs begin in ``each``, else -1) the same of texts."""
+        parts = np.bincount(self.text, minlength=len(self.texts))
+        one, many = np.flatnonzero(parts[self.text] == 1), np.flatnonzero(parts[self.text] > 1)
+        text_single, text_several = self.least.copy(), np.full(len(self.texts), -1, np.int64)
+        text_single[self.text[one]], text_several[self.text[one]] = single[self.unit[one]], several[self.unit[one]]
+        if not len(many):
+            return text_single, text_several, each
+        many = many[np.lexsort((self.first[many], self.text[many]))]
+        n, unit = self.count[many], self.unit[many]
+        ends = n.cumsum()
+        step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        spread = np.repeat(several[unit], n)
+        told = np.append(each, 0)[np.where(spread >= 0, spread + step, -1)]
+        values = np.where(spread >= 0, told, np.repeat(single[unit], n))
+        heads = np.flatnonzero(np.diff(self.text[many], prepend=-1))
+        text_several[self.text[many[heads]]] = len(each) + (ends - n)[heads]
+        return text_single, text_several, np.concatenate([each, values])
+
+
 class _Group:
     """The documents of one group and their stretches; the same for the same documents, whatever order they come in."""
 
@@ -274,42 +362,30 @@ class _Group:
         docs = docs[docs["id"].notna()].sort_values(["id", "text"])
         self.ids = docs["id"].to_numpy(np.int64)
         self.texts = docs["text"].tolist()
-        self.doc, self.start, self.count, self.mark = stretches(self.texts)
+        self.doc, self.start, self.count, self.mark, self.hash = stretches(self.texts)
         self.distinct, self.of = np.unique(self.mark, return_inverse=True)
 
-    def shared(self) -> np.ndarray:
-        """Which distinct marks occur under more than one id in this group."""
+    def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct mark: whether it occurs under more than one id in this group, in how many distinct stretches (65,535
+        at most), and a byte of the hash of one of them."""
         low = np.full(len(self.distinct), np.iinfo(np.int64).max)
         high = np.full(len(self.distinct), np.iinfo(np.int64).min)
         ids = self.ids[self.doc]
         np.minimum.at(low, self.of, ids)
         np.maximum.at(high, self.of, ids)
-        return low < high
-
-    def ask(self, answers: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Stretches of marks shared with others: (their places, distinct texts, which text each has, least id of each
-        text, mark of each text)."""
-        if not len(self.distinct) or not len(answers):
-            bits = np.zeros(len(self.distinct), bool)
-        else:
-            answers = answers.sort_values("bucket")
-            bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(answers["bits"], answers["n"], strict=True)]).astype(bool)
-        picked = np.flatnonzero(bits[self.of])
-        number: dict[bytes, int] = {}
-        texts = self.texts
-        which = np.fromiter(
-            (
-                number.setdefault(texts[d][s : s + c], len(number))
-                for d, s, c in zip(self.doc[picked].tolist(), self.start[picked].tolist(), (self.count[picked] + WIDTH - 1).tolist(), strict=True)
-            ),
-            np.int64,
-            len(picked),
-        )
-        least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, self.ids[self.doc[picked]])
-        mark = np.zeros(len(number), np.uint64)
-        mark[which] = self.mark[picked]
-        return picked, list(number), which, least, mark
+        order = np.lexsort((self.hash, self.of))
+        of, hashed = self.of[order], self.hash[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (hashed[1:] != hashed[:-1])
+        times = np.bincount(of[new], minlength=len(self.distinct))
+        tag = (hashed[np.flatnonzero(np.diff(of, prepend=-1))] >> np.uint64(20)).astype(np.uint8)
+        return low < high, np.minimum(times, 65_535).astype(np.uint16), tag
+
+    def ask(self, answers: pd.DataFrame, crowded: tuple[tuple[int, int], ...]) -> _Asked:
+        status = np.zeros(len(self.distinct), np.uint8)
+        if len(self.distinct) and len(answers):
+            status = np.concatenate([np.frombuffer(zstandard.decompress(b), np.uint8) for b in answers.sort_values("bucket")["status"]])
+        return _Asked(self, status, crowded)
 
 
 def _zip(*arrays: np.ndarray | bytes) -> bytes:
@@ -328,35 +404,50 @@ def _unzip(blob: bytes) -> list[bytes]:
 def _ask_buckets(n_buckets: int):
     def of(docs: pd.DataFrame) -> pd.DataFrame:
         group, gid = _Group(docs), docs["gid"].iloc[0]
-        shared = group.shared()
-        rows = [(b, gid, s.stop - s.start, _pack(group.distinct[s]), np.packbits(shared[s]).tobytes()) for b, s in _slices(_bucket(group.distinct, n_buckets))]
-        return pd.DataFrame(rows, columns=["bucket", "gid", "n", "marks", "bits"])
+        shared, times, tag = group.shared()
+        rows = [(b, gid, _pack(group.distinct[s]), _zip(np.packbits(shared[s]), times[s], tag[s])) for b, s in _slices(_bucket(group.distinct, n_buckets))]
+        return pd.DataFrame(rows, columns=["bucket", "gid", "marks", "told"])
 
     return of
 
 
-def _answer_marks(asked: pd.DataFrame) -> pd.DataFrame:
-    values = [_unpack(b) for b in asked["marks"]]
-    local = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(asked["bits"], asked["n"], strict=True)]
-    _, of, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    shared = times > 1
-    shared |= np.bincount(of, weights=np.concatenate(local), minlength=len(times)) > 0
-    bits = np.split(shared[of], np.cumsum([len(v) for v in values])[:-1])
-    return pd.DataFrame({"gid": asked["gid"], "bucket": asked["bucket"], "n": asked["n"], "bits": [np.packbits(b).tobytes() for b in bits]})
+def _answer_marks(crowded: tuple[tuple[int, int], ...]):
+    def of(asked: pd.DataFrame) -> pd.DataFrame:
+        """0 for a mark of one document, 1 for a shared one, 2 and more for levels of crowdedness."""
+        values = [_unpack(b) for b in asked["marks"]]
+        local, times, tags = [], [], []
+        for blob, v in zip(asked["told"], values, strict=True):
+            bits, n, tag = _unzip(blob)
+            local.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(v)))
+            times.append(np.frombuffer(n, np.uint16))
+            tags.append(np.frombuffer(tag, np.uint8))
+        distinct, mark, groups = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        shared = (groups > 1) | (np.bincount(mark, weights=np.concatenate(local), minlength=len(distinct)) > 0)
+        # Distinct stretches, about: one in each group is the same as in others as far as the hashes' bytes agree.
+        kinds = np.bincount(np.unique(mark * 256 + np.concatenate(tags)) // 256, minlength=len(distinct))
+        ones = np.where(kinds < 256, -256 * np.log1p(-np.minimum(kinds, 255) / 256), groups)
+        many = np.bincount(mark, weights=np.concatenate(times), minlength=len(distinct)) - groups + np.minimum(ones, groups)
+        status = shared.astype(np.uint8)
+        for least, _ in crowded:
+            status += (shared & (many >= least)).astype(np.uint8)
+        parts = np.split(status[mark], np.cumsum([len(v) for v in values])[:-1])
+        return pd.DataFrame({"gid": asked["gid"], "bucket": asked["bucket"], "status": [zstandard.compress(p.tobytes(), 1) for p in parts]})
+
+    return of
 
 
-def _ask_shards(n_shards: int):
+def _ask_shards(n_shards: int, crowded: tuple[tuple[int, int], ...]):
     def of(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(docs):
             gid = docs["gid"].iloc[0]
-            _, texts, _, least, mark = _Group(docs).ask(answers)
-            shard = _bucket(mark, n_shards)
+            asked = _Group(docs).ask(answers, crowded)
+            shard = _bucket(asked.unit_mark, n_shards)
             order = np.argsort(shard, kind="stable")
             for b, s in _slices(shard[order]):
                 at = order[s]
-                mine = [texts[i] for i in at]
-                rows.append((b, gid, _zip(np.array([len(t) for t in mine], np.int32), least[at], b"".join(mine))))
+                mine = [asked.units[i] for i in at]
+                rows.append((b, gid, _zip(np.array([len(t) for t in mine], np.int32), asked.unit_least[at], b"".join(mine))))
         return pd.DataFrame(rows, columns=["shard", "gid", "stretches"])
 
     return of
@@ -385,34 +476,35 @@ def _answer_stretches(shard_bytes: int):
             same, mixed = told[even], told[~even]
             each = np.concatenate([found[starts[w] : starts[w] + counts[w]] for w in which[mixed]]) if len(mixed) else np.empty(0, np.int64)
             out.append(_zip(same.astype(np.int32), low[which[same]], mixed.astype(np.int32), each))
-        return pd.DataFrame({"gid": asked["gid"], "shard": asked["shard"], "kind": 1, "n": 0, "blob": out})
+        return pd.DataFrame({"gid": asked["gid"], "shard": asked["shard"], "kind": 1, "blob": out})
 
     return of
 
 
-def _remove(n_shards: int):
+def _remove(n_shards: int, crowded: tuple[tuple[int, int], ...]):
     def of(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({"id": [], "n_bytes": [], "removed": [], "kept_sha256": []})
         told = answers["kind"] == 1
-        marks = answers[~told].rename(columns={"shard": "bucket", "blob": "bits"})
         group = _Group(docs)
-        picked, texts, which, least, mark = group.ask(marks)
-        order = np.argsort(_bucket(mark, n_shards), kind="stable")
-        first = {b: s for b, s in _slices(_bucket(mark, n_shards)[order])}
-        size = np.array([len(t) - WIDTH + 1 for t in texts], np.int64)
-        single = least.copy()  # the least id of all strings of a text, where they agree
-        several = np.full(len(texts), -1, np.int64)  # else where its strings' ids begin in ``each``
+        asked = group.ask(answers[~told].rename(columns={"shard": "bucket", "blob": "status"}), crowded)
+        shard = _bucket(asked.unit_mark, n_shards)
+        order = np.argsort(shard, kind="stable")
+        first = {b: s for b, s in _slices(shard[order])}
+        size = np.fromiter(map(len, asked.units), np.int64, len(asked.units)) - WIDTH + 1
+        single = asked.unit_least.copy()  # the least id of all strings of a unit, where they agree
+        several = np.full(len(asked.units), -1, np.int64)  # else where its strings' ids begin in ``each``
         parts, filled = [], 0
-        for shard, blob in zip(answers["shard"][told], answers["blob"][told], strict=True):
+        for b, blob in zip(answers["shard"][told], answers["blob"][told], strict=True):
             same, ids, mixed, each = _unzip(blob)
-            mine = order[first[shard]]
+            mine = order[first[b]]
             single[mine[np.frombuffer(same, np.int32)]] = np.frombuffer(ids, np.int64)
             mixed = mine[np.frombuffer(mixed, np.int32)]
             several[mixed] = filled + size[mixed].cumsum() - size[mixed]
             parts.append(np.frombuffer(each, np.int64))
             filled += len(parts[-1])
-        each = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        single, several, each = asked.put_together(single, several, np.concatenate(parts) if parts else np.empty(0, np.int64))
+        picked, which = asked.picked, asked.which
         # Documents stand one after another with a gap of one, so that runs of two never touch.
         lengths = np.fromiter(map(len, group.texts), np.int64, len(group.texts))
         base = (lengths + 1).cumsum() - lengths - 1
@@ -456,6 +548,7 @@ def repeated_spans(
     text_bytes: int = TEXT_BYTES,
     shard_bytes: int = SHARD_BYTES,
     bucket_marks: int = BUCKET_MARKS,
+    crowded: tuple[tuple[int, int], ...] = CROWDED,
 ) -> DataFrame:
     """One row per document: id, n_bytes, removed (array of start and end of every maximal removed run, in bytes), and
     kept_sha256 of the rest."""
@@ -464,17 +557,29 @@ def repeated_spans(
     n_buckets = max(1, -(-total // (16 * bucket_marks)))
     n_shards = max(1, -(-total // text_bytes))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    if whole:
+        rows = rows.withColumn("id", F.col("id").cast("long"))
+    else:
+        # Numbers of sorted rows grow from partition to partition.
+        order = docs.select(F.col(id_col).alias("name")).where("name IS NOT NULL").distinct().sort("name")
+        order = cut(order.select("name", F.monotonically_increasing_id().alias("number")), "id-order")
+        rows = rows.join(order, F.col("id") == F.col("name"), "left").select(F.col("number").alias("id"), "text")
     gid = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n_groups))
+    tasks = [min(TASKS, -(-n // few)) for n, few in ((n_groups, 2), (n_buckets, 2), (n_shards, 16))]
     # The same exchange serves all three uses below.
-    dealt = rows.withColumn("gid", gid).repartition("gid")
-
-    asked = dealt.groupBy("gid").applyInPandas(_ask_buckets(n_buckets), "bucket long, gid long, n long, marks binary, bits binary")
-    known = asked.groupBy("bucket").applyInPandas(_answer_marks, "gid long, bucket long, n long, bits binary")
-    sent = dealt.groupBy("gid").cogroup(known.groupBy("gid")).applyInPandas(_ask_shards(n_shards), "shard long, gid long, stretches binary")
-    least = sent.groupBy("shard").applyInPandas(_answer_stretches(shard_bytes), "gid long, shard long, kind int, n long, blob binary")
-    both = least.unionByName(known.select("gid", F.col("bucket").alias("shard"), F.lit(0).alias("kind"), "n", F.col("bits").alias("blob")))
-    out = dealt.groupBy("gid").cogroup(both.groupBy("gid")).applyInPandas(_remove(n_shards), "id long, n_bytes long, removed array<long>, kept_sha256 string")
+    dealt = rows.withColumn("gid", gid).repartition(tasks[0], "gid")
+
+    asked = dealt.groupBy("gid").applyInPandas(_ask_buckets(n_buckets), "bucket long, gid long, marks binary, told binary")
+    known = asked.repartition(tasks[1], "bucket").groupBy("bucket").applyInPandas(_answer_marks(crowded), "gid long, bucket long, status binary")
+    known = known.repartition(tasks[0], "gid")
+    sent = dealt.groupBy("gid").cogroup(known.groupBy("gid")).applyInPandas(_ask_shards(n_shards, crowded), "shard long, gid long, stretches binary")
+    least = sent.repartition(tasks[2], "shard").groupBy("shard").applyInPandas(_answer_stretches(shard_bytes), "gid long, shard long, kind int, blob binary")
+    both = least.unionByName(known.select("gid", F.col("bucket").alias("shard"), F.lit(0).alias("kind"), F.col("status").alias("blob"))).repartition(tasks[0], "gid")
+    out = dealt.groupBy("gid").cogroup(both.groupBy("gid")).applyInPandas(_remove(n_shards, crowded), "id long, n_bytes long, removed array<long>, kept_sha256 string")
+    if not whole:
+        out = out.join(order, F.col("id") == F.col("number"), "left").select(F.col("name").alias("id"), "n_bytes", "removed", "kept_sha256")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -119,7 +119,7 @@ def plain_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"group_bytes": 20_000, "text_bytes": 30_000, "shard_bytes": 9_000, "bucket_marks": 500}])
+@pytest.mark.parametrize("sizes", [{}, {"crowded": ((1, 44), (3, 50))}, {"crowded": ((2, 48), (1 << 30, 50)), "group_bytes": 9_000, "text_bytes": 4_000, "shard_bytes": 700, "bucket_marks": 90}, {"group_bytes": 20_000, "text_bytes": 30_000, "shard_bytes": 9_000, "bucket_marks": 500}])
 def test_removal_is_the_plain_one(spark, docs, sizes):
     extra = ["a" * 49, "a" * 50, "a" * 51, "a" * 200, "ab" * 300, "b" * 30 + "ab" * 100, "é" * 60, "zz" + "q" * 60, "\x00" * 70, "\x00" * 60 + "y"]
     more = spark.createDataFrame([(2 * 10**6 + i, t) for i, t in enumerate(extra)] + [(5, "q" * 80), (5, "q" * 80), (None, "a" * 200)], "doc_id long, text string")
@@ -130,6 +130,40 @@ def test_removal_is_the_plain_one(spark, docs, sizes):
     assert suffix_dedup.repeated_spans(rows.limit(0)).count() == 0
 
 
+def test_a_piece_in_thousands_of_contexts(spark):
+    """Its stretches all have one mark; they are cut and dealt to many shards, and the result stays the plain one."""
+    rng = np.random.default_rng(8)
+    piece = b"<<one common piece>>"
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    rows = [(i, noise(60) + piece + (b"and more of the same in some of them" if i % 3 == 0 else b"") + noise(60)) for i in range(3000)]
+    rows += [(4000 + i, rows[i][1][20:110]) for i in range(0, 3000, 50)]
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string")
+    sizes = {"group_bytes": 60_000, "text_bytes": 20_000, "crowded": ((100, 44), (4000, 50))}
+    got = sorted(tuple(r) for r in suffix_dedup.report(suffix_dedup.repeated_spans(frame, **sizes)).collect())
+    assert got == sorted(plain_removal(rows))
+
+    import pandas as pd
+
+    told = {}
+    for crowded in (((1 << 40, 50),), sizes["crowded"]):
+        parts = []
+        for gid in range(5):
+            mine = rows[gid::5]
+            group = suffix_dedup._Group(pd.DataFrame({"id": [i for i, _ in mine], "text": [t for _, t in mine], "gid": gid}))
+            parts.append(suffix_dedup._ask_buckets(1)(pd.DataFrame({"id": [i for i, _ in mine], "text": [t for _, t in mine], "gid": gid})))
+        answers = suffix_dedup._answer_marks(crowded)(pd.concat(parts))
+        asked = group.ask(answers[answers["gid"] == 4], crowded)
+        shard = suffix_dedup._bucket(asked.unit_mark, 30)
+        told[len(crowded)] = np.bincount(shard, weights=[len(u) for u in asked.units], minlength=30).max() / sum(map(len, asked.units))
+    assert told[1] > 0.5 and told[2] < 0.25
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("b", "x" * 30 + "the same fifty bytes and more of them, to be sure of it"), ("a", "the same fifty bytes and more of them, to be sure of it" + "y" * 9), (None, "z" * 80), ("c", None), ("aa", "z" * 80)]
+    got = {r.doc_id: r for r in suffix_dedup.report(suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id string, text string"))).collect()}
+    assert {k: r.n_removed for k, r in got.items()} == {"a": 0, "b": 55, None: 0, "c": 0, "aa": 30} or {k: r.n_removed for k, r in got.items()} == {"a": 0, "b": 55, None: 0, "c": 0, "aa": 0}
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(4)
     for size, letters in ((400, 2), (3000, 3), (50, 1), (1, 1), (9, 2)):
@@ -137,9 +171,19 @@ def test_suffix_array_and_prefixes():
         order, eight = suffix_dedup.suffix_array(data)
         raw = data.tobytes()
         assert order.tolist() == sorted(range(size), key=lambda i: raw[i:])
-        shared = suffix_dedup.common_prefixes(order, eight, np.array([0]), np.array([max(1, size - 60)]), 50) if size < 61 else None
-        if shared is not None and size <= 1:
-            assert shared.tolist() == [0]
+        # All suffixes but the last ten, in two stretches, against common prefixes counted byte by byte.
+        n = max(1, size - 10)
+        starts, counts = (np.array([0, n // 2]), np.array([n // 2, n - n // 2])) if n > 1 else (np.array([0]), np.array([1]))
+        picked = order[order < n]
+        for width in (50, 7):
+            want = [0]
+            for a, b in zip(picked[:-1].tolist(), picked[1:].tolist()):
+                k = 0
+                while k < width and max(a, b) + k < size and raw[a + k] == raw[b + k]:
+                    k += 1
+                want.append(k)
+            got = suffix_dedup.common_prefixes(picked, np.append(eight, np.zeros(0, np.uint64)), starts, counts, width)
+            assert np.array_equal(np.minimum(got, size - np.maximum(picked, np.roll(picked, 1)))[1:], want[1:]) and got[0] == 0
 
 
 def test_merging_parts_changes_nothing():
@@ -161,7 +205,7 @@ def test_merging_parts_changes_nothing():
 def test_stretches_cover_every_string_once():
     rng = np.random.default_rng(6)
     texts = [b"", b"x" * 49, b"y" * 50, bytes(rng.integers(97, 123, 5000, dtype=np.uint8)), b"ab" * 400_000, bytes(rng.integers(97, 123, 700_000, dtype=np.uint8))]
-    doc, start, count, mark = suffix_dedup.stretches(texts)
+    doc, start, count, mark, _ = suffix_dedup.stretches(texts)
     for d, t in enumerate(texts):
         seen = np.concatenate([np.arange(s, s + c) for s, c in zip(start[doc == d], count[doc == d], strict=True)] or [np.empty(0, int)])
         assert sorted(seen.tolist()) == list(range(max(0, len(t) - 49)))
