@@ -1,81 +1,82 @@
 """Whose record it is: employers, foundations, relatives, filings. On doubt a record belongs to nobody.
 
-Word lists are parameters with modest defaults; a deployment brings its own reviewed ones.
+Word lists are arguments without defaults: what is a filler or a charity word is for a deployment's reviewers to say.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.money import amounts
 from factloom.functions.numeric import figures_match
 
-#: Words that identify no company, employers that are none, and words of company names.
-FILLER = ("INC", "LLC", "LTD", "CORP", "CORPORATION", "COMPANY", "GROUP", "HOLDINGS", "PARTNERS", "CAPITAL", "MANAGEMENT", "THE", "AND", "INTERNATIONAL", "GLOBAL")
-NO_EMPLOYER = ("SELF", "SELF EMPLOYED", "RETIRED", "NONE", "NOT EMPLOYED", "HOMEMAKER", "INVESTOR", "CEO", "FOUNDER", "N A")
-COMPANY_WORDS = ("INC", "LLC", "CORP", "LP", "LTD", "FUND", "TRUST", "GROUP", "PARTNERS", "HOLDINGS", "CAPITAL")
-CHARITY = r"^(foundation|fund|charitable|trust|philanthrop\w*)$"
-INSTITUTION = r"\b(hospitals?|clinic|university|college|schools?|academy|museum|zoo|symphony|public library|health plan|medical center|credit union)\b"
-BETWEEN = ("family", "familys", "fam", "charitable", "philanthropic", "philanthropies", "jr", "sr", "ii", "iii", "iv")
 _SUFFIX = ("jr", "sr", "ii", "iii", "iv", "v")
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.trim(c), " +"), lambda w: w != "")
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits; remarks in brackets are left out."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\([^()]*\)", " ")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def company_tokens(name: Column) -> Column:
-    """Upper-case words of a company name; what stands in brackets is dropped."""
-    bare = F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"\([A-Z0-9 ,.-]*\)", " ")
-    return _words(F.regexp_replace(bare, "[^A-Z0-9]+", " "))
+def telling(text: Column, filler: Sequence[str]) -> Column:
+    """Distinct words that can identify a company: three letters at least, and no filler."""
+    return F.array_except(F.filter(words(text), lambda w: F.length(w) > 2), F.array(*[F.lit(f) for f in filler]).cast("array<string>"))
 
 
-def telling(tokens: Column, filler: Sequence[str] = FILLER) -> Column:
-    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(*filler))
+def _surname(name: Column) -> Column:
+    return F.try_element_at(F.filter(words(name), lambda w: ~w.isin(*_SUFFIX)), F.lit(-1))
 
 
-def employer_verdict(employer: Column, affiliations: Column, person: Column, filler: Sequence[str] = FILLER, none: Sequence[str] = NO_EMPLOYER) -> Column:
-    """generic, no-list, affiliated, surname or unaffiliated. No word of the person's own name counts as affiliation."""
-    words = company_tokens(employer)
-    said = telling(words, filler)
-    own = company_tokens(person)
-    known = F.filter(F.flatten(F.transform(affiliations, lambda a: telling(company_tokens(a), filler))), lambda t: ~F.array_contains(own, t))
-    surname = F.element_at(F.filter(own, lambda t: ~F.lower(t).isin(*_SUFFIX)), -1)
-    return (
-        F.when(F.array_join(words, " ").isin(*none) | (F.size(said) == 0), "generic")
-        .when(F.size(known) == 0, "no-list")
-        .when(F.arrays_overlap(said, known), "affiliated")
-        .when((F.length(surname) >= 3) & F.array_contains(said, surname), "surname")
-        .otherwise("unaffiliated")
-    )
+def affiliations(people: DataFrame, firms: DataFrame, filings: DataFrame, businesses: DataFrame, descriptions: DataFrame, filler: Sequence[str]) -> DataFrame:
+    """(person, word): distinct words that tell a person's companies, from four kinds of facts (person, value). Words of the
+    person's own name (people: person, name) tell nothing; an entity number is no firm's name; a description names what
+    stands after its first of or at."""
+    named = firms.where(~F.col("value").rlike("^Q[0-9]+$"))
+    told = descriptions.select("person", F.get(F.split("value", r"(?i)\s(?:of|at)\s", 2), 1).alias("value"))
+    rows = reduce(DataFrame.unionByName, [x.select("person", "value") for x in (named, filings, businesses, told)])
+    told_words = rows.select("person", F.explode(telling(F.col("value"), filler)).alias("word")).distinct()
+    own = people.select("person", F.explode(words(F.col("name"))).alias("word"))
+    return told_words.join(own, ["person", "word"], "left_anti")
 
 
-def affiliations_of(firms: Column, filings: Column, businesses: Column, description: Column) -> Column:
-    """Names of companies from four kinds of facts; a description gives what follows its first of or at."""
-    told = F.regexp_extract(description, r"(?i)\b(?:of|at)\s+(.+)$", 1)
-    none = F.array().cast("array<string>")
-    named = F.filter(F.coalesce(firms, none), lambda f: (f != "") & ~f.rlike(r"^Q[0-9]+$"))
-    parts = [named, F.coalesce(filings, none), F.coalesce(businesses, none), F.when(F.size(telling(company_tokens(told))) > 0, F.array(told)).otherwise(none)]
-    return F.filter(F.concat(*parts), lambda x: x.isNotNull() & (x != ""))
+def employer_verdicts(records: DataFrame, people: DataFrame, known: DataFrame, filler: Sequence[str], none: Sequence[str]) -> DataFrame:
+    """``records`` (record, person, employer) with a verdict: generic for an employer that is none (``none``: phrases of words) or
+    says nothing, no-list for a person without known words (``affiliations``), affiliated if they share one, surname if the
+    employer bears the person's own, else unaffiliated."""
+    said = records.select("record", "person", telling(F.col("employer"), filler).alias("said"), F.array_join(words(F.col("employer")), " ").alias("whole"))
+    shared = said.select("record", "person", F.explode("said").alias("word")).join(known, ["person", "word"]).select("record").distinct().withColumn("shares", F.lit(True))
+    listed = known.select("person").distinct().withColumn("listed", F.lit(True))
+    both = said.join(people.select("person", _surname(F.col("name")).alias("surname")), "person", "left").join(listed, "person", "left").join(shared, "record", "left")
+    verdict = (
+        F.when((F.size("said") == 0) | F.col("whole").isin(*none), "generic")
+        .when(F.col("listed").isNull(), "no-list")
+        .when(F.col("shares"), "affiliated")
+        .when((F.length("surname") > 2) & F.array_contains("said", F.col("surname")), "surname")
+        .otherwise("unaffiliated")
+    )
+    return records.join(both.select("record", verdict.alias("verdict")), "record")
 
 
-def own_foundation(organisation: Column, person: Column, legacy: Sequence[str] = ()) -> Column:
-    """Whether a charity is plausibly a person's own: it opens with their name or carries it whole, and their surname
-    is the last word before the charity word, connecting words aside. Institutions and listed legacies are not."""
-    org = F.regexp_replace(F.array_join(_words(F.regexp_replace(F.lower(organisation), "[^a-z0-9]+", " ")), " "), "^the ", "")
-    bare = F.regexp_replace(F.lower(person), r"\s*(&|and)\s+family\s*$", "")
-    name = F.filter(_words(F.regexp_replace(bare, "[^a-z0-9]+", " ")), lambda t: ~t.isin(*_SUFFIX))
+def own_foundation(organisation: Column, person: Column, charity: str, institutions: Sequence[str], connecting: Sequence[str], legacy: Sequence[str] = ()) -> Column:
+    """Whether a charity is plausibly a person's own: its name opens with one of theirs or has the whole of it, and up to the
+    first word of ``charity`` (an expression) their surname is the last that is not ``connecting``. Names with a phrase of
+    ``institutions``, and those listed in ``legacy``, are nobody's."""
+    org = words(organisation)
+    org = F.when(F.get(org, 0) == "the", F.slice(org, 2, 1000)).otherwise(org)
+    line = F.concat(F.lit(" "), F.array_join(org, " "), F.lit(" "))
+    name = F.filter(words(F.regexp_replace(F.lower(person), r"(&|\band)\s+family\s*$", "")), lambda w: ~w.isin(*_SUFFIX))
     first, last = F.get(name, 0), F.try_element_at(name, F.lit(-1))
-    words = F.split(org, " ")
-    charity = F.array_position(F.transform(words, lambda w: w.rlike(CHARITY)), F.lit(True)).cast("int") - 1
-    spots = F.filter(F.when(charity >= 1, F.sequence(F.lit(0), charity - 1)).otherwise(F.array(F.lit(0))), lambda i: (i == 0) | ~F.get(words, i).isin(*BETWEEN))
-    opens = (F.get(words, 0) == last) | (F.get(words, 0) == first)
-    whole = F.concat(F.lit(" "), org, F.lit(" ")).contains(F.concat(F.lit(" "), first, F.lit(" "), last, F.lit(" ")))
-    good = (charity >= 1) & ~org.rlike(INSTITUTION) & ~org.isin(*(legacy or [""])) & (opens | whole) & (F.get(words, F.array_max(spots)) == last)
-    return F.coalesce(good, F.lit(False))
+    at = F.array_position(F.transform(org, lambda w: w.rlike(f"^(?:{charity})$")), F.lit(True)).cast("int")
+    before = F.when(at > 1, F.slice(org, F.lit(1), at - 1)).otherwise(F.array().cast("array<string>"))
+    bearer = F.try_element_at(F.concat(F.slice(before, 1, 1), F.filter(F.slice(before, 2, 1000), lambda w: ~w.isin(*connecting))), F.lit(-1))
+    institution = F.exists(F.array(*[F.lit(f" {i} ") for i in institutions]).cast("array<string>"), lambda i: line.contains(i))
+    mine = F.get(org, 0).isin(first, last) | line.contains(F.concat_ws(" ", F.lit(""), first, last, F.lit("")))
+    listed = F.trim(line).isin(*legacy) if legacy else F.lit(False)
+    return F.coalesce((bearer == last) & mine & ~institution & ~listed, F.lit(False))
 
 
 def ein(number: Column) -> Column:
@@ -89,13 +90,19 @@ def reviewed(candidates: Column, allowed: Column, field: str = "ein") -> Column:
 
 
 def names_a_relative(title: Column, surname: Column, own_names: Column) -> Column:
-    """Whether a capitalised word before the surname is none of the person's own names."""
-    shape = F.concat(F.lit(r"\b([A-Z][a-zA-Z'’-]+)\s+\Q"), F.initcap(surname), F.lit(r"\E\b"))
-    return F.exists(F.regexp_extract_all(title, shape, F.lit(1)), lambda w: ~F.array_contains(own_names, F.lower(w)))
+    """Whether a capitalised word right before the surname is none of the person's own names."""
+    said = F.regexp_extract_all(title, F.lit(r"[\p{L}'’-]+"), F.lit(0))
+    pairs = F.arrays_zip(said.alias("w"), F.slice(said, 2, 1000).alias("then"))
+
+    def other(p: Column) -> Column:
+        capital = (F.length(p["w"]) > 1) & (F.left(p["w"], F.lit(1)) != F.lower(F.left(p["w"], F.lit(1))))
+        return (F.lower(p["then"]) == F.lower(surname)) & (F.left(p["then"], F.lit(1)) == F.upper(F.left(surname, F.lit(1)))) & capital & ~F.array_contains(own_names, F.lower(p["w"]))
+
+    return F.coalesce(F.exists(pairs, other), F.lit(False))
 
 
-def is_company(name: Column) -> Column:
-    return F.upper(name).rlike(rf"\b({'|'.join(COMPANY_WORDS)})\b")
+def is_company(name: Column, company_words: Sequence[str]) -> Column:
+    return F.arrays_overlap(words(name), F.array(*[F.lit(w) for w in company_words]))
 
 
 def ticker(name: Column) -> Column:
@@ -107,11 +114,11 @@ def bare_filer(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"\s+\(CIK [0-9]+\)", ""))
 
 
-def personal_id(filers: Column, person: Column) -> Column:
+def personal_id(filers: Column, person: Column, company_words: Sequence[str]) -> Column:
     """Id of the first of an array of (id, name) that is no company and has the person's first and last name."""
-    words = _words(F.upper(person))
-    first, last = F.get(words, 0), F.element_at(words, -1)
-    return F.get(F.filter(filers, lambda f: ~is_company(f["name"]) & F.upper(f["name"]).contains(last) & F.upper(f["name"]).contains(first)), 0)["id"]
+    own = words(person)
+    ends = F.array(F.get(own, 0), F.try_element_at(own, F.lit(-1)))
+    return F.get(F.filter(filers, lambda f: ~is_company(f["name"], company_words) & (F.size(F.array_except(ends, words(f["name"]))) == 0)), 0)["id"]
 
 
 def label(code: Column, exact: Mapping[str, str], inside: Mapping[str, str] | None = None, default: str | None = None) -> Column:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions import fixed
 from factloom.functions.money import exact_usd
 
-#: Words that make a foundation's name that of a vehicle of another one.
-VEHICLE_WORDS = ("trust", "endowment", "endowment trust", "charitable trust", "trust fund")
 #: Spellings of no party at all, and codes that say nothing of a lean.
 NO_PARTY = ("", "none", "unknown", "n/a", "npa", "nne", "non", "unk")
 NO_LEAN = ("Unknown", "PAC/Other", "IND", "OTH")
@@ -21,7 +20,7 @@ def _plain(name: Column) -> Column:
 def vehicles(foundations: Column, name: str = "name") -> Column:
     """Per foundation of an array, whether it is the vehicle of another in it: that one's name and a vehicle word."""
     names = F.transform(foundations, lambda f: _plain(f[name]))
-    ends = F.array(*[F.lit(f" {w}") for w in VEHICLE_WORDS])
+    ends = F.array(*[F.lit(f" {w}") for w in fixed.VEHICLE_WORDS])
     return F.transform(names, lambda child: F.exists(names, lambda parent: (parent != "") & F.exists(ends, lambda end: child == F.concat(parent, end))))
 
 

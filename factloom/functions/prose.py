@@ -5,9 +5,9 @@ All of them refuse on doubt: a text is left as it is, or withheld whole, rather
 
 from __future__ import annotations
 
-import html
 import json
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -196,22 +196,53 @@ def party_prose(text: pd.Series, breakdown: pd.Series) -> pd.Series:
     return pd.Series([of(*x) for x in zip(text, breakdown, strict=True)], dtype=object)
 
 
-def plain_html(markup: str) -> str:
-    """Text of a piece of markup: no comments or tags, entities decoded, white space squeezed."""
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"(?s)<!--.*?-->", "", markup))).split())
+class _Sections(HTMLParser):
+    """Walks a page and notes, under each heading, the paragraphs that follow it in the same box, with their classes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.sections: list[tuple[str, list[tuple[set[str], str]]]] = []
+        self.said: list[str] = []
+        self.within, self.open = "", False
+
+    def finish(self) -> None:
+        text = " ".join("".join(self.said).split())
+        if self.within == "p":
+            self.sections[-1][1].append((self.classes, text))
+        elif self.within:
+            self.sections.append((text, []))
+            self.open = True
+        self.within = ""
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in HEADINGS or tag == "p":
+            self.finish()
+        if tag in HEADINGS:
+            self.within, self.said, self.open = tag, [], False
+        elif tag == "p" and self.open:
+            self.within, self.said = "p", []
+            self.classes = set((dict(attrs).get("class") or "").split())
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == self.within or tag == "div":
+            self.finish()
+        if tag == "div":
+            self.open = False
+
+    def handle_data(self, data: str) -> None:
+        if self.within:
+            self.said.append(data)
+
+
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def under_heading(page: str | None, heading: str, css: str) -> bool:
     """Whether a page has text of a class under a heading, before the next heading or the end of its box."""
-    for m in re.finditer(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>", page or ""):
-        if plain_html(m[2]).lower() != heading.lower():
-            continue
-        scope = re.split(r"(?i)<h[1-6]\b|</div\s*>", page[m.end() :], maxsplit=1)[0]
-        for p in re.finditer(r"(?is)<p\b([^>]*)>(.*?)</p\s*>", scope):
-            classes = re.search(r"""(?is)\bclass\s*=\s*["'](.*?)["']""", p[1])
-            if classes and css in classes[1].split() and plain_html(p[2]):
-                return True
-    return False
+    parser = _Sections()
+    parser.feed(page or "")
+    parser.close()
+    return any(name.lower() == heading.lower() and any(css in classes and text for classes, text in told) for name, told in parser.sections)
 
 
 def prose_under(heading: str, css: str):

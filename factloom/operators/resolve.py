@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import fixed
 from factloom.functions.text import generation, last_name, name_tokens, normal_name, short_form_of
 
 
@@ -27,15 +30,22 @@ def first_row_match(wanted: DataFrame, people: DataFrame) -> DataFrame:
     return w.join(p, "n").groupBy("wanted_id").agg(F.min("person_id").alias("person_id"))
 
 
-def verdict(a: Column, b: Column, born_a: Column, born_b: Column) -> Column:
-    """merge, apart, or review for two people of one surname."""
+def verdict(a: Column, b: Column, born_a: Column, born_b: Column, together: Sequence[tuple[str, str]] = (), never: Sequence[tuple[str, str]] = ()) -> Column:
+    """merge, apart, or review for two people of one surname; pairs of names listed as one, or as never one, come first."""
+    pair = F.array_join(F.array_sort(F.array(F.lower(F.trim(a)), F.lower(F.trim(b)))), "|")
+
+    def listed(pairs: Sequence[tuple[str, str]]) -> Column:
+        return pair.isin(*["|".join(sorted(n.lower().strip() for n in p)) for p in pairs]) if pairs else F.lit(False)
+
     first_a, first_b = F.get(name_tokens(a), 0), F.get(name_tokens(b), 0)
     clash = generation(a).isNotNull() & generation(b).isNotNull() & (generation(a) != generation(b))
     years = born_a.isNotNull() & born_b.isNotNull()
     same = normal_name(a) == normal_name(b)
     short = short_form_of(first_a, first_b) | short_form_of(first_b, first_a)
     return (
-        F.when(clash | (years & (F.abs(born_a - born_b) > 1)), "apart")
+        F.when(listed(together), "merge")
+        .when(listed(never), "apart")
+        .when(clash | (years & (F.abs(born_a - born_b) > 1)), "apart")
         .when(same, "merge")
         .when(short & years & (born_a == born_b), "merge")
         .when(short, "review")
@@ -43,11 +53,15 @@ def verdict(a: Column, b: Column, born_a: Column, born_b: Column) -> Column:
     )
 
 
-def candidate_pairs(people: DataFrame) -> DataFrame:
-    """(a, b, verdict) of people (id, name, born) who share a surname and a first letter; others cannot merge. Names
-    that are equal meet through the least id of each distinct (name, year), so that copies make no pairs of their own."""
-    p = people.select("id", "name", "born", last_name(F.col("name")).alias("l"), F.substring(F.get(name_tokens(F.col("name")), 0), 1, 1).alias("i"))
-    p = p.withColumn("rep", F.min("id").over(Window.partitionBy("name", "born"))).where(F.col("id") == F.col("rep"))
+def candidate_pairs(people: DataFrame, together: Sequence[tuple[str, str]] = (), never: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(a, b, verdict) of people (id, name, born) who share a surname and a first letter, that of a nickname's long form included;
+    others cannot merge. Names that are equal meet through the least id of each distinct (name, year), so that copies
+    make no pairs of their own."""
+    p = people.groupBy("name", "born").agg(F.min("id").alias("id")).select("id", "name", "born", last_name(F.col("name")).alias("l"), F.get(name_tokens(F.col("name")), 0).alias("f"))
+    long = F.create_map(*[x for k, v in fixed.NICKNAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    forms = F.concat(F.array("f"), F.coalesce(F.try_element_at(long, "f"), F.array().cast("array<string>")))
+    p = p.withColumn("i", F.explode(F.array_distinct(F.transform(forms, lambda x: F.left(x, F.lit(1))))))
     a, b = p.alias("a"), p.alias("b")
     pairs = a.join(b, (F.col("a.l") == F.col("b.l")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), verdict(F.col("a.name"), F.col("b.name"), F.col("a.born"), F.col("b.born")).alias("verdict"))
+    said = verdict(F.col("a.name"), F.col("b.name"), F.col("a.born"), F.col("b.born"), together, never)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), said.alias("verdict")).distinct()

@@ -15,6 +15,17 @@ def texts_map(**kv):
     return F.create_map(*[F.lit(x).cast("string") for p in kv.items() for x in p]) if kv else F.lit(None).cast("map<string,string>")
 
 
+FILLER, NONE = ("inc", "the", "group", "holdings"), ("self employed", "at rest")
+
+
+def employer_verdict(spark, employer, known):
+    rows = lambda values, kind: spark.createDataFrame(values, kind)
+    people = rows([(1, "Orlan Vessel Jr.")], "person long, name string")
+    none = rows([], "person long, value string")
+    told = a.affiliations(people, rows([(1, k) for k in known], "person long, value string"), none, none, none, FILLER)
+    return a.employer_verdicts(rows([(7, 1, employer)], "record long, person long, employer string"), people, told, FILLER, NONE).first()["verdict"]
+
+
 @pytest.mark.parametrize(
     ("employer", "known", "verdict"),
     [
@@ -22,13 +33,18 @@ def texts_map(**kv):
         ("Vessel Consulting", ["Tidewater"], "surname"), ("Orlan Consulting", ["Vessel Orlan"], "no-list"), ("Harbor Bakery", ["Tidewater"], "unaffiliated"), (None, ["Tidewater"], "generic"), ("Harbor Bakery", [], "no-list"),
     ],
 )
-def test_employers(one, employer, known, verdict):
-    assert one(a.employer_verdict(F.lit(employer).cast("string"), texts(*known), F.lit("Orlan Vessel Jr."))) == verdict
+def test_employers(spark, employer, known, verdict):
+    assert employer_verdict(spark, employer, known) == verdict
+
+
+def test_affiliations(spark):
+    rows = lambda *values: spark.createDataFrame(list(values), "person long, value string")
+    people = spark.createDataFrame([(1, "Orlan Vessel"), (2, "Mara Quill")], "person long, name string")
+    got = a.affiliations(people, rows((1, "Quill Mills"), (1, "Q77"), (2, "Quill Mills")), rows((1, "Tidewater")), rows(), rows((1, "co-founder of Harbor Bakery"), (2, "teacher")), FILLER)
+    assert sorted(map(tuple, got.collect())) == [(1, "bakery"), (1, "harbor"), (1, "mills"), (1, "quill"), (1, "tidewater"), (2, "mills")]
 
 
-def test_affiliations(one):
-    got = a.affiliations_of(texts("Quill Mills", "Q77"), texts("Tidewater"), F.lit(None).cast("array<string>"), F.lit("co-founder of Harbor Bakery"))
-    assert one(got) == ["Quill Mills", "Tidewater", "Harbor Bakery"]
+CHARITY, INSTITUTIONS, CONNECTING = "foundation|fund|trust|charitable", ("university", "public library"), ("family", "charitable", "jr", "sr")
 
 
 @pytest.mark.parametrize(
@@ -36,14 +52,15 @@ def test_affiliations(one):
     [
         ("The Vessel Family Foundation", "Orlan Vessel", True), ("Orlan Q Vessel Jr Charitable Trust", "Orlan Vessel Jr.", True), ("Tom And Orlan Vessel Foundation", "Orlan Vessel", True), ("Anne Vessel Foundation", "Orlan Vessel", False),
         ("Orlan Quill Foundation", "Mara Orlan", False), ("Vessel University Fund", "Orlan Vessel", False), ("Vessel Shipping", "Orlan Vessel", False), ("Family Foundation", "Orlan Vessel & family", False), ("Foundation", "Orlan Vessel", False), ("", "", False),
+        ("Vessel Public Library Fund", "Orlan Vessel", False),
     ],
 )
 def test_own_foundations(one, org, person, own):
-    assert one(a.own_foundation(F.lit(org), F.lit(person))) is own
+    assert one(a.own_foundation(F.lit(org), F.lit(person), CHARITY, INSTITUTIONS, CONNECTING)) is own
 
 
 def test_legacies_and_reviews(one):
-    assert one(a.own_foundation(F.lit("Vessel Foundation"), F.lit("Orlan Vessel"), legacy=["vessel foundation"])) is False
+    assert one(a.own_foundation(F.lit("Vessel Foundation"), F.lit("Orlan Vessel"), CHARITY, INSTITUTIONS, CONNECTING, legacy=["vessel foundation"])) is False
     c = F.array(F.struct(F.lit(12345678).alias("ein")), F.struct(F.lit(987654321).alias("ein")))
     assert [r["ein"] for r in one(a.reviewed(c, texts("012345678")))] == [12345678] and len(one(a.reviewed(c, F.lit(None).cast("array<string>")))) == 2
 
@@ -56,7 +73,7 @@ def test_relatives(one):
 
 def test_filers(one):
     filers = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in (("1", "VESSEL ORLAN TRUST"), ("2", "VESSEL ORLAN Q (CIK 2)"), ("3", "VESSEL ORLAN"))])
-    assert one(a.personal_id(filers, F.lit("Orlan Vessel"))) == "2"
+    assert one(a.personal_id(filers, F.lit("Orlan Vessel"), ("trust", "fund"))) == "2"
     assert one(a.ticker(F.lit("TIDEWATER INC  (TDW-A)  (CIK 000)"))) == "TDW-A" and one(a.ticker(F.lit("TIDEWATER"))) is None and one(a.bare_filer(F.lit("TIDEWATER (CIK 0012)"))) == "TIDEWATER"
 
 

@@ -189,8 +189,9 @@ def test_sentences(one):
 
 
 def test_texts_that_speak_of_themselves(one):
-    found = one(text.speaks_of_itself(C("t")), t="The provided news data shows little. He provided $5 million. The search returned 1,204 results.")
-    assert [(x["sentence"][:12], x["labels"]) for x in found] == [("The provided", ["its input"]), ("The search r", ["its counts"])]
+    patterns = {"its table": r"(?i)\bthis table\b", "its rows": r"(?i)\b[0-9]+ rows\b"}
+    found = one(text.speaks_of_itself(C("t"), patterns), t="Little is in this table of 12 rows. He gave $5 million. There were 9 rows left.")
+    assert [(x["sentence"][:6], x["labels"]) for x in found] == [("Little", ["its table", "its rows"]), ("There ", ["its rows"])]
 
 
 def test_exact_dollars(one):
@@ -198,9 +199,9 @@ def test_exact_dollars(one):
 
 
 def test_prose_under_a_heading():
-    from factloom.functions.prose import plain_html, under_heading
+    from factloom.functions.prose import under_heading
 
     page = '<div><h2>Political&nbsp;activity</h2><p class="a summary-text">Gave &amp; gave</p></div>'
     assert under_heading(page, "political activity", "summary-text") and not under_heading(page.replace("Gave &amp; gave", " <b></b> "), "political activity", "summary-text")
     assert not under_heading(page.replace("<p", "<h3>x</h3><p"), "political activity", "summary-text") and not under_heading(None, "x", "y")
-    assert plain_html("a<!-- b --> <i>c</i>&#x64;&#101;") == "a cde"
+    assert under_heading("<H3><i>A</i><!-- x --> b</H3><p class=k>c&#100;<p class='k'></p>", "a B", "k") and not under_heading("<h2>A</h2></div><p class=k>c</p>", "a", "k")
