@@ -102,8 +102,8 @@ def marks(total: np.ndarray, piece: int = PIECE) -> np.ndarray:
     return least >> np.uint64(16)
 
 
-def stretches(docs: list[bytes], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start in it, number of strings, mark, hash) of every stretch; each string is in exactly one."""
+def stretches(docs: list[bytes], piece: int = PIECE, hashed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start in it, number of strings, mark, hash if ``hashed`` else 0) of every stretch; each string is in exactly one."""
     found: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -128,8 +128,8 @@ def stretches(docs: list[bytes], piece: int = PIECE) -> tuple[np.ndarray, np.nda
         of = np.searchsorted(ends, at[head], side="right")
         number, offset = np.array([d for d, _, _ in held]), np.array([o for _, o, _ in held])
         count = np.diff(np.append(head, len(at)))
-        hashed = _hashes(total, at[head], at[head] + count + WIDTH - 1)
-        found.append((number[of], offset[of] + at[head] - (ends - lengths)[of], count, m[head], hashed))
+        told = _hashes(total, at[head], at[head] + count + WIDTH - 1) if hashed else np.zeros(len(head), np.uint64)
+        found.append((number[of], offset[of] + at[head] - (ends - lengths)[of], count, m[head], told))
 
     for d, text in enumerate(docs):
         # A long document is taken in overlapping parts that share no string.
@@ -358,11 +358,11 @@ class _Asked:
 class _Group:
     """The documents of one group and their stretches; the same for the same documents, whatever order they come in."""
 
-    def __init__(self, docs: pd.DataFrame):
+    def __init__(self, docs: pd.DataFrame, hashed: bool = False):
         docs = docs[docs["id"].notna()].sort_values(["id", "text"])
         self.ids = docs["id"].to_numpy(np.int64)
         self.texts = docs["text"].tolist()
-        self.doc, self.start, self.count, self.mark, self.hash = stretches(self.texts)
+        self.doc, self.start, self.count, self.mark, self.hash = stretches(self.texts, hashed=hashed)
         self.distinct, self.of = np.unique(self.mark, return_inverse=True)
 
     def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,13 +373,19 @@ class _Group:
         ids = self.ids[self.doc]
         np.minimum.at(low, self.of, ids)
         np.maximum.at(high, self.of, ids)
-        order = np.lexsort((self.hash, self.of))
-        of, hashed = self.of[order], self.hash[order]
+        times = np.bincount(self.of, minlength=len(self.distinct))
+        tag = np.zeros(len(self.distinct), np.uint8)
+        tag[self.of] = (self.hash >> np.uint64(20)).astype(np.uint8)
+        # Most marks have one stretch; only of the others the hashes are compared.
+        many = np.flatnonzero(times[self.of] > 1)
+        order = many[np.lexsort((self.hash[many], self.of[many]))]
+        of, told = self.of[order], self.hash[order]
         new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (hashed[1:] != hashed[:-1])
-        times = np.bincount(of[new], minlength=len(self.distinct))
-        tag = (hashed[np.flatnonzero(np.diff(of, prepend=-1))] >> np.uint64(20)).astype(np.uint8)
-        return low < high, np.minimum(times, 65_535).astype(np.uint16), tag
+        new[1:] = (of[1:] != of[:-1]) | (told[1:] != told[:-1])
+        kinds = np.bincount(of[new], minlength=len(self.distinct))
+        first = order[np.flatnonzero(np.diff(of, prepend=-1))]
+        tag[self.of[first]] = (self.hash[first] >> np.uint64(20)).astype(np.uint8)
+        return low < high, np.minimum(np.maximum(kinds, 1), 65_535).astype(np.uint16), tag
 
     def ask(self, answers: pd.DataFrame, crowded: tuple[tuple[int, int], ...]) -> _Asked:
         status = np.zeros(len(self.distinct), np.uint8)
@@ -403,7 +409,7 @@ def _unzip(blob: bytes) -> list[bytes]:
 
 def _ask_buckets(n_buckets: int):
     def of(docs: pd.DataFrame) -> pd.DataFrame:
-        group, gid = _Group(docs), docs["gid"].iloc[0]
+        group, gid = _Group(docs, hashed=True), docs["gid"].iloc[0]
         shared, times, tag = group.shared()
         rows = [(b, gid, _pack(group.distinct[s]), _zip(np.packbits(shared[s]), times[s], tag[s])) for b, s in _slices(_bucket(group.distinct, n_buckets))]
         return pd.DataFrame(rows, columns=["bucket", "gid", "marks", "told"])
