@@ -1,9 +1,10 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
-A text is lower-cased and reduced to words, joined by single spaces. Rules are regular expressions over that form, each
-with a label, a keyword that a text must contain before the rule is tried, and a priority. Detections are ordered by
-start, longest first, then by priority; one that lies inside an earlier one is suppressed. Base phrases are looked up
-word by word and their labels always stay.
+A text is lower-cased (A-Z) and reduced to words, joined by single spaces. Rules (``license_rules``, written by hand) are regular
+expressions over that form, each with a label, a weight and a keyword that a text must contain before the rule is tried; their
+order is their priority. Detections are ordered by start, longest first, then by priority; one that lies inside an earlier one
+is suppressed. Base phrases are looked up word by word and their labels always stay. The score is the weight of the best
+detection kept, 0.5 for base phrases alone, 0 without any.
 
 Edge cases: a null or empty text has no words and no labels; repeated rows stay and get equal results; an empty table
 gives no rows; columns other than the two named are ignored. Whole texts are read; texts without any keyword are only
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import matches
+from factloom.llm.license_rules import GATE_WORDS, GATES, RULES
 
 #: Characters that are not part of a word, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before lower-casing, which makes letters of A-Z and no word longer or shorter.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases whose words stand consecutively, and their labels.
 BASE = [
@@ -31,114 +34,10 @@ BASE = [
     ("mit license", "mit"),
 ]
 
-_V = r"(?: v(?:ersion|er)? ?| )"
-#: Families: label, keyword, expression for the name in the text's own words.
-FAMILIES = [
-    ("gpl-1.0", "general public", rf"gnu general public licen[cs]e{_V}1(?: 0)?"),
-    ("gpl-2.0", "general public", rf"gnu general public licen[cs]e{_V}2(?: 0)?"),
-    ("gpl-3.0", "general public", rf"gnu general public licen[cs]e{_V}3(?: 0)?"),
-    ("gpl-2.0", "gpl", r"gnu gpl ?v?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"gnu gpl ?v?3(?: 0)?"),
-    ("gpl-2.0", "gplv2", r"gplv2"),
-    ("gpl-3.0", "gplv3", r"gplv3"),
-    ("lgpl", "lesser general", r"gnu lesser general public licen[cs]e"),
-    ("lgpl", "library general", r"gnu library general public licen[cs]e"),
-    ("lgpl-2.1", "lesser general", rf"gnu lesser general public licen[cs]e{_V}2 1"),
-    ("lgpl-3.0", "lesser general", rf"gnu lesser general public licen[cs]e{_V}3(?: 0)?"),
-    ("lgpl", "lgpl", r"gnu lgpl(?: ?v?[23](?: [01])?)?"),
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e"),
-    ("agpl-3.0", "affero", rf"(?:gnu )?affero general public licen[cs]e{_V}3(?: 0)?"),
-    ("agpl", "agpl", r"gnu agpl(?: ?v?3(?: 0)?)?"),
-    ("gfdl", "free documentation", r"gnu free documentation licen[cs]e"),
-    ("apache-1.1", "apache", rf"apache(?: software)? licen[cs]e{_V}1 1"),
-    ("apache-2.0", "apache", rf"apache(?: software)? licen[cs]e{_V}2(?: 0)?"),
-    ("mit", "mit", r"(?:the )?mit licen[cs]e"),
-    ("mit-x11", "x11", r"(?:mit )?x11 licen[cs]e"),
-    ("expat", "expat", r"expat licen[cs]e"),
-    ("bsd", "bsd", r"(?:new |modified |simplified |revised )?bsd licen[cs]e"),
-    ("bsd-2-clause", "clause", r"(?:bsd )?(?:2|two) clause(?: bsd)? licen[cs]e"),
-    ("bsd-3-clause", "clause", r"(?:bsd )?(?:3|three) clause(?: bsd)? licen[cs]e"),
-    ("bsd-4-clause", "clause", r"(?:bsd )?(?:4|four) clause(?: bsd)? licen[cs]e"),
-    ("isc", "isc", r"isc licen[cs]e"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
-    ("libpng", "libpng", r"libpng licen[cs]e"),
-    ("mpl-1.1", "mozilla", rf"mozilla public licen[cs]e{_V}1 1"),
-    ("mpl-2.0", "mozilla", rf"mozilla public licen[cs]e{_V}2(?: 0)?"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("epl-1.0", "eclipse", rf"eclipse public licen[cs]e{_V}1(?: 0)?"),
-    ("epl-2.0", "eclipse", rf"eclipse public licen[cs]e{_V}2(?: 0)?"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e"),
-    ("cddl", "common development", r"common development and distribution licen[cs]e"),
-    ("cpl", "common public", r"common public licen[cs]e"),
-    ("eupl", "european union", r"european union public licen[cs]e"),
-    ("artistic", "artistic", r"artistic licen[cs]e"),
-    ("artistic-2.0", "artistic", rf"artistic licen[cs]e{_V}2(?: 0)?"),
-    ("boost", "boost", r"boost software licen[cs]e"),
-    ("unlicense", "unlicense", r"the unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("ofl-1.1", "open font", rf"sil open font licen[cs]e(?:{_V}1 1)?"),
-    ("psf", "python software", r"python software foundation licen[cs]e"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e"),
-    ("openssl", "openssl", r"openssl licen[cs]e"),
-    ("php", "php", r"php licen[cs]e"),
-    ("ruby", "ruby", r"ruby licen[cs]e"),
-    ("qpl", "q public", r"q public licen[cs]e"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e"),
-    ("upl", "universal permissive", r"universal permissive licen[cs]e"),
-    ("afl", "academic free", r"academic free licen[cs]e"),
-    ("osl", "open software licen", r"open software licen[cs]e"),
-    ("mulan", "mulan", r"mulan psl"),
-    ("ms-pl", "microsoft public", r"microsoft public licen[cs]e"),
-    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e"),
-    ("odbl", "open database", r"open database licen[cs]e"),
-    ("odc-by", "open data commons", r"open data commons attribution licen[cs]e"),
-    ("pddl", "public domain", r"public domain dedication and licen[cs]e"),
-    ("ogl", "open government", r"open government licen[cs]e"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "cc by", r"cc by(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc by sa", r"cc by sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc by nc", r"cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc by nd", r"cc by nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: licen[cs]e)?(?: [1-4] [05])?"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike(?: licen[cs]e)?(?: [1-4] [05])?"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial(?: licen[cs]e)?(?: [1-4] [05])?"),
-    ("public-domain", "public domain", r"(?:in|into|to) the public domain"),
-    ("all-rights-reserved", "all rights reserved", r"all rights reserved"),
-]
-
-#: Ways of granting: expression around a family's name, priority, and how sure a detection is.
-FORMS = [
-    (r"{name}", 1, 0.6),
-    (r"(?:licen[cs]ed|released|distributed|published|available|provided|made available) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?{name}", 2, 0.9),
-    (r"(?:spdx licen[cs]e identifier|licen[cs]e|licence) (?:is |type )?(?:the )?{name}", 2, 0.8),
-    (r"(?:subject to|governed by|covered by|under) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?{name}(?: or(?: at your option)? any later version)?", 2, 0.8),
-]
-
-#: Labels of license texts known by a sentence of their own: label, keyword, expression.
-SENTENCES = [
-    ("mit", "hereby granted free", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "hereby granted provided", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "free software", r"this program is free software you can redistribute it and or modify it under the terms of"),
-    ("apache-2.0", "may not use this file", r"you may not use this file except in compliance with the licen[cs]e"),
-    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
-    ("zlib", "implied warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("boost", "obtaining a copy of the software and accompanying", r"obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
-    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
-]
-
-#: Every base phrase and every rule needs one of these in the lower-cased text, or the expression below.
-GATES = ["licen", "gpl", "wtfpl", "mulan", "creative", "reserved", "hereby", "redistribut", "unencumbered", "warranty"]
-GATE_WORDS = rf"cc(?:0|{GAP}by)|public{GAP}domain"
-
-
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, expression, priority, weight) of every rule, in order."""
-    made = [(label, key, form.format(name=f"(?:{name})"), priority, weight) for label, key, name in FAMILIES for form, priority, weight in FORMS]
-    made += [(label, key, sentence, 3, 0.95) for label, key, sentence in SENTENCES]
-    return [(label, f" {key}", f" {x}(?= )", priority, weight) for label, key, x, priority, weight in made]
+
+def rules() -> list[tuple[str, str, str, float]]:
+    """(label, keyword, expression over a line, weight) of every rule, in order."""
+    return [(label, f" {key}", f" {x}(?= )", weight) for label, key, weight, x in RULES]
 
 
 def _places(words: Column, line: Column, phrase: str) -> Column:
@@ -154,17 +53,18 @@ def _places(words: Column, line: Column, phrase: str) -> Column:
 
 
 def _detections(line: Column) -> Column:
-    """Array of (start, -length, -priority, label, weight) of every rule whose keyword the line contains."""
+    """Array of (start, -length, rank, label, weight) of every rule that the line has a detection of."""
     by_key: dict[str, list[Column]] = {}
-    for label, key, regex, priority, weight in rules():
-        rule = F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight"))
-        by_key.setdefault(key, []).append(rule)
+    for n, (label, key, regex, weight) in enumerate(rules()):
+        rule = F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(n).alias("rank"), F.lit(weight).alias("weight"))
+        # A constant expression is compiled once; only rules that are found are matched again, for their places.
+        by_key.setdefault(key, []).append(F.when(line.rlike(regex), rule))
     # Each keyword is looked up once, for all its rules.
-    tried = F.flatten(F.array_compact(F.array(*[F.when(line.contains(key), F.array(*group)) for key, group in by_key.items()])))
+    tried = F.array_compact(F.flatten(F.array_compact(F.array(*[F.when(line.contains(key), F.array(*group)) for key, group in by_key.items()]))))
 
     def of(r: Column) -> Column:
         def make(start: Column, end: Column, *_: Column) -> Column:
-            return F.struct(start.alias("start"), (start - end).alias("less"), (-r["priority"]).alias("rank"), r["label"].alias("label"), r["weight"].alias("weight"))
+            return F.struct(start.alias("start"), (start - end).alias("less"), r["rank"].alias("rank"), r["label"].alias("label"), r["weight"].alias("weight"))
 
         return matches(line, r["regex"], make, "struct<start:int,less:int,rank:int,label:string,weight:double>", ["start"])
 
@@ -173,11 +73,15 @@ def _detections(line: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), low.alias("low"))
-    gate = reduce(lambda a, b: a | b, [F.col("low").contains(g) for g in GATES]) | F.col("low").rlike(GATE_WORDS)
-    line = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace("low", GAP, " ")), F.lit(" ")))
-    rows = rows.select("id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), line.alias("line"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Lower case of all scripts finds no fewer gates than that of A-Z, and is quicker; only texts that pass are translated.
+    rows = rows.select("id", "text", F.lower("text").alias("low"))
+    gate = reduce(lambda a, b: a | b, [F.col("low").contains(g) for g in GATES])
+    gate = reduce(lambda a, b: a | b, [F.col("low").contains(x) & F.col("low").rlike(f"{x}{GAP}{y}") for x, y in GATE_WORDS], gate)
+    low = F.when(gate, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    rows = rows.select("id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"), low.alias("low"))
+    line = F.concat(F.lit(" "), F.trim(F.regexp_replace("low", GAP, " ")), F.lit(" "))
+    rows = rows.select("id", "n_words", line.alias("line"))
 
     none = F.array().cast("array<int>")
     # A column of its own: inside the lambdas of ``_places`` the expression would be split anew for every word.
