@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +36,34 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables that open scratch blocks have cut.
+_open: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on the
-    executors that made it."""
+    executors that made it. Inside a ``scratch`` block the table goes at its end, unless it is to ``keep``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    if _open and not keep:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables cut inside, which nothing that goes on may read, and has Spark drop their steps' shuffle files."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        spark._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``edges`` (a, b) is connected with. Rounds of taking the least
     label among neighbours, each followed by taking over the label's own label, until nothing changes."""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import components, cut
+from factloom.llm.common import components, cut, scratch
 
 SHINGLE = 3
 SEED = 42
@@ -153,15 +153,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, fingerprint (16 hex digits), component_id, the least id among all documents that a
     chain of links reaches, itself included."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    labels = components(links(nodes.select("fp"), paired))
-
-    linked = labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "label", "least")
-    least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    joined = linked.join(least, "label").select("fp", "component")
-    alone = nodes.join(labels, nodes["fp"] == labels["node"], "left_anti").where("n > 1").select("fp", F.col("least").alias("component"))
-    # Only fingerprints of several documents or with links need looking up; a hot one is split by adaptive skew handling.
-    known = cut(joined.union(alone), "components")
+    with scratch(docs.sparkSession):
+        nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+        labels = components(links(nodes.select("fp"), paired))
+        linked = labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "label", "least")
+        least = linked.groupBy("label").agg(F.min("least").alias("component"))
+        joined = linked.join(least, "label").select("fp", "component")
+        alone = nodes.join(labels, nodes["fp"] == labels["node"], "left_anti").where("n > 1").select("fp", F.col("least").alias("component"))
+        # Only fingerprints of several documents or with links need looking up; a hot one is split by adaptive skew handling.
+        known = cut(joined.union(alone), "components", keep=True)
     return prints.join(known, "fp", "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "id").alias("component_id")
     )
