@@ -64,6 +64,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         spark._jvm.System.gc()
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a stored table, marked to be sent to every executor if it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``edges`` (a, b) is connected with. Rounds of taking the least
     label among neighbours, each followed by taking over the label's own label, until nothing changes."""
