@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from factloom.llm.common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources are a dimension held on the driver; a table of more is an error rather than a slow surprise.
-MAX_SOURCES = 1_000_000
 #: Cells of the knapsack table.
 TABLE = 1 << 16
 #: Documents of one source and length that one task ranks together, about.
@@ -36,25 +34,33 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float) -> list[float]:
-    """Share ``total`` by weight; none gets over ``most`` times its size, and what is cut off is shared again by
-    weight among the others until none is above. In the order of the arguments."""
-    out = [0.0] * len(sizes)
-    free, left = list(range(len(sizes))), float(total)
-    while free:
-        weight = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / weight > most * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / weight
+def targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """``sources`` (source, source_size) with ``target``: ``share`` times all sizes by weight; none gets over ``most`` times its
+    size, and what is cut off is shared again by weight among the others until none is above. Sources are counted off in
+    order of code points, null last, for their weights; a round costs one sum over them, and their number is not limited."""
+    placed = sources.sort(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id())
+    placed = cut(placed, "sources")
+    # Rows are numbered within the partitions of the sort: a partition's numbers go on where the one before ends.
+    parts = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    begins = dict(zip([r["part"] for r in parts], np.cumsum([0, *[r["n"] for r in parts[:-1]]]).tolist() if parts else [], strict=True))
+    part = F.shiftright("at", 33)
+    begin = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in begins.items() for x in kv]), part) if begins else F.lit(0)
+    rank = begin + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    placed = cut(placed.select("source", "source_size", weight.alias("weight")), "weighed-sources")
+
+    bound = F.col("source_size") * F.lit(float(most))
+    budget = share * float(placed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    rate, at_bound = 0.0, -1
+    while True:
+        # Sources that a unit of weight brings above their bound stop there; the rest is shared by the others.
+        over = bound < F.col("weight") * F.lit(rate)
+        told = placed.agg(F.sum(F.when(over, bound)).alias("gone"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count_if(over).alias("n")).first()
+        if told["n"] == at_bound or not told["weight"]:
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        # Shares of those that stay are of what the others leave; one sum, so the order of cuts doesn't matter.
-        gone = set(over)
-        free = [i for i in free if i not in gone]
-        left = float(total) - sum(out)
-    return out
+        at_bound, rate = told["n"], (budget - (told["gone"] or 0.0)) / told["weight"]
+    target = F.when(over, bound).otherwise(F.col("weight") * F.lit(rate)) if told["weight"] else bound
+    return placed.select("source", "source_size", target.alias("target"))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -136,20 +142,11 @@ def mix(
     """One row per document: id, source, size, source_size, target, copies (how often the mix takes it), taken
     (words). Sources in order of code points, null last, have ``weights`` in turn; all targets sum to ``share`` times
     all sizes unless every source is at ``most`` times its size. No document is taken more often than ``most``, rounded up."""
-    spark = docs.sparkSession
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
+    sized = cut(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size")), "sizes")
 
     counted = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     counted = cut(counted, "lengths")
-    sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = sorted(sources, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    words = [r["words"] for r in sources]
-    goal = targets(words, [weights[i % len(weights)] for i in range(len(sources))], share * sum(words), most)
-    goals = spark.createDataFrame(
-        [(r["source"], w, g) for r, w, g in zip(sources, words, goal, strict=True)], "source string, source_size long, target double"
-    )
+    goals = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
@@ -159,7 +156,7 @@ def mix(
         return group[["source", "size", "n", "source_size", "target"]].assign(rounds=rounds, extra=extra)
 
     # A group is one source's table of lengths, at most as many rows as its longest document has words.
-    planned = counted.join(F.broadcast(goals), counted["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+    planned = counted.join(goals, counted["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     planned = planned.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, rounds long, extra long")
     planned = cut(planned, "plan")
 

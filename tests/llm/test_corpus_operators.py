@@ -230,7 +230,7 @@ def test_mix(spark, docs):
     total = sum(r["size"] for r in rows)
     order = sorted(by_source, key=lambda s: (s is None, s or ""))
     sizes = [sum(r["size"] for r in by_source[s]) for s in order]
-    goal = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * total, 2)
+    goal = plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * total, 2)
     assert sum(goal) == pytest.approx(1.5 * total)
     for s, size, g in zip(order, sizes, goal, strict=True):
         assert all(r.source_size == size and r.target == pytest.approx(g) for r in by_source[s])
@@ -240,9 +240,32 @@ def test_mix(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_targets_share_what_is_cut_off():
-    assert mixing.targets([100, 10, 1, 50], [5, 2, 1, 5], 1.5 * 161, 2) == pytest.approx([119.5, 20, 2, 100])
-    assert mixing.targets([10, 10], [5, 2], 1000, 2) == [20, 20] and mixing.targets([0, 10], [5, 2], 15, 2) == [0, 15] and mixing.targets([], [], 0, 2) == []
+def plain_targets(sizes, weights, total, most):
+    """Shares by weight, cut at ``most`` times the size, the excess shared again until none is above."""
+    out, free = [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        left, weight = total - sum(out[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
+        over = {i for i in free if left * weights[i] / weight > most * sizes[i]}
+        for i in over or free:
+            out[i] = most * sizes[i] if over else left * weights[i] / weight
+        free = free - over if over else set()
+    return out
+
+
+def test_targets_share_what_is_cut_off(spark):
+    rng = np.random.default_rng(3)
+    assert plain_targets([100, 10, 1, 50], [5, 2, 1, 5], 1.5 * 161, 2) == pytest.approx([119.5, 20, 2, 100])
+    for sizes in ([100, 10, 1, 50], [10, 10], [0, 10], [], [7], (rng.pareto(0.5, 3000) * 10).astype(int).tolist()):
+        names = [f"s{i:05d}" for i in range(len(sizes))]
+        names[-1:] = [None] if len(sizes) > 1 else names[-1:]
+        rows = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long").repartition(3)
+        got = {r.source: (r.source_size, r.target) for r in mixing.targets(rows, (5, 2, 1), 1.5, 2).collect()}
+        want = plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), 2)
+        assert len(got) == len(sizes)
+        for name, size, goal in zip(names, sizes, want, strict=True):
+            assert got[name] == (size, pytest.approx(goal))
+    rows = spark.createDataFrame([("a", 10), ("b", 10)], "source string, source_size long")
+    assert {r.target for r in mixing.targets(rows, (5, 2), 50, 2).collect()} == {20}
 
 
 def test_fit_is_the_best_sum():
