@@ -8,8 +8,8 @@ automaton over all pieces, and around each hit Myers' bit-parallel distance deci
 Items are a stated query set, brought to the executors in blocks of bounded size; every document is read whole, once per
 block. No step shuffles.
 
-Edge cases: a null or empty text has no hits; an item of fewer than ``min_words`` words is no evidence and never
-matches; items of equal text are all reported; repeated documents are reported as often as they occur.
+Edge cases: a null or empty text has no hits; an item of fewer than five words has no budget and is found as it is; one
+without words never matches; items of equal text are all reported; repeated documents are reported as often as they occur.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.2
-MIN_WORDS = 5
 #: Characters of items in one block.
 BLOCK_CHARS = 400_000
 #: Scripts written without spaces: kana, ideographs, Hangul, Thai.
@@ -64,12 +63,12 @@ def split(m: int, k: int) -> list[tuple[int, int]]:
 class Matcher:
     """Items of one block, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float, min_words: int):
+    def __init__(self, items: list[tuple[object, str]], rate: float):
         self.items: list[tuple[object, list[str], int]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             words = words_of(text)
-            if len(words) < min_words:
+            if not words:
                 continue
             k = int(rate * len(words))
             for a, b in split(len(words), k):
@@ -132,7 +131,6 @@ def leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = RATE,
-    min_words: int = MIN_WORDS,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row per document and item found in it: id, item, distance and budget in word edits, end_word."""
@@ -143,7 +141,7 @@ def leaks(
 
     def search(items: list[tuple[object, str]]) -> DataFrame:
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(items, rate, min_words)
+            matcher = Matcher(items, rate)
             for batch in batches:
                 found = [(key, *hit) for key, text in zip(batch["id"], batch["text"], strict=True) for hit in matcher.find(text)]
                 yield pd.DataFrame(found, columns=names)
@@ -156,13 +154,13 @@ def leaks(
     return search([]) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no passage of any item."""
 
     def clean(block: list[tuple[object, str]]) -> Callable[..., Column]:
         @F.pandas_udf("boolean")
         def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            matcher = Matcher(block, rate, min_words)
+            matcher = Matcher(block, rate)
             for batch in texts:
                 yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
 
