@@ -2,8 +2,8 @@
 
 ``encode`` stores bytes as a mono 8-bit WAV file in a binary column; ``fingerprints`` reads such files, takes the
 short-time Fourier transform over half-overlapping frames of 192 samples, keeps the strongest bin of each of five bands in every frame,
-and pairs neighbouring peaks: a pair is (time, band bin, next bin, distance in frames) packed in one integer, stored as
-two arrays, ``times`` and ``codes``, ordered by time.
+and pairs peaks of neighbouring frames: a pair is (time, band bin, next bin) packed in an integer, stored as two arrays,
+``times`` and ``codes``, ordered by time.
 
 Edge cases: a null or empty text is an empty payload, padded with bytes 255 to one unit of 576 like any other short
 payload. Silence (constant samples) has peaks in the lowest bin of each band. Long texts are transformed in blocks of
@@ -31,9 +31,11 @@ RATE = 8000
 TAIL = 32
 #: First bins of the bands in which a peak is sought, and the end of the last.
 BANDS = (1, 6, 13, 25, 49, 97)
-#: Frames ahead within which a peak is paired with the same and the next band's peaks.
-AHEAD = (1, 2, 3)
+#: Frames ahead at which a peak is paired with the same and the next band's peaks.
+AHEAD = (1,)
 _BLOCK = 2048
+#: Bytes of payload whose rows are handed over together.
+_BATCH = 4 << 20
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -81,13 +83,13 @@ def pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for step in (0, 1):
             first = found[: n - ahead, : bands - step]
             then = found[ahead:, step:]
-            codes.append(((first << 20) | (then << 8) | ahead).ravel())
+            codes.append(((first << 16) | (then << 8) | ahead).ravel())
             times.append(np.repeat(np.arange(n - ahead), bands - step))
     if not codes:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
-    return t[order], c[order]
+    return t[order].astype(np.int32), c[order].astype(np.int32)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,36 +103,31 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col), wav(F.col(text_col)).alias("stored")).select(id_col, "stored.n_bytes", "stored.media")
 
 
-def fingerprints(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with two array columns, ``times`` and ``codes``, of each file's spectral-peak pairs."""
-
-    @F.pandas_udf("times array<long>, codes array<long>")
-    def take(media: pd.Series) -> pd.DataFrame:
-        both = [pairs(peaks(from_wav(m))) for m in media]
-        return pd.DataFrame({"times": [t for t, _ in both], "codes": [c for _, c in both]})
-
-    return stored.withColumn("_print", take(F.col(media_col))).select("*", "_print.times", "_print.codes").drop("_print")
-
-
-def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per file: sizes and checksums of file and payload as read back, and a short form of its fingerprint
-    (number of pairs, and a hash over times and codes)."""
+def fingerprints(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per file: sizes and checksums of file and payload as read back; its spectral-peak pairs as two arrays, ``times``
+    and ``codes``; and ``feature``, the number of pairs and a hash over both arrays, by which equal fingerprints can be joined."""
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes"]
     schema = (
-        f"{id_col} {stored.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
-        " media_bytes long, media_sha256 string, feature string"
+        f"`{id_col}` {stored.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
+        " media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
     )
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, n, media in zip(batch[id_col], batch["n_bytes"], batch["media"], strict=True):
+            out, held = [], 0
+            for key, n, media in zip(batch["id"], batch["n_bytes"], batch["media"], strict=True):
                 payload = from_wav(media)
                 t, c = pairs(peaks(payload))
                 short = hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).hexdigest()
                 out.append((
                     key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]),
-                    len(media), hashlib.sha256(media).hexdigest(), f"{len(c)}:{short}",
+                    len(media), hashlib.sha256(media).hexdigest(), f"{len(c)}:{short}", t, c,
                 ))
-            yield pd.DataFrame(out, columns=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                held += len(payload)
+                if held > _BATCH:
+                    yield pd.DataFrame(out, columns=[id_col, *names])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=[id_col, *names])
+
+    return stored.select(F.col(f"`{id_col}`").alias("id"), "n_bytes", "media").mapInPandas(rows, schema)
 
-    return stored.select(id_col, "n_bytes", "media").mapInPandas(rows, schema)

@@ -62,7 +62,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.encode(table(spark, sf_dir, "documents")))
+    return media.fingerprints(media.encode(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {

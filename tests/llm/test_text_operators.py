@@ -317,7 +317,7 @@ def test_media_round_trip(spark):
     docs = docs_of(spark, texts)
     stored = media.encode(docs)
     by_id = {r.doc_id: r for r in stored.collect()}
-    for r in media.digests(stored).collect():
+    for r in media.fingerprints(stored).collect():
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         file = bytes(by_id[r.doc_id].media)
@@ -325,7 +325,7 @@ def test_media_round_trip(spark):
             assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest())
-    assert media.digests(stored).count() == docs.count() and media.digests(media.encode(docs.limit(0))).count() == 0
+    assert media.fingerprints(stored).count() == docs.count() and media.fingerprints(media.encode(docs.limit(0))).count() == 0
 
 
 def test_fingerprints_tell_of_the_tone(spark):
@@ -335,5 +335,22 @@ def test_fingerprints_tell_of_the_tone(spark):
         assert (media.peaks(tone)[:, band] == k).all()
     times, codes = media.pairs(media.peaks(low))
     assert (np.diff(times) >= 0).all() and len(times) == len(codes) > 0
-    rows = media.fingerprints(media.encode(docs_of(spark, ["same " * 300, "same " * 300, "other " * 300]))).collect()
-    assert rows[0].codes == rows[1].codes != rows[2].codes and rows[0].times == rows[1].times
+
+
+def test_stored_arrays_are_the_plain_pairs(spark):
+    """Every stored pair against plain Fourier sums, frame by frame."""
+    texts = ["same " * 300, "same " * 300, "other " * 300, "", "chirp and chatter, " * 40]
+    rows = {r.doc_id: r for r in media.fingerprints(media.encode(docs_of(spark, texts))).collect()}
+    assert rows[0].codes == rows[1].codes != rows[2].codes and rows[0].times == rows[1].times and rows[0].feature == rows[1].feature != rows[2].feature
+    n = np.arange(media.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / (media.FRAME - 1))
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(97), n) / media.FRAME)
+    for i, text in enumerate(texts):
+        raw = text.encode() + b"\xff" * (-len(text) % 576 if text else 576)
+        power = [np.abs(waves @ ((np.frombuffer(raw[a : a + media.FRAME], np.uint8).astype(float) - 128) * window)) for a in range(0, len(raw) - media.FRAME + 1, media.HOP)]
+        pairs = list(zip(rows[i].times, rows[i].codes, strict=True))
+        assert pairs == sorted(pairs) and len(pairs) == 9 * (len(power) - 1)
+        for time_, code in pairs:
+            for at, k in ((time_, code >> 16), (time_ + (code & 255), code >> 8 & 255)):
+                band = next(b for b in range(5) if media.BANDS[b] <= k < media.BANDS[b + 1])
+                assert power[at][k] >= power[at][media.BANDS[band] : media.BANDS[band + 1]].max() - 1.001
