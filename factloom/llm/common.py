@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +67,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         spark._jvm.System.gc()
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+_ROWS = 256
+
+
+def by_text(kind: T.DataType, of: Callable[[list[str | None]], Sequence], text: Column) -> Column:
+    """Values of ``kind`` that a function of many texts gives, one a text. Texts are turned into Python strings a few at a time."""
+    arrow = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [pa.array(of(batch.slice(at, _ROWS).to_pylist()), arrow) for at in range(0, len(batch), _ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return over(text)
+
+
 def sized(df: DataFrame, most: int) -> DataFrame:
     """``df``, a stored table, marked to be sent to every executor if it has ``most`` rows or fewer."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

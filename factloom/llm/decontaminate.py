@@ -15,12 +15,15 @@ without words never matches; items of equal text are all reported; repeated docu
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from factloom.llm.common import by_text
 
 RATE = 0.2
 #: Characters of items in one block.
@@ -157,15 +160,16 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no passage of any item."""
 
-    def clean(block: list[tuple[object, str]]) -> Callable[..., Column]:
-        @F.pandas_udf("boolean")
-        def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            matcher = Matcher(block, rate)
-            for batch in texts:
-                yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
+    def clean(block: list[tuple[object, str]]) -> Column:
+        made: list[Matcher] = []
+
+        def of(texts: list[str | None]) -> list[bool]:
+            if not made:
+                made.append(Matcher(block, rate))
+            return [not made[0].find(t) for t in texts]
 
-        return of
+        return by_text(T.BooleanType(), of, F.col(text_col))
 
     for block in blocks(benchmark, block_chars=block_chars):
-        docs = docs.where(clean(block)(F.col(text_col)))
+        docs = docs.where(clean(block))
     return docs

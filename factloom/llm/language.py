@@ -20,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.common import held_out, unused
+from factloom.llm.common import by_text, held_out, unused
 
 DIMS = 1 << 15
 UNKNOWN = "und"
@@ -33,7 +34,7 @@ EPOCHS, BATCH = 6, 16
 SCALE = 64.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.002
 #: Characters that one block of texts holds.
-_BLOCK = 1 << 18
+_BLOCK = 1 << 16
 
 _LETTER = np.zeros(0x110000, bool)
 
@@ -276,13 +277,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     """``docs`` with the predicted language and its probability; columns of these two names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            names, scores = shared.value.predict(batch.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+    def predict(texts: list[str | None]) -> list[dict]:
+        return [{"lang_pred": name, "score": score} for name, score in zip(*shared.value.predict(texts), strict=True)]
 
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     kept = [c for c in docs.columns if c not in (pred_col, score_col)]
     said = unused(docs, "said")
-    told = docs.select(*kept, predict(F.col(text_col)).alias(said))
+    told = docs.select(*kept, by_text(kind, predict, F.col(text_col)).alias(said))
     return told.select(*kept, F.col(f"{said}.lang_pred").alias(pred_col), F.col(f"{said}.score").alias(score_col))

@@ -25,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.common import held_out
+from factloom.llm.common import by_text, held_out
 
 #: Labelled rows that the chain is fitted on at most, and lines of all of them together.
 SAMPLE, LINES = 6_000, 500_000
@@ -441,12 +442,8 @@ def assess(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series(shared.value.score(batch.tolist()), dtype="float64")
-
-    return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+    score = by_text(T.DoubleType(), lambda texts: shared.value.score(texts), F.col(text_col))
+    return docs.withColumn("score", score).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
 def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,17 +23,16 @@ that has another id. An empty table gives no rows. Whole texts are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.common import components, cut, scratch
+from factloom.llm.common import by_text, components, cut, scratch
 
 SHINGLE = 3
 SEED = 42
@@ -83,12 +82,8 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): every row's fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([fingerprint(t, shingle) for t in batch], dtype="int64")
-
-    return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
+    fp = by_text(T.LongType(), lambda texts: [fingerprint(t, shingle) for t in texts], F.col(text_col))
+    return docs.select(F.col(id_col).alias("id"), fp.alias("fp"))
 
 
 def _apart(a: Column, b: Column | int) -> Column:
