@@ -264,7 +264,7 @@ RULES = [
 #: Every base phrase and every rule needs one of these in the lower-cased text, or the expression below.
 GATES = (
     "licen", "gpl", "wtfpl", "mulan", "creative", "reserved", "hereby", "redistribut", "unencumbered", "warranty", "copyright", "sublicense", "endorse", "advertising",
-    "exception", "invariant", "misrepresented", "altered", "beer", "verbatim", "openssl", "apache", "evil", "perl", "ruby", "proprietary", "prohibited", "written",
+    "exception", "invariant", "misrepresented", "altered", "verbatim", "openssl", "apache", "evil", "perl", "ruby", "proprietary", "prohibited", "written",
     "commercial", "derivative", "freeware", "shareware", "cc0",
 )
-GATE_WORDS = ("cc", "by"), ("public", "domain")
+GATE_WORDS = ("cc", "by"), ("public", "domain"), ("stuff", "is")
