@@ -281,7 +281,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
         return [{"lang_pred": name, "score": score} for name, score in zip(*shared.value.predict(texts), strict=True)]
 
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    kept = [c for c in docs.columns if c not in (pred_col, score_col)]
+    kept = [f"`{c}`" for c in docs.columns if c not in (pred_col, score_col)]
     said = unused(docs, "said")
     told = docs.select(*kept, by_text(kind, predict, F.col(text_col)).alias(said))
     return told.select(*kept, F.col(f"{said}.lang_pred").alias(pred_col), F.col(f"{said}.score").alias(score_col))
