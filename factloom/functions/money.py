@@ -69,3 +69,36 @@ def exact_usd(amount: Column) -> Column:
     """Dollars in full, grouped, with cents only where there are some."""
     cents = F.floor(F.abs(amount) * 100 + 0.5) % 100 != 0
     return F.concat(F.when(amount < 0, F.lit("-$")).otherwise(F.lit("$")), F.when(cents, F.format_number(F.abs(amount), 2)).otherwise(F.format_number(F.abs(amount), 0)))
+
+
+def card_money(amount: Column) -> Column:
+    """Coarser than ``currency``: whole millions and thousands, billions with one digit; empty for nothing, never "$0"."""
+    small = F.when(amount == F.floor(amount), F.format_string("$%.0f", amount)).otherwise(F.format_string("$%.2f", amount))
+    return (
+        F.when(amount >= 1e9, F.format_string("$%.1fB", amount / 1e9)).when(amount >= 1e6, F.format_string("$%.0fM", amount / 1e6))
+        .when(amount >= 1e3, F.format_string("$%.0fK", amount / 1e3)).when(amount > 0, small).otherwise("")
+    )
+
+
+def assets_chip(assets: Column) -> Column:
+    """What a foundation holds, in words; null below a million, which would say nothing or a false zero."""
+    return (
+        F.when(assets >= 1e9, F.format_string("$%.1fB in foundation assets", assets / 1e9)).when(assets >= 1e6, F.format_string("$%.0fM in foundation assets", assets / 1e6))
+    )
+
+
+def compact_usd(amount: Column) -> Column:
+    """At most one digit after the point, and none that is zero: $3.7B, $636M, $5K."""
+    out = None
+    for least, unit in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"), (0.0, "")):
+        said = F.concat(F.lit("$"), F.regexp_replace(F.format_string("%.1f", amount / max(least, 1.0)), r"\.0$", ""), F.lit(unit))
+        out = F.when(amount >= least, said) if out is None else out.when(amount >= least, said)
+    return out
+
+
+def prose_amounts(text: Column) -> Column:
+    """All money of a prose text as numbers, in order, as often as stated: after a dollar sign, with thousands set apart (by commas or
+    odd spaces), or with cents; a bare whole number is no money."""
+    plain = F.regexp_replace(F.translate(text, "\u00a0\u202f\u2009", "   "), r"(\d) (?=\d{3}\b)", "$1,")
+    shapes = (r"\$\s?\d+(?:,\d{3})*(?:\.\d{1,2})?", r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?", r"\d+\.\d{2}\b")
+    return F.transform(F.regexp_extract_all(plain, F.lit("|".join(shapes)), F.lit(0)), lambda x: F.regexp_replace(x, r"[$,\s]", "").try_cast("double"))
