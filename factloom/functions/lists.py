@@ -13,13 +13,13 @@ NO_PARTY = ("", "none", "unknown", "n/a", "npa", "nne", "non", "unk")
 NO_LEAN = ("Unknown", "PAC/Other", "IND", "OTH")
 
 
-def _plain(name: Column) -> Column:
+def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
 
 
 def vehicles(foundations: Column, name: str = "name") -> Column:
     """Per foundation of an array, whether it is the vehicle of another in it: that one's name and a vehicle word."""
-    names = F.transform(foundations, lambda f: _plain(f[name]))
+    names = F.transform(foundations, lambda f: plain_name(f[name]))
     ends = F.array(*[F.lit(f" {w}") for w in fixed.VEHICLE_WORDS])
     return F.transform(names, lambda child: F.exists(names, lambda parent: (parent != "") & F.exists(ends, lambda end: child == F.concat(parent, end))))
 

@@ -27,7 +27,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def has_word(text: Column, word: str) -> Column:
     """Whether a lower-cased text has a word or phrase that stands between anything but ASCII letters and digits."""
-    return text.rlike(rf"(^|[^a-z0-9]){word}($|[^a-z0-9])")
+    return text.contains(word) & text.rlike(rf"(^|[^a-z0-9]){word}($|[^a-z0-9])")
 
 
 def lexicon_points(title: Column, body: Column, lexicon: Mapping[str, int], title_weight: int = 2) -> Column:

@@ -30,15 +30,32 @@ def promoted_first(df: DataFrame, order: Sequence[Column], points: Column, windo
     return head.withColumn("pos", F.when(F.col("_rank") <= promoted, F.col("_rank")).otherwise(F.lit(promoted) + ahead)).drop("_points", "_in", "_rank")
 
 
+#: Rows, about, that one task puts in order.
+_TOGETHER = 50_000
+
+
+def numbered(df: DataFrame, pos: str, name: str, first: Column | None = None) -> DataFrame:
+    """``df`` with its rows' numbers from 1 in the order of ``first`` (a boolean, false first) and a numeric ``pos``, as a column
+    ``name``. Rows are cut into stretches of ``pos`` that are ordered apart; a stretch's numbers go on where those before end."""
+    low, high, n = df.agg(F.min(pos), F.max(pos), F.count(F.lit(1))).first()
+    parts = max(1, -(-n // _TOGETHER))
+    part = F.floor((F.col(pos) - low) / max(high - low, 1) * parts) if n else F.lit(0)
+    rows = df.withColumns({"_first": F.coalesce(first, F.lit(False)) if first is not None else F.lit(False), "_part": part.cast("long")})
+    sizes = rows.groupBy("_first", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    # One row a stretch: few enough to be added up together.
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_first", "_part")) - F.col("_size")).drop("_size")
+    here = F.row_number().over(Window.partitionBy("_first", "_part").orderBy(pos))
+    return rows.withColumn("_here", here).join(F.broadcast(before), ["_first", "_part"]).withColumn(name, F.col("_before") + F.col("_here")).drop("_first", "_part", "_before", "_here")
+
+
 def diversify(df: DataFrame, pos: str, kind: str, cap: int) -> DataFrame:
     """``df`` with ``new_pos``: of every kind the first ``cap`` rows keep their turn, the rest go behind them; rows without a
     kind stay where they are. The slots of classified rows are filled again in the new order."""
     known = df.where(F.col(kind).isNotNull())
     nth = F.row_number().over(Window.partitionBy(kind).orderBy(pos))
-    ranked = known.withColumn("_late", nth > cap)
-    items = ranked.withColumn("_slot", F.row_number().over(Window.orderBy("_late", pos)))
-    slots = known.select(F.col(pos).alias("new_pos")).withColumn("_slot", F.row_number().over(Window.orderBy("new_pos")))
-    placed = items.join(slots, "_slot").drop("_slot", "_late")
+    items = numbered(known.withColumn("_late", nth > cap), pos, "_slot", F.col("_late")).drop("_late")
+    slots = numbered(known.select(F.col(pos).alias("new_pos")), "new_pos", "_slot")
+    placed = items.join(slots, "_slot").select(*df.columns, "new_pos")
     return placed.unionByName(df.where(F.col(kind).isNull()).withColumn("new_pos", F.col(pos)))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import fixed, lists
+
 
 def nested_json(parents: DataFrame, children: DataFrame, key: str, columns: Sequence[str], name: str = "facts") -> DataFrame:
     """Parents with their children as a JSON array, sorted; ``[]`` for those without."""
@@ -41,6 +43,18 @@ def violations(rows: DataFrame, array: str, amount: str, good: Column) -> DataFr
     return each.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("violations"), F.sum(F.coalesce(F.col("x")[amount], F.lit(0.0))).alias("total"))
 
 
+def collapsed_totals(rows: DataFrame, group: str, name: str, amount: str) -> DataFrame:
+    """(group, total, n): the amount of each group's foundations less those that are the vehicle of another one in the group, by
+    name and vehicle word; null where only vehicles are left, n of all. Equal names are one row before they meet."""
+    named = rows.groupBy(group, lists.plain_name(F.col(name)).alias("plain")).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("n"))
+    ends = F.array(*[F.lit(f" {w}") for w in fixed.VEHICLE_WORDS])
+    parents = F.transform(F.filter(ends, lambda e: F.col("plain").endswith(e)), lambda e: F.left("plain", F.length("plain") - F.length(e)))
+    children = named.select(group, "plain", F.explode(parents).alias("parent")).where("parent <> ''")
+    vehicles = children.join(named.select(group, F.col("plain").alias("parent")), [group, "parent"], "left_semi").select(group, "plain").distinct()
+    told = named.join(vehicles.withColumn("vehicle", F.lit(True)), [group, "plain"], "left")
+    return told.groupBy(group).agg(F.sum(F.when(F.col("vehicle").isNull(), F.col("amount"))).alias("total"), F.sum("n").alias("n"))
+
+
 def by_chain(*keys: Column | tuple[Column, str]) -> list[Column]:
     """Sort keys of a chain: a column ascending with nulls first, or (column, "desc") descending with nulls last."""
     return [k[0].desc_nulls_last() if isinstance(k, tuple) else k.asc_nulls_first() for k in keys]
