@@ -14,22 +14,25 @@ from factloom.functions.text import jaccard
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """(key, tokens, token): the rarest tokens of each set, as many as the threshold asks for."""
-    tokens = sets.select("key", "tokens", F.explode("tokens").alias("token")).join(frequency, "token", "left")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("n", F.lit(0)), "token"))
-    n = F.size("tokens")
-    return tokens.withColumn("_rank", rank).where(F.col("_rank") <= n - F.ceil(n * threshold - 1e-9) + 1).select("key", "tokens", "token")
+    """(key, token, n, i): the rarest tokens of each set, as many as the threshold asks for, their places and the set's size."""
+    tokens = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequency, "token", "left")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("f", F.lit(0)), "token"))
+    n = F.col("n")
+    return tokens.withColumn("i", rank).where(F.col("i") <= n - F.ceil(n * threshold - 1e-9) + 1).select("key", "token", "n", "i")
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_key, right_key, score) of all pairs from two tables (key, tokens) with Jaccard of ``threshold`` at least."""
-    frequency = left.select("tokens").union(right.select("tokens")).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    a = _prefixes(left, frequency, threshold).select(F.col("key").alias("left_key"), F.col("tokens").alias("a"), "token")
-    b = _prefixes(right, frequency, threshold).select(F.col("key").alias("right_key"), F.col("tokens").alias("b"), "token")
-    # Sizes too far apart cannot reach the threshold.
-    near = (F.size("a") >= threshold * F.size("b") - 1e-9) & (F.size("b") >= threshold * F.size("a") - 1e-9)
-    pairs = a.join(b, "token").where(near).dropDuplicates(["left_key", "right_key"])
-    return pairs.select("left_key", "right_key", jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
+    """(left_key, right_key, score) of all pairs from two tables (key, tokens) with Jaccard of ``threshold`` at least. Only keys and
+    places meet at a token; token arrays are joined to the pairs that are left."""
+    frequency = left.select("tokens").union(right.select("tokens")).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    a, b = _prefixes(left, frequency, threshold).alias("a"), _prefixes(right, frequency, threshold).alias("b")
+    # Sizes too far apart cannot reach the threshold, nor can sets that have too few tokens beside those before this one.
+    near = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
+    shared = F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    enough = shared >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & near & enough).select(F.col("a.key").alias("left_key"), F.col("b.key").alias("right_key")).distinct()
+    both = pairs.join(left.select(F.col("key").alias("left_key"), F.col("tokens").alias("x")), "left_key").join(right.select(F.col("key").alias("right_key"), F.col("tokens").alias("y")), "right_key")
+    return both.select("left_key", "right_key", jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:

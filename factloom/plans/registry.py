@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import changes, facts, feed_scores, feeds, goals, people, shapes, streams, texts
+from factloom.plans import changes, facts, feed_scores, feeds, figures, goals, people, shapes, streams, texts
 from factloom.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "changes", "facts", "feed_scores", "feeds", "goals", "people", "shapes", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "changes", "facts", "feed_scores", "feeds", "figures", "goals", "people", "shapes", "streams", "texts"]

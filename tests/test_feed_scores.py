@@ -74,3 +74,27 @@ def test_nicknames_and_listed_pairs(spark):
     people = spark.createDataFrame(rows, "id long, name string, born int")
     got = {(r.a, r.b): r.verdict for r in resolve.candidate_pairs(people, together=[("ted vessel", "Edward Vessel")], never=[("Ada Quill", "Adam Quill")]).collect()}
     assert got[1, 2] == "merge" and got[3, 4] == "merge" and got[5, 6] == "merge" and got[7, 8] == "apart" and (1, 5) not in got
+
+
+def test_profile_articles_are_those_of_a_plain_loop(spark):
+    from factloom.operators import articles
+    from factloom.plans.base import checkpoint_folder
+
+    checkpoint_folder(spark)
+    heads = ["Vessel pledges grant to harbor school", "Vessel pledges grant to harbor museum", "Vessel sails", "Vessel foundation endows clinic", "Quill gives away fortune", "Vessel lobby and empire of ships", "Ann Vessel gift of ships to a harbor school"]
+    rows = [(i, p, h, "Ann Vessel says so" if i % 5 else "Bo says so", f"2024-01-{1 + i % 28:02d}") for i, (p, h) in enumerate((p, h) for p in (1, 2) for h in heads * 3)]
+    given = spark.createDataFrame(rows, "article long, person long, title string, body string, published string")
+    people = spark.createDataFrame([(1, "Ann", "Vessel"), (2, "Bo", "Vessel")], "person long, first string, last string")
+    scored = given.withColumn("score", f.accountability(F.col("title"), F.col("body"))).collect()
+    want, stop = [], set(__import__("factloom.functions.fixed", fromlist=["x"]).EVENT_STOP_WORDS)
+    for person, first in ((1, "ann"), (2, "bo")):
+        kept = []
+        for r in sorted((r for r in scored if r.person == person and r.score >= 3), key=lambda r: (-r.score, [-ord(c) for c in r.published], r.article)):
+            words = set(r.title.lower().split())
+            if "vessel" in words and first in f"{r.title} {r.body}".lower().split():
+                own = {w for w in words if len(w) >= 4 and w not in stop}
+                if not any(len(own & k) / len(own | k) >= 0.5 for _, k in kept):
+                    kept.append((r.article, own))
+        want += [(person, a, i + 1) for i, (a, _) in enumerate(kept[:3])]
+    got = sorted((r.person, r.article, r.place) for r in articles.profile_articles(given, people, most=3).collect())
+    assert got == sorted(want) and len(got) > 4
