@@ -5,8 +5,10 @@ written without spaces. An item of m words may differ from a passage by k = floo
 k + 1 pieces; with at most k edits one piece is untouched, so every passage shows an exact piece hit. Hits are found by one
 automaton over all pieces, and around each hit Myers' bit-parallel distance decides.
 
-Items are a stated query set, brought to the executors in blocks of bounded size; every document is read whole, once per
-block. No step shuffles.
+Items are a stated query set. One of AUTOMATON characters or fewer is brought to the executors in blocks, and every document is
+read whole once per block, without a shuffle. A larger one stays in Spark: the hashes of its pieces meet those of the
+documents' runs of words by an equi-join, after a bitmap of all pieces has put aside the runs that are none, and every distinct
+text is verified together with the items that a piece of it named. Both ways find the same passages.
 
 Edge cases: a null or empty text has no hits; an item of fewer than five words has no budget and is found as it is; one
 without words never matches; items of equal text are all reported; repeated documents are reported as often as they occur.
@@ -18,16 +20,22 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import by_text
+from factloom.llm.common import by_text, cut, sized, unused
 
 RATE = 0.2
-#: Characters of items in one block.
-BLOCK_CHARS = 400_000
+#: Characters of items in one block, and of all items up to which blocks are used.
+BLOCK_CHARS, AUTOMATON = 400_000, 8_000_000
+#: Bits of the bitmap of pieces, as a power of two: 16 MB sent to every executor.
+BITMAP = 27
+#: Texts with a passage whose hashes are sent to every executor; more are joined by shuffle.
+SENT = 2_000_000
 #: Scripts written without spaces: kana, ideographs, Hangul, Thai.
 _SOLID = "฀-๿぀-ヿ㐀-鿿가-힯"
 _WORDS = re.compile(rf"[{_SOLID}]|[^\W_{_SOLID}]+")
@@ -135,12 +143,18 @@ def leaks(
     item_text_col: str = "text",
     rate: float = RATE,
     block_chars: int = BLOCK_CHARS,
+    automaton: int = AUTOMATON,
 ) -> DataFrame:
     """One row per document and item found in it: id, item, distance and budget in word edits, end_word."""
     kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind[0]}, `{item_col}` {kind[1]}, distance long, budget long, end_word long"
     names = [id_col, item_col, "distance", "budget", "end_word"]
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    if _chars(benchmark, item_text_col) > automaton:
+        items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text"))
+        found = _joined(slim.select("text"), items, rate)
+        keyed = slim.select("id", *_text_key())
+        return keyed.join(found, ["k1", "k2"]).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance", "budget", "end_word")
 
     def search(items: list[tuple[object, str]]) -> DataFrame:
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,8 +171,100 @@ def leaks(
     return search([]) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _chars(benchmark: DataFrame, text_col: str) -> int:
+    return benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
+
+
+def _text_key() -> list[Column]:
+    """128 bits of a text, by which repeated texts are one."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+
+
+def _runs(words: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of every run of words of the given sizes."""
+    known = {w: xxhash.xxh64_intdigest(w.encode()) for w in set(words)}
+    codes = np.array([known[w] for w in words], np.uint64)
+    hashes, places = [], []
+    for n in sizes:
+        if n <= len(codes):
+            h = np.full(len(codes) - n + 1, np.uint64(n))
+            for k in range(n):
+                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9FB21C651E98DF25)
+                h ^= h >> np.uint64(29)
+            hashes.append(h)
+            places.append(np.arange(len(h)))
+    if not hashes:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(hashes).view(np.int64), np.concatenate(places)
+
+
+def _joined(texts: DataFrame, items: DataFrame, rate: float) -> DataFrame:
+    """(k1, k2, item, distance, budget, end_word): passages of items in every distinct text, with the items left in Spark."""
+    spark = texts.sparkSession
+    kind = items.schema["item"].dataType.simpleString()
+
+    def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item"], batch["item_text"], strict=True):
+                words = words_of(text)
+                for a, b in split(len(words), int(rate * len(words))) if words else []:
+                    rows.append((item, text, int(_runs(words[a:b], [b - a])[0][0]), b - a, a))
+            yield pd.DataFrame(rows, columns=["item", "item_text", "hash", "n", "at"])
+
+    pieces = cut(items.mapInPandas(pieces_of, f"item {kind}, item_text string, hash long, n int, at int"), "pieces")
+    sizes = sorted(r["n"] for r in pieces.select("n").distinct().collect())  # 1 / rate at most
+    place = F.shiftrightunsigned("hash", 64 - BITMAP)
+    parts = pieces.select(F.shiftright(place, 15).cast("int").alias("part"), place.bitwiseAND(F.lit(32767)).alias("bit")).distinct()
+    bits = np.zeros((1 << (BITMAP - 15), 4096), np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(bits.ravel())
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = sent.value
+        for batch in batches:
+            for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
+                h, at = _runs(words_of(text), sizes)
+                spot = (h.view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
+                good = (have[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                yield pd.DataFrame({"k1": k1, "k2": k2, "hash": h[good], "first": at[good]})
+
+    keyed = texts.where("text IS NOT NULL").select(*_text_key(), "text").groupBy("k1", "k2").agg(F.min("text").alias("text"))
+    keyed = cut(keyed, "texts")
+    met = keyed.mapInPandas(hits, "k1 long, k2 long, hash long, first long").join(pieces, "hash")
+    asked = met.groupBy("k1", "k2", "item", "item_text").agg(F.collect_set(F.col("first") - F.col("at")).alias("begins"))
+
+    def verified(key: tuple, text: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        words = words_of(text["text"].iloc[0]) if len(text) else []
+        for item, said, begins in zip(found["item"], found["item_text"], found["begins"], strict=True):
+            pattern = words_of(said)
+            k = int(rate * len(pattern))
+            best = None
+            for begin in sorted(begins):
+                low = max(0, int(begin) - k)
+                distance, stop = myers(pattern, words[low : int(begin) + len(pattern) + k])
+                if distance <= k:
+                    best = min(best or (distance, low + stop), (distance, low + stop))
+            if best:
+                rows.append((*key, item, best[0], k, best[1]))
+        return pd.DataFrame(rows, columns=["k1", "k2", "item", "distance", "budget", "end_word"])
+
+    both = keyed.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").cogroup(asked.groupBy("k1", "k2"))
+    return both.applyInPandas(verified, f"k1 long, k2 long, item {kind}, distance long, budget long, end_word long")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, automaton: int = AUTOMATON) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no passage of any item."""
+    if _chars(benchmark, "text") > automaton:
+        texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+        found = _joined(texts, benchmark.select(F.lit(0).alias("item"), F.col("text").alias("item_text")), rate)
+        leaky = sized(cut(found.select("k1", "k2").distinct(), "leaky"), SENT)
+        k1, k2 = unused(docs, "k1"), unused(docs, "k2")
+        leaky = leaky.withColumnsRenamed({"k1": k1, "k2": k2})
+        same = (F.xxhash64(F.col(f"`{text_col}`")) == F.col(k1)) & (F.xxhash64(F.lit(1), F.col(f"`{text_col}`")) == F.col(k2))
+        return docs.join(leaky, same, "left_anti")
 
     def clean(block: list[tuple[object, str]]) -> Column:
         made: list[Matcher] = []

@@ -101,10 +101,11 @@ def test_leaks_are_all_found(spark):
                 d = plain_distance(pattern, decontaminate.words_of(r.text))
                 if d <= int(decontaminate.RATE * len(pattern)):
                     want.add((r.doc_id, key, d))
-    for block in (decontaminate.BLOCK_CHARS, 300):
-        rows = decontaminate.leaks(docs, bench, block_chars=block).collect()
+    for block, automaton in ((decontaminate.BLOCK_CHARS, 1 << 40), (300, 1 << 40), (300, 0)):
+        rows = decontaminate.leaks(docs, bench, block_chars=block, automaton=automaton).collect()
+        assert len(rows) == len(want) + sum(w[0] < 2 for w in want)  # the first two rows are there twice
         assert {(r.doc_id, r.item_id, r.distance) for r in rows} == want
-        left = decontaminate.without_leaks(docs, bench, block_chars=block)
+        left = decontaminate.without_leaks(docs, bench, block_chars=block, automaton=automaton)
         assert left.columns == docs.columns
         assert {r.doc_id for r in left.collect()} == set(range(len(texts) + len(ODD_TEXTS))) - {w[0] for w in want}
     assert len({w[0] for w in want}) > 20
