@@ -64,7 +64,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _open.pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        spark._jvm.System.gc()
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has Spark's cleaner drop the shuffle files of steps that are over: it does so when their plans are collected."""
+    spark._jvm.System.gc()
 
 
 #: Rows of an Arrow batch that are Python objects at once.
