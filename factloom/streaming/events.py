@@ -14,23 +14,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from factloom.operators import latest
 
 
-def last_writer_wins(stream: DataFrame, user: str, target: str, direction: str, stamp: str) -> DataFrame:
+def last_writer_wins(stream: DataFrame, user: str, target: str, direction: str, stamp: str, horizon: str = "400 days") -> DataFrame:
     """One row per arriving vote: (user, target, direction, stamp, outcome). A vote is ``superseded`` if one of a later
-    stamp is known; of equal stamps the later arrival wins. State is one stamp per (user, target)."""
+    stamp is known; of equal stamps the later arrival wins. State is one stamp per (user, target), forgotten when votes
+    of others are newer by the horizon."""
     kinds = dict(stream.dtypes)
     schema = f"{user} {kinds[user]}, {target} {kinds[target]}, {direction} {kinds[direction]}, {stamp} timestamp, outcome string"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(stamp, kind="stable")
         micros = rows[stamp].astype("datetime64[us]").astype("int64")
         outcome = ["superseded" if seen is not None and m < seen else "accepted" for m in micros]
         top = int(micros.max())
-        state.update((top if seen is None else max(seen, top),))
+        newest = top if seen is None else max(seen, top)
+        state.update((newest,))
+        # The watermark lags behind the newest vote of all by the horizon.
+        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({user: key[0], target: key[1], direction: rows[direction].to_numpy(), stamp: rows[stamp].to_numpy(), "outcome": outcome})
 
-    slim = stream.select(user, target, direction, F.col(stamp).cast("timestamp").alias(stamp))
-    return slim.groupBy(user, target).applyInPandasWithState(step, schema, "seen long", "append", GroupStateTimeout.NoTimeout)
+    slim = stream.select(user, target, direction, F.col(stamp).cast("timestamp").alias(stamp)).withWatermark(stamp, horizon)
+    return slim.groupBy(user, target).applyInPandasWithState(step, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def over_limit(stream: DataFrame, key: str, ts: str, limit: int, window: str = "1 minute", late: str = "5 minutes") -> DataFrame:
