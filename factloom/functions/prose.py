@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.numeric import GRADES
+
 #: Figures a record may hold before its sums are no longer formed, and digits a figure needs to be judged.
 MOST_FIGURES, LEAST_DIGITS = 120, 5
 _DOLLARS = re.compile(r"\$\s?([0-9][0-9,]*)(?:\.([0-9]+))?(?!\s*(?:[kmbt]\b|thousand|million|billion|trillion|mm\b|bn\b))(?![0-9,.]*[0-9])", re.I)
@@ -115,25 +117,60 @@ def json_numbers(value: pd.Series) -> pd.Series:
     return value.map(of)
 
 
-def score_patterns(noun: str) -> tuple[re.Pattern, re.Pattern]:
-    number = r"[0-9]+(?:\.[0-9]+)?"
-    return re.compile(rf"\b({noun})((?:\s+(?:is|of|was|at|stands at)|:)\s+)({number})", re.I), re.compile(rf"\b({number})\s+({noun})\b", re.I)
+#: Names that a score has inside, which no text is to use, and those that readers know.
+INSIDE, OUTSIDE, NOUN = ("pbs score", "public benefit score"), ("giving score", "giving grade"), "giving score"
+_ANY_NAME = "|".join(n.replace(" ", r"\s+") for n in (*INSIDE, *OUTSIDE))
+_STATED = re.compile(
+    rf"""\b(?P<name>{_ANY_NAME})\b
+    (?:(?P<link>\s+(?:of|is|was|at|to)\s+|\s*[:=]\s*)|\s+(?=[A-F][+-]?\s*\())
+    (?:(?P<letter>[A-F][+-]?)\s*\()?
+    (?P<number>\d{{1,3}}(?:\.\d+)?)(?!\d)(?!\.\d)(?!\s*%)(?P<rest>(?:\s+of\s+100)?)
+    | (?<![$\d.])\b(?P<first>\d{{1,3}}(?:\.\d+)?)(?P<gap>\s+)(?P<then>{_ANY_NAME})\b""",
+    re.I | re.X,
+)
+
+
+def names_score_inside(text: str | None) -> bool:
+    """Whether a text uses a score's inside name, with a figure or without."""
+    return bool(re.search("|".join(rf"\b{n}\b" for n in INSIDE).replace(" ", r"\s+"), text or "", re.I))
+
+
+def restated(text: str, score: float) -> str:
+    """A text with every figure of a score made the given one: inside names become the readers', letters follow the figure, and
+    the words between stay as the author has them. Money and percentages are other people's numbers."""
+    value = str(int(np.floor(score + 0.5)))
+    letter = next((g for g, least in GRADES if score >= least), "F")
+
+    def known(name: str) -> str:
+        return NOUN if " ".join(name.lower().split()) in INSIDE else name
+
+    def one(m: re.Match) -> str:
+        if m["first"]:
+            return f"{value}{m['gap']}{known(m['then'])}"
+        link = m["link"] or " "
+        if m["letter"]:
+            return f"{known(m['name'])}{link}{letter} ({value}{m['rest']}"
+        return f"{known(m['name'])}{link}{value}{m['rest']}"
+
+    return _STATED.sub(one, text)
 
 
 @F.pandas_udf(T.StringType())
 def repair_score(text: pd.Series, live: pd.Series, people: pd.Series) -> pd.Series:
     """Texts that state a score get the live one. Only with one person tagged and a live score; else as it is."""
-    first, second = score_patterns("giving score|benefit score")
 
     def of(t: str | None, score: float | None, n: int | None) -> str | None:
-        if not t or n != 1 or score is None or not np.isfinite(score):
-            return t
-        value = str(int(np.floor(score + 0.5)))
-        return second.sub(lambda m: f"{value} {m[2]}", first.sub(lambda m: f"{m[1]}{m[2]}{value}", t))
+        return restated(t, score) if t and n == 1 and score is not None and np.isfinite(score) else t
 
     return pd.Series([of(*x) for x in zip(text, live, people, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def withhold_inside_score(text: pd.Series) -> pd.Series:
+    """Texts that use a score's inside name are withheld whole; to be asked after ``repair_score``, which renames what it can read."""
+    return pd.Series(["" if names_score_inside(t) else t for t in text], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def repair_total(text: pd.Series, stale: pd.Series, live: pd.Series) -> pd.Series:
     """Texts that state a stale total get the live one in the same unit and number of decimals; a figure counts as the

@@ -205,3 +205,23 @@ def test_prose_under_a_heading():
     assert under_heading(page, "political activity", "summary-text") and not under_heading(page.replace("Gave &amp; gave", " <b></b> "), "political activity", "summary-text")
     assert not under_heading(page.replace("<p", "<h3>x</h3><p"), "political activity", "summary-text") and not under_heading(None, "x", "y")
     assert under_heading("<H3><i>A</i><!-- x --> b</H3><p class=k>c&#100;<p class='k'></p>", "a B", "k") and not under_heading("<h2>A</h2></div><p class=k>c</p>", "a", "k")
+
+
+@pytest.mark.parametrize(
+    ("said", "now"),
+    [
+        ("Her PBS score of 91.60 is high", "Her giving score of 47 is high"), ("a Public  Benefit score: 12", "a giving score: 47"), ("with 91.6 PBS score.", "with 47 giving score."),
+        ("giving grade A (92 of 100)", "giving grade B (47 of 100)"), ("her giving grade is A+ (92)", "her giving grade is B (47)"), ("Giving score was 9.", "Giving score was 47."), ("88 giving score", "47 giving score"),
+        ("$91.60 PBS score", "$91.60 PBS score"), ("PBS score of 91.60%", "PBS score of 91.60%"), ("PBS aired it", "PBS aired it"), ("giving score of 1234", "giving score of 1234"),
+    ],
+)
+def test_scores_are_restated(said, now):
+    from factloom.functions.prose import restated
+
+    assert restated(said, 46.6) == now and restated(now, 46.6) == now
+
+
+def test_inside_names_are_withheld():
+    from factloom.functions.prose import names_score_inside
+
+    assert names_score_inside("a PBS  score") and names_score_inside("public benefit score") and not names_score_inside("PBS scored it") and not names_score_inside(None)
