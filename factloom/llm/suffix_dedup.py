@@ -324,15 +324,18 @@ class _Asked:
                 of, first, count, finer, _ = stretches([self.texts[i] for i in hot.tolist()], piece)
                 parts.append((hot[of], first, count, finer))
         self.text, self.first, self.count, part_mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # A whole stretch is a unit as it is; parts of crowded ones can be equal.
         number = {}
-        self.unit = np.fromiter(
-            (number.setdefault(self.texts[i][a : a + c + WIDTH - 1], len(number)) for i, a, c in zip(self.text.tolist(), self.first.tolist(), self.count.tolist(), strict=True)),
-            np.int64, len(self.text),
+        hot = slice(len(whole), None)
+        cut_off = np.fromiter(
+            (number.setdefault(self.texts[i][a : a + c + WIDTH - 1], len(number)) for i, a, c in zip(self.text[hot].tolist(), self.first[hot].tolist(), self.count[hot].tolist(), strict=True)),
+            np.int64, len(self.text) - len(whole),
         )
-        self.units = list(number)
-        self.unit_least = np.full(len(number), np.iinfo(np.int64).max)
+        self.unit = np.concatenate([np.arange(len(whole)), len(whole) + cut_off])
+        self.units = [self.texts[i] for i in whole.tolist()] + list(number)
+        self.unit_least = np.full(len(self.units), np.iinfo(np.int64).max)
         np.minimum.at(self.unit_least, self.unit, self.least[self.text])
-        self.unit_mark = np.zeros(len(number), np.uint64)
+        self.unit_mark = np.zeros(len(self.units), np.uint64)
         self.unit_mark[self.unit] = part_mark
 
     def put_together(self, single: np.ndarray, several: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
