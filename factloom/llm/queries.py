@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, language, licenses, media, mixing, pii, quality, simhash, suffix_dedup, url_filter
+from factloom.llm import crosstok, decontaminate, exact_dedup, language, licenses, media, mixing, pii, quality, simhash, suffix_dedup, url_filter, whitening
 from factloom.llm.common import held_out, table
 
 #: (host, path, action) of the rules that the URL query applies.
@@ -65,6 +65,24 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.fingerprints(media.encode(table(spark, sf_dir, "documents")))
 
 
+#: Where the vocabulary files of public tokenizers are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned, _ = crosstok.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    spelled = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.select("doc_id", *crosstok.NUMBERS, spelled.alias("groups_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -76,6 +94,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_media": op10_media,
+    "op11_alignment": op11_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL = {
@@ -96,4 +117,9 @@ ORACLE_SQL = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IS NULL OR rule = 'example.com/en/7' THEN 'allow' ELSE 'block' END AS verdict
         FROM ruled""",
+    "op13_exact_dedup": r"""
+        WITH cut AS (SELECT doc_id, coalesce(length(text), 0) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+               doc_id = first_value(doc_id) OVER best AS kept, sha256(bare) AS text_sha256
+        FROM cut WINDOW best AS (PARTITION BY bare ORDER BY chars DESC, doc_id)""",
 }
