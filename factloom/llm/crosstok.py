@@ -21,31 +21,45 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.llm.common import cut, scratch, sized
+from factloom.llm.common import cut, scratch, sized, tidy
 
 #: Characters beside which nothing is cut: all that some engine takes for white space or for nothing, and the space mark.
 _BLANK = [(0x00, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
-BLANK = "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in _BLANK)
-CUT = rf"(?<=[^{BLANK}])(?=[ \n][^{BLANK}])"
+BLANK = "".join(f"{chr(first)}-{chr(last)}".replace("\\", r"\\") for first, last in _BLANK)
+CUT = re.compile(rf"(?<=[^{BLANK}])(?=[ \n][^{BLANK}])")
+#: A mark of a cut that isn't one, as a blank stands on its other side or the text ends.
+_NO_CUT = re.compile(rf"\x00(?:(?=[ \n](?:[{BLANK}]|\Z))|(?<=[{BLANK}]\x00))")
 #: Pieces that every task knows, and the longest piece and spelling among them, in characters.
 FREQUENT, LONGEST_PIECE, LONGEST_SPELLING = 1 << 18, 64, 512
 #: Id pairs that are sent to every task (32 bytes each); more are joined by shuffle.
 SENT = 1_000_000
-#: Documents whose groups are Python strings at once.
-ROWS = 128
+#: Documents whose groups are Python strings at once, and distinct pieces that a task counts together.
+ROWS, HELD = 128, 1 << 20
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 MARK = "\u2581"
 
 
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a space and a text: together they are both."""
+    whole = " " + text
+    if "\x00" in whole:
+        return CUT.split(whole)
+    # The same by marking every space and line feed, and taking the marks off again where nothing is cut.
+    return _NO_CUT.sub("", whole.replace(" ", "\x00 ").replace("\n", "\x00\n")).removeprefix("\x00").split("\x00")
+
+
 class Tokenizers:
     """Both tokenizers and the bytes of each of their tokens, from the contents of their files."""
 
@@ -96,6 +110,45 @@ def load(path: str, spark: SparkSession) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
+def _counted(texts: DataFrame, cuts: bool) -> DataFrame:
+    """(piece, n): how often each piece occurs in the column ``text``. Tasks send each piece they meet once, about."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pieces, times = [*found], [*found.values()]
+            for at in range(0, len(pieces), 8192):
+                yield pa.RecordBatch.from_arrays([pa.array(pieces[at : at + 8192], pa.string()), pa.array(times[at : at + 8192], pa.int64())], ["piece", "times"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                for text in batch.column(0).slice(at, ROWS).to_pylist():
+                    found.update(pieces_of(text) if cuts else [" " + text])
+                if len(found) > HELD:
+                    yield from out()
+                    found = Counter()
+        yield from out()
+
+    return texts.select("text").mapInArrow(count, "piece string, times long").groupBy("piece").agg(F.sum("times").alias("n"))
+
+
+def _having(texts: DataFrame, cuts: bool, pieces: Broadcast, among: bool) -> DataFrame:
+    """(key, piece): the distinct pieces of each text (key, text) that are ``among`` the ones sent, or that aren't."""
+    schema = "x long, y long, piece string"
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces.value[0]
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                own = [{x for x in set(pieces_of(t) if cuts else [" " + t]) if (x in known) == among} for t in part.column(2).to_pylist()]
+                rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array([x for xs in own for x in xs], pa.string())], ["x", "y", "piece"])
+
+    return texts.select("key.x", "key.y", "text").mapInArrow(pick, schema).select(F.struct("x", "y").alias("key"), "piece")
+
+
 def _encoded(counted: DataFrame, byte_level: str, model: bytes) -> DataFrame:
     """(piece, n) with the ids and lengths of its tokens, null where it has none."""
     schema = "piece string, n long, a array<int>, al array<int>, b array<int>, bl array<int>"
@@ -113,27 +166,30 @@ def _encoded(counted: DataFrame, byte_level: str, model: bytes) -> DataFrame:
     return counted.select("piece", "n").mapInArrow(tokens, schema)
 
 
-def _ends(tokens: DataFrame, ids: str, lengths: str) -> DataFrame:
-    """One row a token: piece number, byte offset of its end, id."""
-    rows = tokens.select("no", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("length"))).alias("at", "token"))
+def _ends(tokens: DataFrame, ids: str, lengths: str, *more: str) -> DataFrame:
+    """One row a token: piece number, byte offset of its end, id, and ``more`` of its piece. Pieces are dealt out by their numbers before they
+    are exploded, so that their tokens are summed up where they are."""
+    rows = tokens.select("no", *more, F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("length"))).alias("at", "token"))
     end = F.sum("token.length").over(Window.partitionBy("no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("no", end.alias("end"), F.col("token.id").alias(ids))
+    return rows.select("no", end.cast("int").alias("end"), F.col("token.id").alias(ids), *more)
 
 
 def aligned(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``tokens`` (no, n, a, al, b, bl): the spelled alignment of each piece number, with its ``NUMBERS``; and the id pairs
     (a, b, links, best), where best tells that no other pair of that b has more links."""
-    ends = cut(_ends(tokens, "a", "al").join(_ends(tokens, "b", "bl"), ["no", "end"], "full"), "token-ends")
-    linked = ends.where("a is not null and b is not null").join(tokens.select("no", "n"), "no")
+    dealt = tokens.where("a is not null").select("no", "n", "a", "al", "b", "bl").repartition("no")
+    ends = cut(_ends(dealt, "a", "al", "n").join(_ends(dealt, "b", "bl"), ["no", "end"], "full"), "token-ends")
+    tidy(tokens.sparkSession)
+    linked = ends.where("a is not null and b is not null")
     pairs = cut(linked.groupBy("a", "b").agg(F.sum("n").alias("links")).where("links > 0"), "id-pairs")
     most = pairs.groupBy("b").agg(F.max("links").alias("most"))
     pairs = cut(pairs.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best")), "ranked-pairs", keep=True)
 
     known = sized(pairs.select(F.col("a").alias("a_"), F.col("b").alias("b_"), "links", "best"), SENT)
-    ends = ends.join(known, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left")
+    ends = ends.drop("n").join(known, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left").drop("a_", "b_")
     is_cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     before = Window.partitionBy("no").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("no", "end", "a", "b", is_cut.alias("is_cut"), "links", "best", F.coalesce(F.count_if(is_cut).over(before), F.lit(0)).alias("group"))
+    ends = ends.withColumn("is_cut", is_cut).withColumn("group", F.coalesce(F.count_if("is_cut").over(before), F.lit(0)))
 
     def spelled(side: str) -> Column:
         own = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
@@ -154,64 +210,64 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str =
     """Per document its id, the ``NUMBERS`` and ``groups``, spelled ``a1,a2|b1;a3|b2,b3``; and the table of id pairs."""
     spark = docs.sparkSession
     byte_level, model = load(byte_level_path, spark).decode(), load(piece_path, spark)
-    whole = F.concat(F.lit(" "), F.col("text"))
-    pieces = F.split(whole, CUT, -1) if Tokenizers(byte_level, model).separable() else F.array(whole)
+    cuts = Tokenizers(byte_level, model).separable()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     key = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), F.col("text")).alias("y"))
-    full = texts.where("text <> ''").select(key.alias("key"), pieces.alias("pieces"))
-
-    def counted(of: DataFrame) -> DataFrame:
-        return of.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    full = texts.where("text <> ''").select(key.alias("key"), "text")
 
     with scratch(spark):
-        tokens = cut(_encoded(counted(full), byte_level, model).withColumn("no", F.monotonically_increasing_id()), "piece-tokens")
+        tokens = cut(_encoded(_counted(full, cuts), byte_level, model).withColumn("no", F.monotonically_increasing_id()), "piece-tokens")
         odd = tokens.where("a is null").select("piece")
         if not odd.isEmpty():  # texts with such a piece have no tokens, so their other pieces count for nothing either
-            gone = cut(full.select("key", F.explode("pieces").alias("piece")).join(sized(odd, 100_000), "piece", "left_semi").select("key").distinct(), "texts-without-tokens")
-            left = counted(full.join(sized(gone, SENT), "key", "left_anti")).withColumnRenamed("n", "left")
+            some = odd.limit(frequent).toPandas()["piece"]
+            if len(some) == frequent and frequent < odd.count():
+                met = full.select("key", "text").join(_having(full, cuts, spark.sparkContext.broadcast(({},)), False).join(odd, "piece", "left_semi").select("key").distinct(), "key", "left_semi").select("key")
+            else:
+                met = _having(full, cuts, spark.sparkContext.broadcast((dict.fromkeys(some),)), True).select("key").distinct()
+            gone = cut(met.distinct(), "texts-without-tokens")
+            left = _counted(full.join(sized(gone, SENT), "key", "left_anti"), cuts).withColumnRenamed("n", "left")
             tokens = cut(tokens.drop("n").join(left, "piece", "left").withColumn("n", F.coalesce("left", F.lit(0))).drop("left"), "piece-tokens")
         found, pairs = aligned(tokens)
         told = cut(tokens.select("no", "piece", "n").join(found, "no", "left").drop("no"), "pieces", keep=True)
 
     brief = (F.length("piece") <= LONGEST_PIECE) & (F.coalesce(F.length("groups"), F.lit(0)) <= LONGEST_SPELLING)
     common = cut(told.where(brief).orderBy(F.desc("n"), "piece").limit(frequent), "frequent-pieces", keep=True)
-    rest = told.join(F.broadcast(common.select("piece")), "piece", "left_anti")
-    asked = full.select("key", F.explode("pieces").alias("piece")).join(F.broadcast(common.select("piece")), "piece", "left_anti").distinct()
-    own = asked.join(rest.drop("n"), "piece").groupBy("key").agg(F.collect_list(F.struct("piece", *NUMBERS, "groups")).alias("own"))
-    rows = texts.withColumn("key", F.when(F.col("text") != "", key)).join(own, "key", "left")
-    rows = rows.select("id", F.when(F.col("text") != "", pieces).alias("pieces"), "own")
-    return _put_together(rows, common, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("id", id_col), pairs
+    known = common.select("piece", *NUMBERS, "groups").toPandas()
+    shared = spark.sparkContext.broadcast((dict(zip(known["piece"], range(len(known)), strict=True)), known[NUMBERS].fillna(0).to_numpy(np.int64), [*known["groups"]]))
+    rest = told.drop("n").join(F.broadcast(common.select("piece")), "piece", "left_anti")
+    asked = _having(full, cuts, shared, False)
+    # Equal texts ask for the same pieces: the set of what they get is the same as one text's.
+    own = asked.join(rest, "piece").groupBy("key").agg(F.collect_set(F.struct("piece", *NUMBERS, "groups")).alias("own"))
+    rows = texts.withColumn("key", F.when(F.col("text") != "", key)).join(own, "key", "left").select("id", "text", "own")
+    return _put_together(rows, shared, cuts, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("id", id_col), pairs
 
 
-def _put_together(rows: DataFrame, common: DataFrame, id_type: str) -> DataFrame:
-    """Documents (id, pieces, own) from the pieces that all know and those of their own."""
+def _put_together(rows: DataFrame, shared: Broadcast, cuts: bool, id_type: str) -> DataFrame:
+    """Documents (id, text, own) from the pieces that all know and those of their own."""
     schema = f"id {id_type}, {', '.join(f'{c} long' for c in NUMBERS)}, groups string"
     shape = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
-    known = common.select("piece", *NUMBERS, "groups").toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast((dict(zip(known["piece"], range(len(known)), strict=True)), known[NUMBERS].fillna(0).to_numpy(np.int64), [*known["groups"]]))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, numbers, spelled = shared.value
+
+        def one(text: str | None, own: list[dict] | None) -> tuple[list[int], str]:
+            pieces = (pieces_of(text) if cuts else [" " + text]) if text else []
+            held = {x["piece"]: x for x in own or ()}
+            found = [places.get(x, -1) for x in pieces]
+            words = [spelled[i] if i >= 0 else held[x]["groups"] for x, i in zip(pieces, found, strict=True)]
+            if not words or None in words:
+                return [0] * len(NUMBERS), ""
+            place = np.array(found)
+            total = numbers[place[place >= 0]].sum(0)
+            if held:
+                total = total + np.array([[held[x][c] for c in NUMBERS] for x, i in zip(pieces, found, strict=True) if i < 0]).sum(0)
+            return total.tolist(), ";".join(words)
+
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sums, groups = [], []
-                for pieces, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    held = {x["piece"]: x for x in own or ()}
-                    at_place = [places.get(x, -1) for x in pieces or ()]
-                    words = [spelled[i] if i >= 0 else held[x]["groups"] for x, i in zip(pieces or (), at_place, strict=True)]
-                    if not words or None in words:
-                        sums.append([0] * len(NUMBERS))
-                        groups.append("")
-                        continue
-                    place = np.array(at_place)
-                    total = numbers[place[place >= 0]].sum(0)
-                    for x, i in zip(pieces, at_place, strict=True):
-                        if i < 0:
-                            total = total + np.array([held[x][c] for c in NUMBERS])
-                    sums.append(total.tolist())
-                    groups.append(";".join(words))
-                columns = [pa.array(x, pa.int64()) for x in zip(*sums, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(groups, pa.string())], schema=shape)
+                told = [one(*x) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                columns = [pa.array(x, pa.int64()) for x in zip(*(n for n, _ in told), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([g for _, g in told], pa.string())], schema=shape)
 
     return rows.mapInArrow(assemble, schema)
