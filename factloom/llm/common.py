@@ -43,14 +43,26 @@ def unused(df: DataFrame, name: str) -> str:
 _open: list[list[str]] = []
 
 
-def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+#: Spark's own switch for dropping the shuffle files of a query at its end.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str, keep: bool = False, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on the
-    executors that made it. Inside a ``scratch`` block the table goes at its end, unless it is to ``keep``."""
+    executors that made it. Inside a ``scratch`` block the table goes at its end, unless it is to ``keep``. ``free`` has
+    Spark drop the step's shuffle files once the table is written, and not whenever their plans are collected."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
     if _open and not keep:
         _open[-1].append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, "false")
+    try:
+        if free:
+            spark.conf.set(_FREE, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

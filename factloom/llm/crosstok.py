@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.llm.common import cut, scratch, sized, tidy
+from factloom.llm.common import cut, scratch, sized
 
 #: Characters beside which nothing is cut: all that some engine takes for white space or for nothing, and the space mark.
 _BLANK = [(0x00, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
@@ -135,18 +135,18 @@ def _counted(texts: DataFrame, cuts: bool) -> DataFrame:
 
 def _having(texts: DataFrame, cuts: bool, pieces: Broadcast, among: bool) -> DataFrame:
     """(key, piece): the distinct pieces of each text (key, text) that are ``among`` the ones sent, or that aren't."""
-    schema = "x long, y long, piece string"
+    schema = f"key {texts.schema['key'].dataType.simpleString()}, piece string"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value[0]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                own = [{x for x in set(pieces_of(t) if cuts else [" " + t]) if (x in known) == among} for t in part.column(2).to_pylist()]
+                own = [{x for x in set(pieces_of(t) if cuts else [" " + t]) if (x in known) == among} for t in part.column(1).to_pylist()]
                 rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array([x for xs in own for x in xs], pa.string())], ["x", "y", "piece"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array([x for xs in own for x in xs], pa.string())], ["key", "piece"])
 
-    return texts.select("key.x", "key.y", "text").mapInArrow(pick, schema).select(F.struct("x", "y").alias("key"), "piece")
+    return texts.select("key", "text").mapInArrow(pick, schema)
 
 
 def _encoded(counted: DataFrame, byte_level: str, model: bytes) -> DataFrame:
@@ -178,8 +178,7 @@ def aligned(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``tokens`` (no, n, a, al, b, bl): the spelled alignment of each piece number, with its ``NUMBERS``; and the id pairs
     (a, b, links, best), where best tells that no other pair of that b has more links."""
     dealt = tokens.where("a is not null").select("no", "n", "a", "al", "b", "bl").repartition("no")
-    ends = cut(_ends(dealt, "a", "al", "n").join(_ends(dealt, "b", "bl"), ["no", "end"], "full"), "token-ends")
-    tidy(tokens.sparkSession)
+    ends = cut(_ends(dealt, "a", "al", "n").join(_ends(dealt, "b", "bl"), ["no", "end"], "full"), "token-ends", free=True)
     linked = ends.where("a is not null and b is not null")
     pairs = cut(linked.groupBy("a", "b").agg(F.sum("n").alias("links")).where("links > 0"), "id-pairs")
     most = pairs.groupBy("b").agg(F.max("links").alias("most"))
@@ -212,29 +211,34 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str =
     byte_level, model = load(byte_level_path, spark).decode(), load(piece_path, spark)
     cuts = Tokenizers(byte_level, model).separable()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    key = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), F.col("text")).alias("y"))
+    # Texts of one hash only get each other's pieces besides their own, which no text looks up that doesn't have them.
+    key = F.xxhash64("text")
     full = texts.where("text <> ''").select(key.alias("key"), "text")
 
     with scratch(spark):
-        tokens = cut(_encoded(_counted(full, cuts), byte_level, model).withColumn("no", F.monotonically_increasing_id()), "piece-tokens")
+        tokens = cut(_encoded(_counted(full, cuts), byte_level, model).withColumn("no", F.monotonically_increasing_id()), "piece-tokens", free=True)
         odd = tokens.where("a is null").select("piece")
+        # Here a hash decides which texts count, so it has 128 bits.
+        tagged = full.withColumn("key", F.concat_ws(" ", F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))))
         if not odd.isEmpty():  # texts with such a piece have no tokens, so their other pieces count for nothing either
             some = odd.limit(frequent).toPandas()["piece"]
-            if len(some) == frequent and frequent < odd.count():
-                met = full.select("key", "text").join(_having(full, cuts, spark.sparkContext.broadcast(({},)), False).join(odd, "piece", "left_semi").select("key").distinct(), "key", "left_semi").select("key")
+            if len(some) < frequent:
+                met = _having(tagged, cuts, spark.sparkContext.broadcast((dict.fromkeys(some),)), True)
             else:
-                met = _having(full, cuts, spark.sparkContext.broadcast((dict.fromkeys(some),)), True).select("key").distinct()
-            gone = cut(met.distinct(), "texts-without-tokens")
-            left = _counted(full.join(sized(gone, SENT), "key", "left_anti"), cuts).withColumnRenamed("n", "left")
+                met = _having(tagged, cuts, spark.sparkContext.broadcast(({},)), False).join(odd, "piece", "left_semi")
+            gone = cut(met.select("key").distinct(), "texts-without-tokens")
+            left = _counted(tagged.join(sized(gone, SENT), "key", "left_anti"), cuts).withColumnRenamed("n", "left")
             tokens = cut(tokens.drop("n").join(left, "piece", "left").withColumn("n", F.coalesce("left", F.lit(0))).drop("left"), "piece-tokens")
         found, pairs = aligned(tokens)
-        told = cut(tokens.select("no", "piece", "n").join(found, "no", "left").drop("no"), "pieces", keep=True)
+        told = cut(tokens.select("no", "piece", "n").join(found, "no", "left").drop("no"), "pieces", keep=True, free=True)
 
     brief = (F.length("piece") <= LONGEST_PIECE) & (F.coalesce(F.length("groups"), F.lit(0)) <= LONGEST_SPELLING)
-    common = cut(told.where(brief).orderBy(F.desc("n"), "piece").limit(frequent), "frequent-pieces", keep=True)
+    common = cut(told.where(brief).orderBy(F.desc("n"), "piece").limit(frequent), "frequent-pieces", keep=True, free=True)
     known = common.select("piece", *NUMBERS, "groups").toPandas()
     shared = spark.sparkContext.broadcast((dict(zip(known["piece"], range(len(known)), strict=True)), known[NUMBERS].fillna(0).to_numpy(np.int64), [*known["groups"]]))
-    rest = told.drop("n").join(F.broadcast(common.select("piece")), "piece", "left_anti")
+    last = common.agg(F.max(F.struct((-F.col("n")).alias("down"), "piece")).alias("last")).first()["last"]
+    sent = brief & ((F.col("n") > -last["down"]) | ((F.col("n") == -last["down"]) & (F.col("piece") <= last["piece"]))) if last else F.lit(False)
+    rest = told.where(~sent).drop("n")
     asked = _having(full, cuts, shared, False)
     # Equal texts ask for the same pieces: the set of what they get is the same as one text's.
     own = asked.join(rest, "piece").groupBy("key").agg(F.collect_set(F.struct("piece", *NUMBERS, "groups")).alias("own"))
