@@ -66,13 +66,13 @@ def own_foundation(organisation: Column, person: Column, charity: str, instituti
     first word of ``charity`` (an expression) their surname is the last that is not ``connecting``. Names with a phrase of
     ``institutions``, and those listed in ``legacy``, are nobody's."""
     org = words(organisation)
-    org = F.when(F.get(org, 0) == "the", F.slice(org, 2, 1000)).otherwise(org)
+    org = F.when(F.get(org, 0) == "the", F.slice(org, F.lit(2), F.size(org))).otherwise(org)
     line = F.concat(F.lit(" "), F.array_join(org, " "), F.lit(" "))
     name = F.filter(words(F.regexp_replace(F.lower(person), r"(&|\band)\s+family\s*$", "")), lambda w: ~w.isin(*_SUFFIX))
     first, last = F.get(name, 0), F.try_element_at(name, F.lit(-1))
     at = F.array_position(F.transform(org, lambda w: w.rlike(f"^(?:{charity})$")), F.lit(True)).cast("int")
     before = F.when(at > 1, F.slice(org, F.lit(1), at - 1)).otherwise(F.array().cast("array<string>"))
-    bearer = F.try_element_at(F.concat(F.slice(before, 1, 1), F.filter(F.slice(before, 2, 1000), lambda w: ~w.isin(*connecting))), F.lit(-1))
+    bearer = F.try_element_at(F.concat(F.slice(before, 1, 1), F.filter(F.slice(before, F.lit(2), F.size(before)), lambda w: ~w.isin(*connecting))), F.lit(-1))
     institution = F.exists(F.array(*[F.lit(f" {i} ") for i in institutions]).cast("array<string>"), lambda i: line.contains(i))
     mine = F.get(org, 0).isin(first, last) | line.contains(F.concat_ws(" ", F.lit(""), first, last, F.lit("")))
     listed = F.trim(line).isin(*legacy) if legacy else F.lit(False)
@@ -92,7 +92,7 @@ def reviewed(candidates: Column, allowed: Column, field: str = "ein") -> Column:
 def names_a_relative(title: Column, surname: Column, own_names: Column) -> Column:
     """Whether a capitalised word right before the surname is none of the person's own names."""
     said = F.regexp_extract_all(title, F.lit(r"[\p{L}'’-]+"), F.lit(0))
-    pairs = F.arrays_zip(said.alias("w"), F.slice(said, 2, 1000).alias("then"))
+    pairs = F.arrays_zip(said.alias("w"), F.slice(said, F.lit(2), F.size(said)).alias("then"))
 
     def other(p: Column) -> Column:
         capital = (F.length(p["w"]) > 1) & (F.left(p["w"], F.lit(1)) != F.lower(F.left(p["w"], F.lit(1))))

@@ -10,6 +10,7 @@ RECENCY = ((2, 4), (4, 3), (8, 2), (15, 1), (30, 0))
 STALE = -5
 NET_WORTH_DAYS = 365
 CLOCK_TRUST_SECONDS = 300
+ADULT = 18
 
 
 def days_between(ts: Column, as_of: Column) -> Column:
@@ -61,9 +62,20 @@ def precise_year(time_value: Column, precision: Column) -> Column:
     return F.when(precision >= 9, F.regexp_extract(time_value, r"^\+?([0-9]{4})-", 1).try_cast("int"))
 
 
+def implausible_birth(born: Column, as_of_year: int) -> Column:
+    """A birth year that is missing, absurdly early, or that makes someone a minor today: it proves nothing."""
+    return F.coalesce(~born.between(1850, as_of_year - ADULT), F.lit(True))
+
+
 def impossible_record(first_year: Column, born: Column, as_of_year: int) -> Column:
-    """A contribution before the age of 18; false where the birth year itself is implausible."""
-    return F.coalesce(born.between(1850, as_of_year) & (first_year < born + 18), F.lit(False))
+    """A contribution before the age of 18; false on any doubt of the birth year or of the year of the contribution."""
+    sure = ~implausible_birth(born, as_of_year) & first_year.between(1850, as_of_year)
+    return F.coalesce(sure & (first_year < born + ADULT), F.lit(False))
+
+
+def first_year_of(span: Column) -> Column:
+    """The year with which a span ``yyyy-mm-dd to yyyy-mm-dd`` begins; null for any other text."""
+    return F.when(span.contains(" to "), F.substring(F.split(span, " to ")[0], 1, 4).try_cast("int"))
 
 
 def window_of(dates: Column) -> Column:

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from factloom.functions import fixed
 from factloom.functions.money import exact_usd
 
-#: Spellings of no party at all, and codes that say nothing of a lean.
-NO_PARTY = ("", "none", "unknown", "n/a", "npa", "nne", "non", "unk")
-NO_LEAN = ("Unknown", "PAC/Other", "IND", "OTH")
-
 
 def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
@@ -34,11 +30,11 @@ def collapsed_total(foundations: Column, amount: str, stored: Column) -> Column:
 def party_code(key: Column) -> Column:
     """One code for all spellings of a party."""
     low = F.lower(F.trim(key))
-    return F.when(low.isin(*NO_PARTY), "Unknown").when(low == "pac/other", "PAC/Other").when(low.rlike("^[a-z]{3}$"), F.upper(low)).otherwise(F.trim(key))
+    return F.when(low.isin(*fixed.NO_PARTY), "Unknown").when(low == "pac/other", "PAC/Other").when(low.rlike("^[a-z]{3}$"), F.upper(low)).otherwise(F.trim(key))
 
 
 def party_buckets(breakdown: Column) -> Column:
-    """Array of (amount, code), largest first, from a map of spellings to amounts; amounts that are no number are left out."""
+    """Array of (amount, code), largest first, equal ones in the order of the map, from a map of spellings to amounts; amounts that are no number are left out."""
     entries = F.transform(F.map_entries(breakdown), lambda e: F.struct(party_code(e["key"]).alias("code"), e["value"].cast("double").alias("amount")))
     good = F.filter(entries, lambda e: e["amount"].isNotNull() & ~F.isnan(e["amount"]) & (F.abs(e["amount"]) < float("inf")))
     codes = F.array_distinct(F.transform(good, lambda e: e["code"]))
@@ -46,12 +42,13 @@ def party_buckets(breakdown: Column) -> Column:
     def total(code: Column) -> Column:
         return F.aggregate(F.filter(good, lambda e: e["code"] == code), F.lit(0.0), lambda a, e: a + e["amount"])
 
-    return F.reverse(F.array_sort(F.transform(codes, lambda c: F.struct(total(c).alias("amount"), c.alias("code")))))
+    ordered = F.array_sort(F.transform(codes, lambda c, i: F.struct((-total(c)).alias("down"), i.alias("at"), c.alias("code"))))
+    return F.transform(ordered, lambda b: F.struct((-b["down"]).alias("amount"), b["code"].alias("code")))
 
 
 def top_party(breakdown: Column) -> Column:
     """Code of the largest bucket that names a party and is above 0; null without."""
-    leaning = F.filter(party_buckets(breakdown), lambda b: ~b["code"].isin(*NO_LEAN) & (b["amount"] > 0))
+    leaning = F.filter(party_buckets(breakdown), lambda b: ~b["code"].isin(*fixed.NO_LEAN) & (b["amount"] > 0))
     return F.get(leaning, 0)["code"]
 
 

@@ -18,10 +18,12 @@ def _scale(unit: Column) -> Column:
 
 
 def parse_usd(text: Column) -> Column:
-    """Dollars of a text such as ``~$1.2B`` or ``$790 billion``; null for anything else."""
-    shape = rf"(?i)^\s*~?\s*\$?\s*{_NUMBER}\s*(trillion|billion|million|bn|t|b|m)?\s*$"
-    number = F.regexp_replace(F.regexp_extract(text, shape, 1), ",", "").try_cast("double")
-    return number * _scale(F.regexp_extract(text, shape, 2))
+    """Dollars of the first figure of a text such as ``~$1.2B (est.)`` or ``$790 billion``, by the first letter of its unit; null for a text
+    without a figure."""
+    close = F.regexp_replace(text, r"[~$,\s]", "")
+    shape = r"(?i)([0-9.]+)([bmt])?"
+    number = F.regexp_extract(F.regexp_extract(close, shape, 1), r"^(\d*\.?\d+|\d+)", 1).try_cast("double")
+    return number * _scale(F.regexp_extract(close, shape, 2))
 
 
 def parse_billions(text: Column) -> Column:
@@ -52,12 +54,12 @@ def money_points(text: Column, gate: Column) -> Column:
 
 
 def currency(amount: Column) -> Column:
-    """$1.2B, $3.4M, $5.6K or plain dollars."""
+    """$1.2B, $3.4M, $5K; below a thousand in full, with what cents there are."""
     return (
         F.when(amount >= 1e9, F.concat(F.lit("$"), F.format_string("%.1f", amount / 1e9), F.lit("B")))
         .when(amount >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", amount / 1e6), F.lit("M")))
         .when(amount >= 1e3, F.concat(F.lit("$"), F.format_string("%.0f", amount / 1e3), F.lit("K")))
-        .when(amount.isNotNull(), F.concat(F.lit("$"), F.format_string("%.0f", amount)))
+        .when(amount.isNotNull(), F.concat(F.lit("$"), F.regexp_replace(F.format_string("%,.3f", amount.cast("double")), r"\.?0+$", "")))
     )
 
 

@@ -76,8 +76,8 @@ def dominates(a: Column, b: Column, times: float = 10.0) -> Column:
 
 
 def annualised(total: Column, since: Column, stated: Column, as_of_year: int) -> Column:
-    """Yearly figure: the stated one, else the total over the years since, at least one."""
-    return F.coalesce(stated, total / F.greatest(F.lit(1), F.lit(as_of_year) - since))
+    """Yearly figure: the stated one if it is above 0, else the total over the years since, at least one."""
+    return F.coalesce(F.when(stated > 0, stated), total / F.greatest(F.lit(1), F.lit(as_of_year) - since))
 
 
 def figures_match(a: Column, b: Column, within: float = 0.01) -> Column:

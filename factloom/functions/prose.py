@@ -7,20 +7,22 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions import fixed
 from factloom.functions.numeric import GRADES
 
 #: Figures a record may hold before its sums are no longer formed, and digits a figure needs to be judged.
 MOST_FIGURES, LEAST_DIGITS = 120, 5
 _DOLLARS = re.compile(r"\$\s?([0-9][0-9,]*)(?:\.([0-9]+))?(?!\s*(?:[kmbt]\b|thousand|million|billion|trillion|mm\b|bn\b))(?![0-9,.]*[0-9])", re.I)
 _FIGURE = re.compile(r"(?P<sign>\$)(?P<number>[0-9][0-9,]*(?:\.[0-9]+)?)(?P<gap>\s?)(?P<unit>billion|million|thousand|[BMK]\b)", re.I)
-_UNITS = {"b": 1e9, "m": 1e6, "k": 1e3, "t": 1e3}
 
 
 def dollars(text: str | None) -> list[int]:
@@ -117,42 +119,90 @@ def json_numbers(value: pd.Series) -> pd.Series:
     return value.map(of)
 
 
-#: Names that a score has inside, which no text is to use, and those that readers know.
-INSIDE, OUTSIDE, NOUN = ("pbs score", "public benefit score"), ("giving score", "giving grade"), "giving score"
-_ANY_NAME = "|".join(n.replace(" ", r"\s+") for n in (*INSIDE, *OUTSIDE))
-_STATED = re.compile(
-    rf"""\b(?P<name>{_ANY_NAME})\b
-    (?:(?P<link>\s+(?:of|is|was|at|to)\s+|\s*[:=]\s*)|\s+(?=[A-F][+-]?\s*\())
-    (?:(?P<letter>[A-F][+-]?)\s*\()?
-    (?P<number>\d{{1,3}}(?:\.\d+)?)(?!\d)(?!\.\d)(?!\s*%)(?P<rest>(?:\s+of\s+100)?)
-    | (?<![$\d.])\b(?P<first>\d{{1,3}}(?:\.\d+)?)(?P<gap>\s+)(?P<then>{_ANY_NAME})\b""",
-    re.I | re.X,
-)
+_TOKEN = re.compile(r"\$?\d[\d,]*(?:\.\d+)?|[A-Za-z]+|\s+|.", re.S)
+_SCORE = re.compile(r"\d{1,3}(?:\.\d+)?")
+_LETTER = re.compile(r"[A-Fa-f]")
 
 
-def names_score_inside(text: str | None) -> bool:
-    """Whether a text uses a score's inside name, with a figure or without."""
-    return bool(re.search("|".join(rf"\b{n}\b" for n in INSIDE).replace(" ", r"\s+"), text or "", re.I))
+@dataclass
+class Stated:
+    """A score that a text states: where its name and its figure are among the tokens, and the letter before it, if any."""
+
+    name: range
+    figure: int
+    letter: range | None = None
+
+
+def _words(tokens: list[str], at: int) -> list[int]:
+    """Places of the tokens from ``at`` that are no white space."""
+    return [i for i in range(at, min(at + 12, len(tokens))) if not tokens[i].isspace()]
+
+
+def _is_score(tokens: list[str], at: int) -> bool:
+    """Whether a token is a figure that can be a score: three digits at most, no money and no percentage, and not the end of a longer number."""
+    after = [tokens[i] for i in _words(tokens, at + 1)[:1]]
+    joined = at > 0 and tokens[at - 1] in (".", "$") or at > 1 and tokens[at - 1].isspace() and tokens[at - 2] == "$"
+    return bool(_SCORE.fullmatch(tokens[at])) and after != ["%"] and not joined
+
+
+def names_in(tokens: list[str]) -> list[tuple[str, range]]:
+    """The names of a score in a text, and where they are."""
+    found = []
+    for at, token in enumerate(tokens):
+        for name in (*fixed.SCORE_NAMES_INSIDE, *fixed.SCORE_NAMES_OUTSIDE):
+            words = name.split()
+            places = _words(tokens, at)[: len(words)]
+            if not token.isspace() and [tokens[i].lower() for i in places] == words and all(b - a == 2 for a, b in zip(places, places[1:], strict=False)):
+                found.append((name, range(at, places[-1] + 1)))
+    return found
+
+
+def stated_scores(tokens: list[str]) -> list[tuple[str, Stated]]:
+    """Names with the figure that belongs to each: behind a linking word or sign, or in brackets behind a letter, or right before the name."""
+    found = []
+    for name, where in names_in(tokens):
+        ahead = _words(tokens, where.stop)
+        linked = ahead[:1] and tokens[ahead[0]].lower() in fixed.SCORE_LINKS
+        rest = ahead[1:] if linked else ahead
+        if name.endswith("grade") and len(rest) > 1 and _LETTER.fullmatch(tokens[rest[0]]):
+            end = 2 if tokens[rest[1]] in "+-" else 1
+            if len(rest) > end + 1 and tokens[rest[end]] == "(" and _SCORE.fullmatch(tokens[rest[end + 1]]) and ")" in [tokens[i] for i in rest[end + 2 : end + 5]]:
+                found.append((name, Stated(where, rest[end + 1], range(rest[0], rest[end - 1] + 1))))
+                continue
+        if linked and rest and _is_score(tokens, rest[0]):
+            found.append((name, Stated(where, rest[0])))
+        elif where.start > 1 and tokens[where.start - 1].isspace() and _is_score(tokens, where.start - 2):
+            found.append((name, Stated(where, where.start - 2)))
+    return found
 
 
 def restated(text: str, score: float) -> str:
-    """A text with every figure of a score made the given one: inside names become the readers', letters follow the figure, and
-    the words between stay as the author has them. Money and percentages are other people's numbers."""
-    value = str(int(np.floor(score + 0.5)))
+    """A text with every figure of a score made the given one: inside names that have a figure become the readers', letters follow the
+    figure, and the words between stay as the author has them. Money and percentages are other people's numbers."""
+    tokens = _TOKEN.findall(text)
     letter = next((g for g, least in GRADES if score >= least), "F")
+    for name, stated in reversed(stated_scores(tokens)):
+        tokens[stated.figure] = str(int(np.floor(score + 0.5)))
+        if stated.letter:
+            tokens[stated.letter.start] = letter
+            for i in stated.letter[1:]:
+                tokens[i] = ""
+        if name in fixed.SCORE_NAMES_INSIDE:
+            tokens[stated.name.start] = fixed.SCORE_NAMES_OUTSIDE[0]
+            for i in stated.name[1:]:
+                tokens[i] = ""
+    return "".join(tokens)
 
-    def known(name: str) -> str:
-        return NOUN if " ".join(name.lower().split()) in INSIDE else name
 
-    def one(m: re.Match) -> str:
-        if m["first"]:
-            return f"{value}{m['gap']}{known(m['then'])}"
-        link = m["link"] or " "
-        if m["letter"]:
-            return f"{known(m['name'])}{link}{letter} ({value}{m['rest']}"
-        return f"{known(m['name'])}{link}{value}{m['rest']}"
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def reader_facing_figures(text: pd.Series) -> pd.Series:
+    """Figures that a text states as the score under the names that readers know."""
+
+    def of(t: str | None) -> list[float]:
+        tokens = _TOKEN.findall(t or "")
+        return [float(tokens[s.figure]) for name, s in stated_scores(tokens) if name in fixed.SCORE_NAMES_OUTSIDE]
 
-    return _STATED.sub(one, text)
+    return text.map(of)
 
 
 @F.pandas_udf(T.StringType())
@@ -165,14 +215,28 @@ def repair_score(text: pd.Series, live: pd.Series, people: pd.Series) -> pd.Seri
     return pd.Series([of(*x) for x in zip(text, live, people, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def withhold_inside_score(text: pd.Series) -> pd.Series:
+def _named(text: Column, names: tuple[str, ...]) -> Column:
+    shape = "|".join(n.replace(" ", r"\s+") for n in names)
+    return F.coalesce(text.rlike(rf"(?i)\b(?:{shape})\b"), F.lit(False))
+
+
+def names_score_inside(text: Column) -> Column:
+    """Whether a text uses a score's inside name, with a figure or without."""
+    return _named(text, fixed.SCORE_NAMES_INSIDE)
+
+
+def withhold_inside_score(text: Column) -> Column:
     """Texts that use a score's inside name are withheld whole; to be asked after ``repair_score``, which renames what it can read."""
-    return pd.Series(["" if names_score_inside(t) else t for t in text], dtype=object)
+    return F.when(names_score_inside(text), "").otherwise(text)
+
+
+def withhold_any_score(text: Column) -> Column:
+    """Texts about people without a grade are withheld whole once they name the score in any way."""
+    return F.when(_named(text, fixed.SCORE_NAMES_OUTSIDE + fixed.SCORE_NAMES_INSIDE), "").otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
-def repair_total(text: pd.Series, stale: pd.Series, live: pd.Series) -> pd.Series:
+def repair_holdings(text: pd.Series, stale: pd.Series, live: pd.Series) -> pd.Series:
     """Texts that state a stale total get the live one in the same unit and number of decimals; a figure counts as the
     stale one within half a percent. Left as it is if the live figure would round to nothing in that unit."""
 
@@ -181,7 +245,7 @@ def repair_total(text: pd.Series, stale: pd.Series, live: pd.Series) -> pd.Serie
             return t
 
         def one(m: re.Match) -> str:
-            scale = _UNITS[m["unit"][0].lower()]
+            scale = fixed.UNITS[m["unit"].lower()]
             said = float(m["number"].replace(",", "")) * scale
             decimals = len(m["number"].partition(".")[2])
             fresh = f"{new / scale:.{decimals}f}"
@@ -192,47 +256,6 @@ def repair_total(text: pd.Series, stale: pd.Series, live: pd.Series) -> pd.Serie
     return pd.Series([of(*x) for x in zip(text, stale, live, strict=True)], dtype=object)
 
 
-def withhold_near(text: str | None, subject: str, distance: int = 120) -> str | None:
-    """The empty text if a dollar figure and the subject stand close together in one sentence."""
-    if not text:
-        return text
-    for sentence in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text):
-        for m in re.finditer(subject, sentence, re.I):
-            if "$" in sentence[max(0, m.start() - distance) : m.end() + distance]:
-                return ""
-    return text
-
-
-@F.pandas_udf(T.StringType())
-def withhold_political(text: pd.Series) -> pd.Series:
-    """Texts that tie a figure to political spending are withheld whole."""
-    subject = r"\b(?:political|campaign|election|PAC|contribut\w+|candidate\w*)\b"
-    return pd.Series([withhold_near(t, subject) for t in text], dtype=object)
-
-
-def spelled(prose: str, wanted: dict[str, float]) -> str:
-    """full, partial or none: whether each wanted amount is said once; an amount that is used up counts for no other."""
-    pool = [float(m[1].replace(",", "")) for m in re.finditer(r"\$([0-9][0-9,]*(?:\.[0-9]+)?)", prose)]
-    hits = 0
-    for amount in wanted.values():
-        at = next((i for i, x in enumerate(pool) if abs(x - amount) < 0.005), None)
-        if at is not None:
-            pool.pop(at)
-            hits += 1
-    return "none" if not hits else "full" if hits == len(wanted) else "partial"
-
-
-@F.pandas_udf(T.StringType())
-def party_prose(text: pd.Series, breakdown: pd.Series) -> pd.Series:
-    """Whether prose states all, some or none of the amounts of a breakdown; null without one."""
-
-    def of(t: str | None, b: object) -> str | None:
-        wanted = dict(b) if b is not None else {}
-        return spelled(t or "", wanted) if wanted else None
-
-    return pd.Series([of(*x) for x in zip(text, breakdown, strict=True)], dtype=object)
-
-
 class _Sections(HTMLParser):
     """Walks a page and notes, under each heading, the paragraphs that follow it in the same box, with their classes."""
 

@@ -94,6 +94,18 @@ def generation(name: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(name), r"[ ,](jr|sr|ii|iii|iv|v)\.?$", 1), F.lit(""))
 
 
+def core_tokens(name: Column) -> Column:
+    """Words of letters in a name that make up who someone is: no suffixes, no single letters."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z ]", " "), r"\s+")
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*fixed.NOT_CORE))
+
+
+def generation_rank(name: Column) -> Column:
+    """Rank of the first suffix word that stands anywhere in a name; 0 without."""
+    word = F.regexp_extract(F.lower(name), r"\b(sr|jr|ii|iii|iv|v)\b", 1)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.GENERATIONS.items() for x in kv]), word), F.lit(0))
+
+
 def name_in_text(name: Column, text: Column) -> Column:
     """Whether a text mentions a name as whole words."""
     def normal(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,3 +27,20 @@ def first_misplaced(df: DataFrame, group: str, pos: str, good: Column) -> DataFr
     """Groups in which a good row comes after one that isn't: (group, first bad position, last good position)."""
     sides = df.groupBy(group).agg(F.min(F.when(~good, F.col(pos))).alias("first_bad"), F.max(F.when(good, F.col(pos))).alias("last_good"))
     return sides.where("last_good > first_bad")
+
+
+def compared(stored: DataFrame, served: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, verdict, fields): what a table holds against what its pages say, row by row and cell by cell. ``not served`` and
+    ``not stored`` for keys of one side; ``differs`` with the columns that do, nulls being equal to nulls only; else ``agrees``. A key that is there
+    twice on a side is ``ambiguous``. Every key has one verdict, so that counts add up to all keys."""
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        # Of a key's rows one is kept, with their number: they are combined before they meet.
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{mark}_n"), F.min(F.struct(*columns)).alias(mark))
+
+    both = side(stored, "stored").join(side(served, "served"), key, "full")
+    fields = F.array_compact(F.array(*[F.when(~F.col(f"stored.{c}").eqNullSafe(F.col(f"served.{c}")), F.lit(c)) for c in columns]))
+    verdict = (
+        F.when((F.col("stored_n") > 1) | (F.col("served_n") > 1), "ambiguous").when(F.col("served_n").isNull(), "not served").when(F.col("stored_n").isNull(), "not stored")
+        .when(F.size(fields) > 0, "differs").otherwise("agrees")
+    )
+    return both.select(key, verdict.alias("verdict"), F.when(verdict == "differs", fields).otherwise(F.array().cast("array<string>")).alias("fields"))

@@ -6,13 +6,14 @@ compares with what is published is a join before it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import event_signature
+from factloom.operators.ranking import placed
 from factloom.operators.similarity import best_match, jaccard_join
 
 #: Jaccard from which two titles tell of one event: within a run, against what is published; and where doubt begins.
@@ -116,3 +117,16 @@ def guarded(items: DataFrame, guards: Mapping[str, Column], verdicts: DataFrame
     rows = rows.join(verdicts.select("key", "verdict", "failed_open"), "key", "left").withColumn("failed_open", F.coalesce("failed_open", F.lit(False)))
     judged = F.lit(enforced) & (F.col("verdict") == "reject") & ~F.col("failed_open")
     return rows.withColumn("dropped_by", F.when(F.col("dropped_by").isNull() & F.coalesce(judged, F.lit(False)), "judge").otherwise(F.col("dropped_by")))
+
+
+def spliced(listed: DataFrame, near: DataFrame, verdicts: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The list (key and what ``order`` needs) less the cards that tell of a published event, with ``place`` from 1, closed up after them, and ``asked``:
+    cleared or failed open where a judge was asked. A published title of ``PUBLISHED`` or more (``near``: key, score) takes a card off at once; one
+    in doubt takes it off if the verdict (key, verdict, failed_open) is ``duplicate``. A judge that failed open, or wasn't there, takes off nothing."""
+    rows = listed.join(near.select("key", "score"), "key", "left").join(verdicts.select("key", "verdict", "failed_open"), "key", "left")
+    score = F.coalesce("score", F.lit(0.0))
+    doubt = (score >= DOUBT) & (score < PUBLISHED)
+    answered = F.col("verdict").isNotNull() & ~F.coalesce("failed_open", F.lit(False))
+    gone = (score >= PUBLISHED) | (doubt & answered & (F.col("verdict") == "duplicate"))
+    kept = rows.where(~gone).withColumn("asked", F.when(doubt & answered, "cleared").when(doubt, "failed open"))
+    return placed(kept.drop("score", "verdict", "failed_open"), order, "place")

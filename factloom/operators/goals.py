@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import latest
+
 
 def meant(text: Column, keywords: Mapping[str, str]) -> Column:
     """Array of the distinct values whose expressions a text meets."""
@@ -22,11 +24,13 @@ def matches(goals: DataFrame, people: DataFrame, most: int = 12, means: float =
     most of it, so ``most`` of those are held against every goal."""
     none = F.array().cast("array<string>")
     goals = goals.withColumns({"places": F.coalesce("places", none), "fields": F.coalesce("fields", none)})
-    people = people.withColumn("fields", F.coalesce("fields", none))
+    people = people.withColumn("fields", F.array_sort(F.array_distinct(F.coalesce("fields", none))))
+    order = [F.coalesce("billions", F.lit(0.0)).desc(), F.coalesce("score", F.lit(0.0)).desc(), F.asc("person")]
+    # People of one place, the same fields and like means have the same points for any goal: only the best of each such class count.
+    people = latest.first_per(people.withColumn("_able", F.coalesce(F.col("billions") >= means, F.lit(False))), ["place", "fields", "_able"], order, most).drop("_able")
     by_place = goals.select("goal", F.explode("places").alias("place")).join(people.select("person", "place"), "place").select("goal", "person")
-    theirs = people.select("person", F.explode(F.array_distinct("fields")).alias("field"))
+    theirs = people.select("person", F.explode("fields").alias("field"))
     by_field = goals.select("goal", F.explode("fields").alias("field")).join(theirs, "field").select("goal", "person")
-    order = [F.coalesce("billions", F.lit(0.0)).desc(), F.coalesce("score", F.lit(0.0)).desc(), F.asc("person")]
     rich = [r["person"] for r in people.where(F.col("billions") >= means).orderBy(*order).limit(most).select("person").collect()]
     kind = people.schema["person"].dataType
     of_means = goals.select("goal", F.explode(F.array(*[F.lit(p).cast(kind) for p in rich]).cast(f"array<{kind.simpleString()}>")).alias("person"))

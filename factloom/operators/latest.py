@@ -25,11 +25,11 @@ def at_maximum(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], exempt: Column | None = None) -> DataFrame:
     """First row per key in ``order``; rows that ``exempt`` marks all stay."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    keep = F.col("_rank") == 1
-    if exempt is not None:
-        keep = keep | F.coalesce(exempt, F.lit(False))
-    return df.withColumn("_rank", rank).where(keep).drop("_rank")
+    if exempt is None:
+        return first_per(df, keys, order)
+    # Asked for alone, the first of each key is cut down to before the shuffle; exempt rows need none.
+    marked = df.withColumn("_exempt", F.coalesce(exempt, F.lit(False)))
+    return first_per(marked, keys, order).where("NOT _exempt").unionByName(marked.where("_exempt")).drop("_exempt")
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

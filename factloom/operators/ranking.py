@@ -30,22 +30,39 @@ def promoted_first(df: DataFrame, order: Sequence[Column], points: Column, windo
     return head.withColumn("pos", F.when(F.col("_rank") <= promoted, F.col("_rank")).otherwise(F.lit(promoted) + ahead)).drop("_points", "_in", "_rank")
 
 
-#: Rows, about, that one task puts in order.
-_TOGETHER = 50_000
+def ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df``, stored, in ranges of an order that are sorted apart: ``_part``, the range, and ``_at``, the place in it from 0. Ranges are cut
+    at quantiles of the order, so that no task has all rows."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    return rows.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def _carried(rows: DataFrame, amount: Column, name: str) -> DataFrame:
+    """(_part, ``name``): what the ranges before each one come to. One row a range: few enough to be added up together."""
+    sums = rows.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    return F.broadcast(sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias(name)))
+
+
+def placed(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with its rows' places from 1 in an order that should end in a unique column, as a column ``name``. A range's places go on
+    where those before end; no window runs over the rows."""
+    rows = ranged(df, order)
+    return rows.join(_carried(rows, F.lit(1), "_before"), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
 def numbered(df: DataFrame, pos: str, name: str, first: Column | None = None) -> DataFrame:
-    """``df`` with its rows' numbers from 1 in the order of ``first`` (a boolean, false first) and a numeric ``pos``, as a column
-    ``name``. Rows are cut into stretches of ``pos`` that are ordered apart; a stretch's numbers go on where those before end."""
-    low, high, n = df.agg(F.min(pos), F.max(pos), F.count(F.lit(1))).first()
-    parts = max(1, -(-n // _TOGETHER))
-    part = F.floor((F.col(pos) - low) / max(high - low, 1) * parts) if n else F.lit(0)
-    rows = df.withColumns({"_first": F.coalesce(first, F.lit(False)) if first is not None else F.lit(False), "_part": part.cast("long")})
-    sizes = rows.groupBy("_first", "_part").agg(F.count(F.lit(1)).alias("_size"))
-    # One row a stretch: few enough to be added up together.
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_first", "_part")) - F.col("_size")).drop("_size")
-    here = F.row_number().over(Window.partitionBy("_first", "_part").orderBy(pos))
-    return rows.withColumn("_here", here).join(F.broadcast(before), ["_first", "_part"]).withColumn(name, F.col("_before") + F.col("_here")).drop("_first", "_part", "_before", "_here")
+    """``df`` with its rows' numbers from 1 in the order of ``first`` (a boolean, false first) and ``pos``, as a column ``name``."""
+    return placed(df, [*([first.asc()] if first is not None else []), F.asc(pos)], name)
+
+
+def under_budget(df: DataFrame, order: Sequence[Column], cost: Column, budget: float) -> DataFrame:
+    """``df`` with ``spent``, what all rows before cost, and ``runs``: rows are taken in order until the budget is exceeded, so the
+    last one may go beyond it. A null cost is none."""
+    rows = ranged(df.withColumn("_cost", F.coalesce(cost, F.lit(0.0))), order)
+    here = F.sum("_cost").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    spent = F.col("_before") + F.coalesce(here, F.lit(0.0))
+    out = rows.join(_carried(rows, F.col("_cost"), "_before"), "_part").withColumn("spent", spent)
+    return out.withColumn("runs", F.col("spent") <= budget).drop("_cost", "_part", "_at", "_before")
 
 
 def diversify(df: DataFrame, pos: str, kind: str, cap: int) -> DataFrame:
@@ -71,14 +88,35 @@ def seed(text: Column) -> Column:
     return folded.bitwiseAND(F.lit(LCG_MASK))
 
 
-def shuffled(ids: Sequence[str], start: int) -> list[str]:
-    """Seeded Fisher-Yates from the end, for a pool of a few thousand ids on the driver."""
-    out, state = list(ids), start
-    for last in range(len(out) - 1, 0, -1):
-        state = (state * LCG_FACTOR + LCG_STEP) & LCG_MASK
-        other = min(last, int(state / LCG_MASK * (last + 1)))
-        out[last], out[other] = out[other], out[last]
-    return out
+#: Ids that a day's order is drawn from, at most: its swaps are one array of two numbers an id.
+DRAWN = 1_000_000
+
+
+def drawn(start: Column, steps: Column) -> Column:
+    """State of the generator after so many steps (under 2**20) from ``start``, by jumps of powers of two."""
+    factor, step, state = LCG_FACTOR, LCG_STEP, start.cast("long")
+    for bit in range(20):
+        taken = F.shiftright(steps, bit).bitwiseAND(F.lit(1)) == 1
+        state = (state * F.when(taken, factor).otherwise(1).cast("long") + F.when(taken, step).otherwise(0).cast("long")).bitwiseAND(F.lit(LCG_MASK))
+        factor, step = factor * factor & LCG_MASK, (factor * step + step) & LCG_MASK
+    return state
+
+
+def daily_pick(pool: DataFrame, key: str, day: str, n: int = 10) -> DataFrame:
+    """(key, place) of the first ``n`` ids of a pool in the order of a day: ids by key, shuffled from the end by Fisher and Yates with the
+    generator seeded by the day. Swaps are made for all steps at once, and the places asked for are followed back through them."""
+    ids = placed(pool.select(key), [F.asc(key)], "_from").checkpoint()
+    size = ids.count()
+    if size > DRAWN:
+        raise ValueError(f"{size} ids are more than the {DRAWN} that a day's order is drawn from")
+    # The swap at place i is the (size - i)th, so going back through time is going up through places.
+    last = F.col("id")
+    other = F.least(last, F.floor(drawn(seed(F.lit(day)), F.lit(size) - last) / F.lit(float(LCG_MASK)) * (last + 1)))
+    swaps = pool.sparkSession.range(1, max(size, 1)).select(F.struct(last.alias("i"), other.alias("j")).alias("swap"))
+    wanted = swaps.agg(F.array_sort(F.collect_list("swap")).alias("swaps")).select("swaps", F.explode(F.sequence(F.lit(0), F.lit(max(min(n, size), 1) - 1))).alias("at"))
+    back = F.aggregate("swaps", F.col("at").cast("long"), lambda p, s: F.when(p == s["i"], s["j"]).when(p == s["j"], s["i"]).otherwise(p))
+    found = wanted.select((back + 1).alias("_from"), (F.col("at") + 1).cast("int").alias("place"))
+    return ids.join(F.broadcast(found), "_from").select(key, "place")
 
 
 def pool(eligible: DataFrame, everyone: DataFrame, least: int = 10) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Shapes of results: nested facts, leftovers, orders with several keys, daily snapshots, the daily ten."""
+"""Shapes of results: nested facts, leftovers, orders with several keys, daily snapshots."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed, lists
@@ -21,10 +21,12 @@ def distinct_in_first(df: DataFrame, group: str, pos: str, value: str, n: int) -
     return df.groupBy(group).agg(F.count_distinct(F.when(F.col(pos) < n, F.col(value))).alias("distinct"))
 
 
-def first_per_source(df: DataFrame, source: str, order: Sequence[Column]) -> DataFrame:
-    """The first row, in order, of each source, whatever its case; rows without a source are dropped."""
-    rank = F.row_number().over(Window.partitionBy(F.lower(source)).orderBy(*order))
-    return df.where(F.col(source).isNotNull()).withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+def first_per_source(df: DataFrame, source: str, order: Sequence[str]) -> DataFrame:
+    """The row of each source, whatever its case, that is least in the columns of ``order``; rows without a source are dropped. One combined
+    aggregation: a source with very many rows is no group of its own."""
+    least = F.min(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])).alias("_first")
+    firsts = df.where(F.col(source).isNotNull()).groupBy(F.lower(source).alias("_source")).agg(least)
+    return firsts.select(*[F.col(f"_first.{c}") for c in df.columns])
 
 
 def oldest_left(df: DataFrame, done: DataFrame, key: str, stamp: str) -> DataFrame:
@@ -70,13 +72,6 @@ def snapshot(old: DataFrame, new: DataFrame, key: str, day: str) -> DataFrame:
     return old.join(new.select(key, day).distinct(), [key, day], "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def daily_pick(pool: DataFrame, key: str, day: str, n: int = 10) -> DataFrame:
-    """``n`` rows of a pool in an order that depends on the day and the key only, with their place from 1."""
-    order = F.md5(F.concat_ws("|", F.lit(day), F.col(key).cast("string")).cast("binary"))
-    picked = pool.withColumn("_order", order).orderBy("_order", key).limit(n)
-    return picked.withColumn("place", F.row_number().over(Window.orderBy("_order", key))).drop("_order")
-
-
 def mentioned_others(headlines: DataFrame, people: DataFrame) -> DataFrame:
     """(headline, person): people other than its own whom a headline (headline, person, title) names in full. Titles are cut into runs of
     words as long as some name, which meet names by equal text."""

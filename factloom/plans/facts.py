@@ -84,9 +84,10 @@ def party_fold(spark: SparkSession, d: str) -> DataFrame:
     """Amounts under one code per party whatever the spelling, and the leading party; no lean leads nothing."""
     flag = F.lower("l_returnflag")
     bucket = F.when(flag == "a", "DEM").when(flag == "r", "REP")
-    amounts = table(spark, d, "lineitem").groupBy("l_suppkey", bucket.alias("bucket")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"))
-    of = lambda b: F.sum(F.when(F.col("bucket").eqNullSafe(F.lit(b)), F.col("amount"))).cast("double")
-    return amounts.groupBy("l_suppkey").agg(of("DEM").alias("dem"), of("REP").alias("rep"), of(None).alias("none"), F.max_by("bucket", F.when(F.col("bucket").isNotNull(), F.col("amount"))).alias("leading"))
+    amount = F.col("l_extendedprice").cast("decimal(18,2)")
+    sums = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.sum(F.when(bucket.eqNullSafe(F.lit(b)), amount)).alias(n) for n, b in (("dem", "DEM"), ("rep", "REP"), ("none", None))])
+    leading = F.when(F.col("rep").isNull() & F.col("dem").isNull(), None).when(F.col("rep").isNull() | (F.col("dem") >= F.col("rep")), "DEM").otherwise("REP")
+    return sums.select("l_suppkey", *[F.col(c).cast("double").alias(c) for c in ("dem", "rep", "none")], leading.alias("leading"))
 
 
 @query("""SELECT event_id, CASE WHEN e < 2 THEN 4 WHEN e < 4 THEN 3 WHEN e < 8 THEN 2 WHEN e < 15 THEN 1 WHEN e < 30 THEN 0 ELSE -5 END AS recency

@@ -17,7 +17,7 @@ _EDIT = "CASE o_orderkey % 4 WHEN 0 THEN a WHEN 1 THEN concat(substring(a, 1, 2)
 
 
 @query(f"""WITH v AS (SELECT *, CAST(12345678 + o_orderkey * 37 AS VARCHAR) AS a FROM orders), w AS (SELECT *, {_EDIT} AS b, CAST(round(o_totalprice / 100) * 100 AS BIGINT) AS r FROM v)
-  SELECT o_orderkey, o_totalprice >= 10 * o_custkey AND o_custkey > 0 AS dominates, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN o_custkey * 1.0 END, o_totalprice / greatest(1, 1998 - (1990 + o_orderkey % 12))) AS yearly,
+  SELECT o_orderkey, o_totalprice >= 10 * o_custkey AND o_custkey > 0 AS dominates, coalesce(CASE WHEN o_orderkey % 5 = 0 AND o_custkey > 0 THEN o_custkey * 1.0 END, o_totalprice / greatest(1, 1998 - (1990 + o_orderkey % 12))) AS yearly,
     o_orderkey % 5 < 3 AS alike, CAST(length(rtrim(CAST(r AS VARCHAR), '0')) AS INT) AS digits, length(a) = length(b) AND damerau_levenshtein(a, b) = 1 AS edited,
     CASE WHEN o_orderkey % 3 = 0 THEN 50.0 ELSE least(100.0, o_totalprice / 1000) END AS curation, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey * 2.5 + o_custkey * 10.0) / 1e6 END AS cost FROM w""")
 def number_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ _SERVER = "o_orderdate + CASE o_orderkey % 3 WHEN 0 THEN INTERVAL '299' SECOND W
   b AS (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN two > 30 THEN 1900 + two WHEN 2000 + two > 1998 - 18 THEN 1900 + two ELSE 2000 + two END WHEN 1 THEN 1956 WHEN 3 THEN 1903 END AS y FROM v)
   SELECT o_orderkey, CASE WHEN length(stamp) >= 8 THEN concat(stamp[1:4], '-', stamp[5:6], '-', stamp[7:8]) ELSE '' END AS day, strftime(o_orderdate, 'as of %b %Y') AS month,
     CASE WHEN o_orderkey % 3 = 1 THEN {_SERVER} ELSE o_orderdate END AS trusted, CAST(CASE WHEN y > 1998 - 18 THEN y - 100 ELSE y END AS INT) AS born,
-    CAST(CASE WHEN o_orderkey % 4 >= 2 THEN year(o_orderdate) END AS INT) AS precise, coalesce(CASE WHEN o_orderkey % 6 > 0 THEN 1950 + o_orderkey % 40 END BETWEEN 1850 AND 1998 AND 1980 < CASE WHEN o_orderkey % 6 > 0 THEN 1950 + o_orderkey % 40 END + 18, false) AS impossible,
+    CAST(CASE WHEN o_orderkey % 4 >= 2 THEN year(o_orderdate) END AS INT) AS precise, coalesce(CASE WHEN o_orderkey % 6 > 0 THEN 1950 + o_orderkey % 40 END BETWEEN 1850 AND 1980 AND 1980 < CASE WHEN o_orderkey % 6 > 0 THEN 1950 + o_orderkey % 40 END + 18, false) AS impossible,
     o_orderkey % 7 = 0 OR o_orderdate >= TIMESTAMP '1998-06-01 00:00:00' - to_days(400) AS recent FROM b""")
 def date_functions(spark: SparkSession, d: str) -> DataFrame:
     rows, k = table(spark, d, "orders"), F.col(_K)
@@ -122,7 +122,7 @@ def record_functions(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(k % 3 == 2, "person").when(k % 3 == 1, "blind").otherwise("none")
     shown = F.concat("c_name", F.when(k % 3 > 0, F.concat(F.lit("  (T"), F.chr(65 + k % 26), F.lit(")"))).otherwise(""))
     status = F.when(k % 5 == 2, 404).when(k % 5 == 3, 500).otherwise(200)
-    body = F.when(k % 5 == 0, '{"items": [1]}').when(k % 5 == 1, '{"items": []}').otherwise("<html>")
+    body = F.when(k % 5 == 0, '{"total_results": 1, "items": [1]}').when(k % 5 < 3, '{"total_results": 0, "items": []}').otherwise("<html>")
     segment = {"building": "Houses", "Automobile": "Cars"}
     return table(spark, d, "customer").select(
         "c_custkey",

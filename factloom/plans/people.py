@@ -153,17 +153,15 @@ def person_lookup(spark: SparkSession, d: str) -> DataFrame:
     return resolve.exact_then_initial(wanted, people)
 
 
-@query("""WITH n AS (SELECT c_custkey AS id, lpad(CAST(c_custkey % 500 AS VARCHAR), 3, '0') AS last, CASE WHEN c_custkey < 500 THEN 'alexander' WHEN c_custkey < 1000 THEN 'alex' ELSE 'albert' END AS first, CAST(1950 + c_custkey % 2 AS INT) AS born FROM customer),
+@query("""WITH n AS (SELECT c_custkey AS id, translate(lpad(CAST(c_custkey % 500 AS VARCHAR), 3, '0'), '0123456789', 'abcdefghij') AS last, CASE WHEN c_custkey < 500 THEN 'alexander' WHEN c_custkey < 1000 THEN 'alex' ELSE 'albert' END AS first, CAST(1950 + c_custkey // 100 % 5 * 3 AS INT) AS born FROM customer),
   r AS (SELECT min(id) AS id, last, first, born FROM n GROUP BY last, first, born)
-  SELECT a.id AS a, b.id AS b, CASE WHEN abs(a.born - b.born) > 1 THEN 'apart' WHEN a.first = b.first THEN 'merge'
-         WHEN (starts_with(a.first, b.first) OR starts_with(b.first, a.first)) AND a.born = b.born THEN 'merge'
-         WHEN starts_with(a.first, b.first) OR starts_with(b.first, a.first) THEN 'review' ELSE 'apart' END AS verdict
-  FROM r a JOIN r b ON a.last = b.last AND a.id < b.id""")
+  SELECT a.id AS a, b.id AS b, CASE WHEN abs(a.born - b.born) >= 8 THEN 'review' WHEN a.first = b.first OR a.born = b.born THEN 'merge' ELSE 'review' END AS verdict
+  FROM r a JOIN r b ON a.last = b.last AND a.id < b.id AND (starts_with(a.first, b.first) OR starts_with(b.first, a.first))""")
 def name_match(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one surname: merge, review or apart."""
+    """Pairs of one surname whose first names may be one: merge, or review where years are far apart or don't bear out a short form."""
     first = F.when(F.col("c_custkey") < 500, "alexander").when(F.col("c_custkey") < 1000, "alex").otherwise("albert")
-    last = F.lpad((F.col("c_custkey") % 500).cast("string"), 3, "0")
-    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", first, last).alias("name"), (1950 + F.col("c_custkey") % 2).cast("int").alias("born"))
+    last = F.translate(F.lpad((F.col("c_custkey") % 500).cast("string"), 3, "0"), "0123456789", "abcdefghij")
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", first, last).alias("name"), (1950 + F.floor(F.col("c_custkey") / 100) % 5 * 3).cast("int").alias("born"))
     return resolve.candidate_pairs(people)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import money, notes, predicates
-from factloom.operators import shaping
-from factloom.plans.base import query, table
+from factloom.operators import ranking, shaping
+from factloom.plans.base import checkpoint_folder, query, table
 
 _NOW = "TIMESTAMP '1998-06-01 00:00:00'"
 
@@ -166,7 +166,7 @@ def first_of_source(spark: SparkSession, d: str) -> DataFrame:
     """The first page of every host, whatever its case."""
     host = F.nullif(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))
     rows = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.upper(host)).otherwise(host).alias("source"))
-    return shaping.first_per_source(rows, "source", [F.asc("page_id")]).select("page_id")
+    return shaping.first_per_source(rows, "source", ["page_id"]).select("page_id")
 
 
 @query("""SELECT count(*) AS "left", min(o_orderdate) AS oldest FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
@@ -196,15 +196,17 @@ def broken_entries(spark: SparkSession, d: str) -> DataFrame:
     row_number() OVER (ORDER BY insider DESC, c_nationkey < 5 DESC, c_acctbal DESC, c_custkey) AS by_flags FROM s JOIN (SELECT c_custkey, c_nationkey, c_acctbal FROM customer) USING (c_custkey)""")
 def ordered_people(spark: SparkSession, d: str) -> DataFrame:
     """Places in three orders: score then name, longest untried first, and flags before counts."""
-    from pyspark.sql import Window
-
+    checkpoint_folder(spark)
     c = table(spark, d, "customer").withColumns({"score": F.when(F.col("c_custkey") % 4 > 0, F.floor(F.col("c_acctbal") / 1000)), "tried": F.when(F.col("c_custkey") % 6 > 0, F.col("c_nationkey"))})
     orders = {
         "by_score": shaping.by_name(F.col("score"), F.col("c_name")),
         "by_rotation": [*shaping.by_chain(F.col("tried"), (F.col("score"), "desc")), F.asc("c_custkey")],
         "by_flags": [*shaping.by_chain((F.col("c_mktsegment") == "BUILDING", "desc"), (F.col("c_nationkey") < 5, "desc"), (F.col("c_acctbal"), "desc")), F.asc("c_custkey")],
     }
-    return c.select("c_custkey", *[F.row_number().over(Window.orderBy(*keys)).cast("long").alias(name) for name, keys in orders.items()])
+    out = c
+    for name, keys in orders.items():
+        out = ranking.placed(out, keys, name)
+    return out.select("c_custkey", *orders)
 
 
 @query("""WITH s AS (SELECT o_custkey AS person, CAST(o_orderdate AS DATE) AS day, o_totalprice AS score, o_orderkey % 2 = 0 AS again FROM orders),
@@ -217,14 +219,17 @@ def daily_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return shaping.snapshot(first, second, "person", "day")
 
 
-@query("""WITH pool AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders)),
-  r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('2026-09-12|' || CAST(c_custkey AS VARCHAR)), c_custkey) AS place FROM pool)
-  SELECT c_custkey, c_name, CAST(place AS INT) AS place FROM r JOIN customer USING (c_custkey) WHERE place <= 10""")
+@query("""WITH RECURSIVE pool AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders)), size AS (SELECT count(*) AS n FROM pool),
+  g(t, s) AS (SELECT 0::BIGINT, 181415291::BIGINT UNION ALL SELECT t + 1, (s * 1664525 + 1013904223) % 2147483648 FROM g, size WHERE t < n - 1),
+  swaps AS (SELECT n - t AS i, least(n - t, CAST(floor(s / 2147483647.0 * (n - t + 1)) AS BIGINT)) AS j FROM g, size WHERE t > 0),
+  back(step, place, p) AS (SELECT 0::BIGINT, place, place FROM range(10) r(place) UNION ALL SELECT step + 1, place, CASE WHEN p = i THEN j WHEN p = j THEN i ELSE p END FROM back JOIN swaps ON i = step + 1)
+  SELECT c_custkey, c_name, CAST(place + 1 AS INT) AS place FROM back JOIN size ON step = n - 1 JOIN pool ON pool.i = p JOIN customer USING (c_custkey)""")
 def daily_ten(spark: SparkSession, d: str) -> DataFrame:
-    """Ten people of the day: scored ones with records, in the day's order, names joined last."""
+    """Ten people of the day: scored ones with records, in the day's own order, names joined last."""
+    checkpoint_folder(spark)
     pool = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey")
     pool = pool.join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
-    return shaping.daily_pick(pool, "c_custkey", "2026-09-12").join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", "c_name", "place")
+    return ranking.daily_pick(pool, "c_custkey", "2026-09-12").join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", "c_name", "place")
 
 
 _SAID = "SELECT o_orderkey AS headline, o_custkey AS person, concat('Nation, ', CAST(o_custkey % 25 AS VARCHAR(9)), ' meets nation ', CAST(o_orderkey % 40 AS VARCHAR(9)), '!') AS title FROM orders"

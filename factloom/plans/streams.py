@@ -21,6 +21,16 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return events.settled(out, ["user_id", "minute"], ["n"]).select("user_id", F.col("minute").cast("timestamp_ntz").alias("minute"), "n")
 
 
+@query("""SELECT c.event_id, max(r.ts) AS refused_at, count(*) AS refusals FROM events c JOIN events r ON r.user_id = c.user_id AND r.event_type = 'error' AND r.ts <= c.ts AND r.ts > c.ts - INTERVAL 14 DAY
+  WHERE c.event_type = 'purchase' AND c.event_id % 5 = 0 GROUP BY c.event_id""")
+def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases, every fifth, that errors of the same user within 14 days before them cool down; purchases and errors are two streams."""
+    candidates = _stream(spark, d).where("event_type = 'purchase' AND event_id % 5 = 0").select("event_id", "user_id", "ts")
+    refusals = _stream(spark, d).where("event_type = 'error'").select("user_id", F.col("ts").alias("refused_at"))
+    out = events.drain(events.met_refusals(candidates, refusals, "user_id", "ts", "refused_at"), checkpoint_folder(spark))
+    return out.groupBy("event_id").agg(F.max("refused_at").cast("timestamp_ntz").alias("refused_at"), F.count(F.lit(1)).alias("refusals"))
+
+
 @query("SELECT user_id, event_type, max(ts) AS cast_at, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def stream_votes(spark: SparkSession, d: str) -> DataFrame:
     """Votes by (user, kind) with per-key state: the last accepted stamp, and how many arrived."""

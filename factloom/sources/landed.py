@@ -30,11 +30,29 @@ def rest_results(spark: SparkSession, path: str, field: str, item: str) -> DataF
     return rows.select(F.explode(field).alias("item")).select("item.*")
 
 
-def classify_response(status: Column, body: Column, field: str) -> Column:
-    """answer, empty, or failed; only a well-formed 200 (or a 404 that says there is nothing) counts as an answer."""
-    items = F.try_variant_get(F.try_parse_json(body), f"$.{field}", "array<variant>")
-    n = F.size(items)
-    return F.when((status == 200) & (n > 0), "answer").when((status == 200) & (n == 0), "empty").when(status == 404, "empty").otherwise("failed")
+def _whole(json: Column, path: str) -> Column:
+    """A whole number inside JSON that is written as one; null for anything else, numbers in quotes included."""
+    kind = F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+    value = F.try_variant_get(json, path, "double")
+    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (value == F.floor(value)), value)
+
+
+def classify_response(status: Column, body: Column, field: str, total: str = "total_results") -> Column:
+    """answer, empty, or failed. Only a search answer counts: an object with a whole number of results and a list of them, and without an
+    error, whatever the status says. It is empty if the list is and the number too, by a 200 or a 404; a list comes by a 200 only."""
+    json = F.try_parse_json(body)
+    n, said = F.size(F.try_variant_get(json, f"$.{field}", "array<variant>")), _whole(json, f"$.{total}")
+    shaped = F.try_variant_get(json, "$.error", "variant").isNull() & said.isNotNull() & (n >= 0) & status.isin(200, 404)
+    told = F.when((n == 0) & (said == 0), "empty").when((n > 0) & (status == 200), "answer").otherwise("failed")
+    return F.when(F.coalesce(shaped, F.lit(False)), told).otherwise("failed")
+
+
+def classify_filings(status: Column, body: Column, field: str = "filings_with_data", year: str = "tax_prd_yr") -> Column:
+    """answer or failed: a list of filings by a 200, without an error, each with a whole year. An empty list is an answer; a missing one is not."""
+    json = F.try_parse_json(body)
+    filings = F.try_variant_get(json, f"$.{field}", "array<variant>")
+    good = F.forall(filings, lambda f: _whole(f, f"$.{year}").isNotNull())
+    return F.when(F.coalesce((status == 200) & F.try_variant_get(json, "$.error", "variant").isNull() & good, F.lit(False)), "answer").otherwise("failed")
 
 
 def zipped(arrays: Sequence[str]) -> Column:
@@ -56,6 +74,23 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return rows.groupBy(id_col, "href").agg(F.min(F.struct("pos", "label")).alias("first")).select(id_col, F.col("first.pos").alias("pos"), "href", F.col("first.label").alias("label"))
 
 
+def paged(pages: DataFrame, source: str, number: str, items: str, key: str, most: int = 40) -> DataFrame:
+    """(source, number, pos, and the fields of the items): a source's pages read in order, as far as its first page without items or the
+    first that isn't there, ``most`` at the furthest, and of items with one ``key`` the first. ``items`` is an array of structs, null for a page that failed.
+
+    Pages are read all at once; where a source ends comes from one count a page, so that no task goes through a source page by page."""
+    rows = pages.select(F.col(source).alias("_source"), F.col(number).cast("long").alias("_number"), F.col(items).alias("_items")).where(F.col("_number").between(1, most))
+    full = rows.groupBy("_source", "_number").agg(F.max(F.coalesce(F.size("_items"), F.lit(0))).alias("_n")).where("_n > 0")
+    # Full pages 1, 2, 3 ... have as many full pages up to them as their number says; behind a gap there are fewer.
+    seen = full.groupBy("_source").agg(F.array_sort(F.collect_set("_number")).alias("_seen"))
+    ends = seen.select("_source", F.aggregate("_seen", F.lit(0).cast("long"), lambda end, x: F.when(x == end + 1, x).otherwise(end)).alias("_end"))
+    ends = ends.withColumnRenamed("_source", "_of")
+    read = rows.join(ends, F.col("_source").eqNullSafe(F.col("_of"))).where("_number <= _end")
+    each = read.select("_source", "_number", F.posexplode("_items").alias("_pos", "_item"))
+    first = each.groupBy("_source", F.col(f"_item.{key}").alias("_key")).agg(F.min(F.struct("_number", "_pos", "_item")).alias("_first"))
+    return first.select(F.col("_source").alias(source), F.col("_first._number").cast("int").alias(number), F.col("_first._pos").alias("pos"), "_first._item.*")
+
+
 def head(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, lang, title) from the head of a page; null where missing."""
     lang = F.nullif(F.regexp_extract(html_col, r'(?i)<html[^>]*\slang="([^"]*)"', 1), F.lit(""))

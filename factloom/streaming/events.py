@@ -26,15 +26,15 @@ def last_writer_wins(stream: DataFrame, user: str, target: str, direction: str,
             state.remove()
             return
         seen = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(stamp, kind="stable")
-        micros = rows[stamp].astype("datetime64[us]").astype("int64")
-        outcome = ["superseded" if seen is not None and m < seen else "accepted" for m in micros]
-        top = int(micros.max())
-        newest = top if seen is None else max(seen, top)
+        newest = seen
+        for rows in batches:  # a key with very many votes is never held whole
+            micros = rows[stamp].astype("datetime64[us]").astype("int64")
+            outcome = ["superseded" if seen is not None and m < seen else "accepted" for m in micros]
+            newest = max([newest] * (newest is not None) + [int(micros.max())])
+            yield pd.DataFrame({user: key[0], target: key[1], direction: rows[direction].to_numpy(), stamp: rows[stamp].to_numpy(), "outcome": outcome})
         state.update((newest,))
         # The watermark lags behind the newest vote of all by the horizon.
         state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({user: key[0], target: key[1], direction: rows[direction].to_numpy(), stamp: rows[stamp].to_numpy(), "outcome": outcome})
 
     slim = stream.select(user, target, direction, F.col(stamp).cast("timestamp").alias(stamp)).withWatermark(stamp, horizon)
     return slim.groupBy(user, target).applyInPandasWithState(step, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -60,6 +60,16 @@ def cooled(stream: DataFrame, refusals: DataFrame, key: str, ts: str, days: int
     return joined.where(~blocked).drop("_refused")
 
 
+def met_refusals(candidates: DataFrame, refusals: DataFrame, key: str, ts: str, refused_at: str, days: int = 14, late: str = "1 hour") -> DataFrame:
+    """Candidates with each refusal of their key in the days before them, both of them streams. The bounds on both times and the two watermarks
+    bound the state: a refusal is kept for the days, a candidate until no earlier refusal can come."""
+    c = candidates.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).alias("c")
+    r = refusals.select(F.col(key).alias("_key"), F.col(refused_at).cast("timestamp").alias(refused_at)).withWatermark(refused_at, late).alias("r")
+    at, before = F.col(f"c.{ts}"), F.col(f"r.{refused_at}")
+    near = (before <= at) & (before > at - F.make_dt_interval(F.lit(days)))
+    return c.join(r, (F.col(f"c.{key}") == F.col("r._key")) & near).drop("_key")
+
+
 def recompute(stream: DataFrame, key: str, make: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """A writer that, for the distinct keys of every batch, makes their rows anew and saves them. ``save`` gets the
     batch number, so that a batch that is run again replaces itself."""

@@ -221,7 +221,11 @@ def test_scores_are_restated(said, now):
     assert restated(said, 46.6) == now and restated(now, 46.6) == now
 
 
-def test_inside_names_are_withheld():
-    from factloom.functions.prose import names_score_inside
+def test_inside_names_are_withheld(one):
+    from factloom.functions.prose import names_score_inside, withhold_any_score
 
-    assert names_score_inside("a PBS  score") and names_score_inside("public benefit score") and not names_score_inside("PBS scored it") and not names_score_inside(None)
+    def named(text):
+        return one(names_score_inside(F.lit(text).cast("string")))
+
+    assert named("a PBS  score") and named("public benefit score") and not named("PBS scored it") and not named(None)
+    assert one(withhold_any_score(F.lit("an F giving grade"))) == "" and one(withhold_any_score(F.lit("PBS aired it"))) == "PBS aired it"
