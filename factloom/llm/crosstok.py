@@ -22,11 +22,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +51,8 @@ SENT = 1_000_000
 ROWS, HELD = 128, 1 << 20
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+#: What moves of a piece that not all tasks know, besides its text; the other numbers follow from the spelling.
+OWN = ["groups", "n_a", "n_best", "count_sum"]
 MARK = "\u2581"
 
 
@@ -89,7 +94,7 @@ class Tokenizers:
 
     def encode(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
         """Ids and byte lengths by either tokenizer of each piece; None where the bytes aren't given back."""
-        ones = self.a.encode_batch(pieces, add_special_tokens=False)
+        ones = self.a.encode_batch_fast(pieces, add_special_tokens=False)
         # The second puts a space of its own first: it stands for the piece's, or, before a line feed, is taken off again.
         others = self.b.encode([x[1:] if x.startswith(" ") else x for x in pieces], num_threads=1)
         for piece, one, other in zip(pieces, ones, others, strict=True):
@@ -236,41 +241,71 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str =
     common = cut(told.where(brief).orderBy(F.desc("n"), "piece").limit(frequent), "frequent-pieces", keep=True, free=True)
     known = common.select("piece", *NUMBERS, "groups").toPandas()
     shared = spark.sparkContext.broadcast((dict(zip(known["piece"], range(len(known)), strict=True)), known[NUMBERS].fillna(0).to_numpy(np.int64), [*known["groups"]]))
+    del known
     last = common.agg(F.max(F.struct((-F.col("n")).alias("down"), "piece")).alias("last")).first()["last"]
     sent = brief & ((F.col("n") > -last["down"]) | ((F.col("n") == -last["down"]) & (F.col("piece") <= last["piece"]))) if last else F.lit(False)
     rest = told.where(~sent).drop("n")
     asked = _having(full, cuts, shared, False)
     # Equal texts ask for the same pieces: the set of what they get is the same as one text's.
-    own = asked.join(rest, "piece").groupBy("key").agg(F.collect_set(F.struct("piece", *NUMBERS, "groups")).alias("own"))
-    rows = texts.withColumn("key", F.when(F.col("text") != "", key)).join(own, "key", "left").select("id", "text", "own")
-    return _put_together(rows, shared, cuts, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("id", id_col), pairs
+    own = asked.join(rest, "piece").groupBy("key").agg(F.collect_set(F.struct("piece", *OWN)).alias("own"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = _packed(texts.select("id", F.when(F.col("text") != "", key).alias("key"), "text"), id_type).join(own, "key", "left").select("id", "packed", "own")
+    return _put_together(rows, shared, cuts, id_type).withColumnRenamed("id", id_col), pairs
+
+
+def _packed(texts: DataFrame, id_type: str) -> DataFrame:
+    """(id, key, packed): texts compressed one by one, as they move on to where their pieces are; null for none."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                packed = [zlib.compress(x.encode(), 1) if x else None for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["id", "key", "packed"])
+
+    return texts.mapInArrow(pack, f"id {id_type}, key long, packed binary")
 
 
 def _put_together(rows: DataFrame, shared: Broadcast, cuts: bool, id_type: str) -> DataFrame:
-    """Documents (id, text, own) from the pieces that all know and those of their own."""
+    """Documents (id, packed, own) from the pieces that all know and those of their own."""
     schema = f"id {id_type}, {', '.join(f'{c} long' for c in NUMBERS)}, groups string"
     shape = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, numbers, spelled = shared.value
+        # The last place stands for pieces that not all know.
+        numbers, spelled = np.vstack([numbers, np.zeros((1, len(NUMBERS)), np.int64)]), [*spelled, None]
 
-        def one(text: str | None, own: list[dict] | None) -> tuple[list[int], str]:
+        def one(packed: bytes | None, held: dict[str, int], groups: list[str | None], counts: np.ndarray) -> tuple[list[int], str]:
+            text = zlib.decompress(packed).decode() if packed else ""
             pieces = (pieces_of(text) if cuts else [" " + text]) if text else []
-            held = {x["piece"]: x for x in own or ()}
-            found = [places.get(x, -1) for x in pieces]
-            words = [spelled[i] if i >= 0 else held[x]["groups"] for x, i in zip(pieces, found, strict=True)]
+            place = np.fromiter(map(places.get, pieces, repeat(-1)), np.int64, len(pieces))
+            words, total = [*map(spelled.__getitem__, place.tolist())], numbers[place].sum(0)
+            own = [held[pieces[i]] for i in np.flatnonzero(place < 0).tolist()]
+            for i, at in zip(np.flatnonzero(place < 0).tolist(), own, strict=True):
+                words[i] = groups[at]
             if not words or None in words:
                 return [0] * len(NUMBERS), ""
-            place = np.array(found)
-            total = numbers[place[place >= 0]].sum(0)
-            if held:
-                total = total + np.array([[held[x][c] for c in NUMBERS] for x, i in zip(pieces, found, strict=True) if i < 0]).sum(0)
+            if own:
+                # Every group ends with one link; tokens are as many as commas and the two first ones of each group.
+                n = np.array([groups[at].count(";") + 1 for at in own])
+                tokens = np.array([groups[at].count(",") for at in own]) + 2 * n
+                mine = counts[own]
+                total = total + np.array([mine[:, 0].sum(), (tokens - mine[:, 0]).sum(), n.sum(), n.sum(), mine[:, 1].sum(), mine[:, 2].sum()])
             return total.tolist(), ";".join(words)
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                told = [one(*x) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                lists = part.column(2)
+                own = lists.flatten()  # what all documents of the part have of their own, in their order
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                names, groups = own.field("piece").to_pylist(), own.field("groups").to_pylist()
+                counts = np.stack([pc.fill_null(own.field(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in OWN[1:]], 1)
+                told, start = [], 0
+                for packed, end in zip(part.column(1).to_pylist(), ends.tolist(), strict=True):
+                    told.append(one(packed, dict(zip(names[start:end], range(start, end), strict=True)), groups, counts))
+                    start = end
                 columns = [pa.array(x, pa.int64()) for x in zip(*(n for n, _ in told), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([g for _, g in told], pa.string())], schema=shape)
 
