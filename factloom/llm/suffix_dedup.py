@@ -575,7 +575,8 @@ def repeated_spans(
         order = docs.select(F.col(id_col).alias("name")).where("name IS NOT NULL").distinct().sort("name")
         order = cut(order.select("name", F.monotonically_increasing_id().alias("number")), "id-order")
         rows = rows.join(order, F.col("id") == F.col("name"), "left").select(F.col("number").alias("id"), "text")
-    gid = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n_groups))
+    # Nothing needs the rows of one id together: an id that very many rows have is dealt out by its texts.
+    gid = F.pmod(F.xxhash64("id", "text"), F.lit(n_groups))
     tasks = [min(TASKS, -(-n // few)) for n, few in ((n_groups, 2), (n_buckets, 2), (n_shards, 16))]
     # The same exchange serves all three uses below.
     dealt = rows.withColumn("gid", gid).repartition(tasks[0], "gid")
