@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions import fixed
+
 _NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
 #: What an amount in text counts for, by the least amount of each tier.
 TIERS = ((100e6, 3), (10e6, 2), (1e6, 1))
@@ -26,6 +28,13 @@ def parse_usd(text: Column) -> Column:
     return number * _scale(F.regexp_extract(close, shape, 2))
 
 
+def parse_listed_usd(text: Column) -> Column:
+    """Dollars of a list's figure, which has neither commas nor spaces inside its number: of ``$1,000`` only the 1 is read. T, B and M count."""
+    shape = r"(?i)\$?([0-9.]+)\s*([tbm])?"
+    number = F.regexp_extract(F.regexp_extract(text, shape, 1), r"^(\d*\.?\d+|\d+)", 1).try_cast("double")
+    return number * _scale(F.regexp_extract(text, shape, 2))
+
+
 def parse_billions(text: Column) -> Column:
     """Billions of a text in B or M; trillions are not understood here, which goal matching relies on."""
     shape = rf"(?i)^\s*~?\s*\$?\s*{_NUMBER}\s*(b|m)\s*$"
@@ -104,3 +113,19 @@ def prose_amounts(text: Column) -> Column:
     plain = F.regexp_replace(F.translate(text, "\u00a0\u202f\u2009", "   "), r"(\d) (?=\d{3}\b)", "$1,")
     shapes = (r"\$\s?\d+(?:,\d{3})*(?:\.\d{1,2})?", r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?", r"\d+\.\d{2}\b")
     return F.transform(F.regexp_extract_all(plain, F.lit("|".join(shapes)), F.lit(0)), lambda x: F.regexp_replace(x, r"[$,\s]", "").try_cast("double"))
+
+
+def sample_note(count: Column, reported: Column) -> Column:
+    """What must be said of figures that cover only the newest contributions, as many as one answer holds; null for a whole record."""
+    total = F.when(reported.isNotNull(), F.format_string(fixed.SAMPLE_REPORTED, reported.cast("string"))).otherwise(fixed.SAMPLE_UNREPORTED)
+    return F.when(count >= fixed.SAMPLE_CAP, F.format_string(fixed.SAMPLE_NOTE, count.cast("string"), total))
+
+
+def sampled(count: Column, reported: Column, span: Column) -> Column:
+    """A record's count and span, under names that can't be read as the whole where the record is cut: struct of ``count``, ``span``,
+    ``in_sample``, ``span_of_sample``, ``reported`` and ``note``."""
+    cut = F.coalesce(count >= fixed.SAMPLE_CAP, F.lit(False))
+    return F.struct(
+        F.when(~cut, count).alias("count"), F.when(~cut, span).alias("span"), F.when(cut, count).alias("in_sample"), F.when(cut, F.nullif(span, F.lit(""))).alias("span_of_sample"),
+        F.when(cut, reported).alias("reported"), sample_note(count, reported).alias("note"),
+    )

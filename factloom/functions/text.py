@@ -148,3 +148,25 @@ def speaks_of_itself(text: Column, patterns: Mapping[str, str]) -> Column:
         lambda s: F.struct(s.alias("sentence"), F.filter(F.array(*[F.when(s.rlike(p), label) for label, p in patterns.items()]), lambda x: x.isNotNull()).alias("labels")),
     )
     return F.filter(told, lambda x: F.size(x["labels"]) > 0)
+
+
+def commentary_labels(headline: Column, summary: Column) -> Column:
+    """What a card's commentary on its own making is called, each label once, in the order of the list."""
+    both = F.concat_ws("\n", F.coalesce(headline, F.lit("")), F.coalesce(summary, F.lit("")))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(both.rlike(f"(?i){p}"), label) for p, label in fixed.COMMENTARY])))
+
+
+def _commented(sentence: Column, write_time: bool = False) -> Column:
+    found = [p for p, _ in fixed.COMMENTARY] + [p for p, _, early in fixed.PROFILE_COMMENTARY if early or not write_time]
+    return sentence.rlike("(?i)" + "|".join(found))
+
+
+def has_commentary(text: Column, write_time: bool = False) -> Column:
+    """Whether a sentence speaks of its own making; at ``write_time`` by the phrases that no honest sentence has."""
+    return F.coalesce(F.exists(sentences(text), lambda s: _commented(s, write_time)), F.lit(False))
+
+
+def without_commentary(text: Column) -> Column:
+    """A text less such sentences, white space squeezed; null if nothing is left."""
+    kept = F.array_join(F.filter(sentences(text), lambda s: ~_commented(s)), " ")
+    return F.nullif(F.trim(F.regexp_replace(kept, r"\s+", " ")), F.lit(""))

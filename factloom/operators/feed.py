@@ -19,6 +19,13 @@ from factloom.operators.similarity import best_match, jaccard_join
 #: Jaccard from which two titles tell of one event: within a run, against what is published; and where doubt begins.
 SAME_RUN, PUBLISHED, DOUBT = 0.5, 0.4, 0.2
 PER_PERSON, PICKED = 2, 20
+#: Cards of one run or feed at most: a run is gone through in one task.
+RUN = 100_000
+
+
+def _bounded(cards: int) -> None:
+    if cards > RUN:
+        raise ValueError(f"{cards} cards in one run are more than the {RUN} that one task goes through")
 
 
 def near_published(candidates: DataFrame, published: DataFrame) -> DataFrame:
@@ -34,13 +41,14 @@ def near_published(candidates: DataFrame, published: DataFrame) -> DataFrame:
 def select_candidates(candidates: DataFrame, published: DataFrame, run: str = "run") -> DataFrame:
     """Candidates (run, key, rank, person, title) that go on, with ``place``, and ``near`` and ``score`` where a
     published title leaves doubt. In order of rank: at most two a person, none like an accepted one, none like a
-    published one, twenty in all."""
+    published one, twenty in all. A run of more than ``RUN`` cards is refused."""
     near = near_published(candidates, published)
     fresh = candidates.join(near, "key", "left").where(F.coalesce("score", F.lit(0.0)) < PUBLISHED)
     fresh = fresh.withColumn("tokens", event_signature(F.col("title")))
     kinds = dict(candidates.dtypes)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
+        _bounded(len(group))
         counts: dict[object, int] = {}
         kept: list[tuple[object, set]] = []
         for key, person, tokens in group.sort_values(["rank", "key"])[["key", "person", "tokens"]].itertuples(index=False):
@@ -59,10 +67,11 @@ def select_candidates(candidates: DataFrame, published: DataFrame, run: str = "r
 
 def event_clusters(cards: DataFrame, feed: str = "feed") -> DataFrame:
     """(feed, key, cluster): cards (feed, key, rank, title, url) taken by rank join the cluster of an earlier card of
-    the same URL, else the first whose founder's title is like theirs, else found one. The cluster is its founder."""
+    the same URL, else the first whose founder's title is like theirs, else found one. The cluster is its founder. A feed of more than ``RUN`` cards is refused."""
     kinds = dict(cards.dtypes)
 
     def group_up(group: pd.DataFrame) -> pd.DataFrame:
+        _bounded(len(group))
         founders: list[tuple[object, set]] = []
         by_url: dict[str, int] = {}
         out = []

@@ -19,8 +19,11 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
 
 def at_maximum(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """All rows whose ``order`` equals the greatest of their key, ties included."""
-    top = F.max(order).over(Window.partitionBy(*keys))
-    return df.withColumn("_top", top).where(F.col(order) == F.col("_top")).drop("_top")
+    top = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(order).alias("_top"))
+    meet = F.col(order) == F.col("_top")
+    for k in keys:
+        meet = meet & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(top, meet).select(*df.columns)
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], exempt: Column | None = None) -> DataFrame:

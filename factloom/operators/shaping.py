@@ -11,7 +11,7 @@ from factloom.functions import fixed, lists
 
 
 def nested_json(parents: DataFrame, children: DataFrame, key: str, columns: Sequence[str], name: str = "facts") -> DataFrame:
-    """Parents with their children as a JSON array, sorted; ``[]`` for those without."""
+    """Parents with their children as a JSON array, sorted; ``[]`` for those without. A parent's children are one value, so they must fit one."""
     told = children.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias(name))
     return parents.join(told, key, "left").withColumn(name, F.coalesce(name, F.lit("[]")))
 

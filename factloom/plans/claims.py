@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import dates, lists, money, numeric, political, prose
+from factloom.functions import dates, lists, money, numeric, political, prose, text
 from factloom.plans.base import query, table
 from factloom.sources import landed
 
@@ -157,3 +157,32 @@ def money_ladder(spark: SparkSession, d: str) -> DataFrame:
     """The first figure of a text, and sums below a thousand, which keep their cents."""
     rows = table(spark, d, "customer").withColumn("n", (F.col("c_custkey") % 900 + 1).cast("string"))
     return rows.select("c_custkey", money.parse_usd(F.expr(_WORTH)).alias("worth"), money.currency(F.expr(_CENTS).cast("double")).alias("small"))
+
+
+_COMMENT = """CASE p_partkey % 8 WHEN 0 THEN 'In the provided context he gave. He lives here.' WHEN 1 THEN 'He gave.  No news articles were available.' WHEN 2 THEN 'This profile argues much.' WHEN 3 THEN 'He gave. Based on the provided titles he left. She stayed.'
+  WHEN 4 THEN 'Meta said the provided data was safe.' WHEN 5 THEN 'He gave.' WHEN 6 THEN 'It is listed in the provided data. So it lands lower.' ELSE NULL END"""
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'cites its working material (provided context)' WHEN 2 THEN 'summariser voice about the source, not the subject' WHEN 6 THEN 'narrates its own ranking decision to the reader;cites its working material (in the provided data)' ELSE '' END AS labels,
+    p_partkey % 8 IN (0, 1, 2, 3, 4, 6) AS commented, p_partkey % 8 IN (0, 2, 3, 6) AS at_writing, CASE p_partkey % 8 WHEN 0 THEN 'He lives here.' WHEN 1 THEN 'He gave.' WHEN 3 THEN 'He gave. She stayed.' WHEN 5 THEN 'He gave.' END AS said FROM part""")
+def commentary(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that speak of their own making: what each is called, what is seen when it is written, and what is left of it."""
+    said = F.expr(_COMMENT)
+    return table(spark, d, "part").select(
+        "p_partkey", F.array_join(text.commentary_labels(F.lit(None).cast("string"), said), ";").alias("labels"), text.has_commentary(said).alias("commented"),
+        text.has_commentary(said, write_time=True).alias("at_writing"), text.without_commentary(said).alias("said"),
+    )
+
+
+@query("""WITH v AS (SELECT c_custkey, 95 + c_custkey % 10 AS n, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 10 END AS reported, CASE WHEN c_custkey % 4 > 0 THEN '2020-01-01 to 2021-01-01' ELSE '' END AS span FROM customer)
+  SELECT c_custkey, CASE WHEN n < 100 THEN n END AS count, CASE WHEN n < 100 THEN span END AS span, CASE WHEN n >= 100 THEN n END AS in_sample, CASE WHEN n >= 100 THEN nullif(span, '') END AS span_of_sample, CASE WHEN n >= 100 THEN reported END AS reported,
+    CASE WHEN n >= 100 THEN 'at least ' || n || CASE WHEN reported IS NULL THEN ' and the true total is unknown and higher' ELSE ' (the FEC reports ' || reported || ' in total)' END END AS says,
+    CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN (c_custkey + 0.5) * 1e9 WHEN 2 THEN c_custkey * 1e12 END AS listed FROM v""")
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and spans of records that are cut, under names that say so; and figures as a list writes them."""
+    k = F.col("c_custkey")
+    told = money.sampled(95 + k % 10, F.when(k % 3 > 0, k * 10), F.when(k % 4 > 0, "2020-01-01 to 2021-01-01").otherwise(""))
+    says = F.concat(F.lit("at least "), F.regexp_extract("x.note", r"AT LEAST (\d+) ", 1), F.regexp_extract("x.note", r"federal contributions(.*?)\. Every", 1))
+    listed = F.when(k % 4 == 0, "$1,000").when(k % 4 == 1, F.concat(F.lit("$"), k.cast("string"), F.lit(".5 B"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit("T"))).otherwise("none")
+    rows = table(spark, d, "customer").select("c_custkey", told.alias("x"), money.parse_listed_usd(listed).alias("listed"))
+    return rows.select("c_custkey", "x.count", "x.span", "x.in_sample", "x.span_of_sample", "x.reported", F.when(F.col("x.note").isNotNull(), says).alias("says"), "listed")
