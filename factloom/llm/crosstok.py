@@ -25,7 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +80,14 @@ class Tokenizers:
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(x): x for x in kept} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in kept)}
-        self.a_bytes = {i: bytes(byte.get(c, 0) for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        tokens = self.a.get_vocab(with_added_tokens=False)
+        # Ids of added tokens stand for no bytes: a text that has one is not given back.
+        self.a_bytes = [b""] * (self.a.get_vocab_size(with_added_tokens=True) + 1)
+        for token, i in tokens.items():
+            self.a_bytes[i] = bytes(byte.get(c, 0) for c in token)
         self.names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(self.names)]
-        if not (all(self.a_bytes.values()) and all(self.b_bytes)):
+        if not (all(self.a_bytes[i] for i in tokens.values()) and all(self.b_bytes)):
             raise ValueError("a token without bytes has no end of its own")
 
     def separable(self) -> bool:
@@ -92,19 +96,34 @@ class Tokenizers:
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not self.spec.get("normalizer")
         return bool(plain and not any("\n" in x or MARK in x.lstrip(MARK) for x in self.names))
 
-    def encode(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Ids and byte lengths by either tokenizer of each piece; None where the bytes aren't given back."""
-        ones = self.a.encode_batch_fast(pieces, add_special_tokens=False)
+    def encode(self, pieces: list[str]) -> list[pa.Array]:
+        """Ids and byte lengths by either tokenizer of each piece, as four arrays of lists; null where the bytes aren't given back."""
+        ones = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
         # The second puts a space of its own first: it stands for the piece's, or, before a line feed, is taken off again.
         others = self.b.encode([x[1:] if x.startswith(" ") else x for x in pieces], num_threads=1)
-        for piece, one, other in zip(pieces, ones, others, strict=True):
-            a, b, whole = one.ids, other, piece.encode()
+        for at, piece in enumerate(pieces):
             if not piece.startswith(" "):
-                if not b or self.names[b[0]] != MARK:
+                if not others[at] or self.names[others[at][0]] != MARK:
                     raise ValueError(f"the piece tokenizer doesn't put a space before {piece[:20]!r}")
-                b = b[1:]
-            of_a, of_b = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            yield (a, [*map(len, of_a)], b, [*map(len, of_b)]) if b"".join(of_a) == whole == b"".join(of_b) else None
+                others[at] = others[at][1:]
+        whole = [piece.encode() for piece in pieces]
+        sides = [(ids, of, *self._flat(ids, of)) for ids, of in ((ones, self.a_bytes), (others, self.b_bytes))]
+        bad = np.zeros(len(pieces), bool)
+        for ids, of, flat, offsets, lengths in sides:
+            total = np.diff(np.concatenate([[0], np.cumsum(lengths)])[offsets])
+            bad |= total != np.fromiter(map(len, whole), np.int64, len(whole))
+            # With all lengths right, the bytes of all pieces together are right only if each one's are.
+            if bad.any() or b"".join(map(of.__getitem__, flat.tolist())) != b"".join(whole):
+                bad |= np.array([b"".join(map(of.__getitem__, x)) != w for x, w in zip(ids, whole, strict=True)])
+        mask = pa.array(bad)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x), mask=mask) for _, _, flat, offsets, lengths in sides for x in (flat, lengths)]
+
+    @staticmethod
+    def _flat(ids: list[list[int]], of: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, where each piece's begin and end, and their lengths in bytes."""
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+        return flat, offsets, np.fromiter((len(of[i]) for i in flat.tolist()), np.int32, len(flat))
 
 
 def load(path: str, spark: SparkSession) -> bytes:
@@ -147,7 +166,8 @@ def _having(texts: DataFrame, cuts: bool, pieces: Broadcast, among: bool) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                own = [{x for x in set(pieces_of(t) if cuts else [" " + t]) if (x in known) == among} for t in part.column(1).to_pylist()]
+                found = [set(pieces_of(t) if cuts else [" " + t]) for t in part.column(1).to_pylist()]
+                own = [{p for p in x if p in known} if among else x.difference(known) for x in found]
                 rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array([x for xs in own for x in xs], pa.string())], ["key", "piece"])
 
@@ -164,9 +184,7 @@ def _encoded(counted: DataFrame, byte_level: str, model: bytes) -> DataFrame:
             own = own or Tokenizers(byte_level, model)
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                found = [x or (None,) * 4 for x in own.encode(part.column(0).to_pylist())]
-                columns = [pa.array(x, pa.list_(pa.int32())) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["piece", "n", "a", "al", "b", "bl"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own.encode(part.column(0).to_pylist())], ["piece", "n", "a", "al", "b", "bl"])
 
     return counted.select("piece", "n").mapInArrow(tokens, schema)
 
@@ -237,13 +255,15 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str =
         found, pairs = aligned(tokens)
         told = cut(tokens.select("no", "piece", "n").join(found, "no", "left").drop("no"), "pieces", keep=True, free=True)
 
+    # As many of the most frequent as there is room for: counts are counted, and no order is made over pieces.
     brief = (F.length("piece") <= LONGEST_PIECE) & (F.coalesce(F.length("groups"), F.lit(0)) <= LONGEST_SPELLING)
-    common = cut(told.where(brief).orderBy(F.desc("n"), "piece").limit(frequent), "frequent-pieces", keep=True, free=True)
+    counts = told.where(brief).groupBy("n").count().orderBy(F.desc("n")).limit(frequent).toPandas()
+    fits = counts["n"][counts["count"].cumsum() <= frequent]
+    sent = brief & (F.col("n") >= (int(fits.min()) if len(fits) else 1 << 62))
+    common = told.where(sent)
     known = common.select("piece", *NUMBERS, "groups").toPandas()
     shared = spark.sparkContext.broadcast((dict(zip(known["piece"], range(len(known)), strict=True)), known[NUMBERS].fillna(0).to_numpy(np.int64), [*known["groups"]]))
     del known
-    last = common.agg(F.max(F.struct((-F.col("n")).alias("down"), "piece")).alias("last")).first()["last"]
-    sent = brief & ((F.col("n") > -last["down"]) | ((F.col("n") == -last["down"]) & (F.col("piece") <= last["piece"]))) if last else F.lit(False)
     rest = told.where(~sent).drop("n")
     asked = _having(full, cuts, shared, False)
     # Equal texts ask for the same pieces: the set of what they get is the same as one text's.
