@@ -328,7 +328,10 @@ def test_landed_sources(spark, tmp_path, one):
     (tmp_path / "r.json").write_text('{"results": [{"name": "Quill Fund", "amount": 5.5}], "other": 1}')
     assert rows(landed.rest_results(spark, str(tmp_path / "r.json"), "results", "struct<name: string, amount: double>")) == [("Quill Fund", 5.5)]
     kind = landed.classify_response(F.col("s"), F.col("b"), "items")
-    cases = [(200, '{"items": [1]}', "answer"), (200, '{"items": []}', "empty"), (404, "", "empty"), (200, "oops", "failed"), (200, '{"items": 5}', "failed"), (500, '{"items": [1]}', "failed")]
+    cases = [
+        (200, '{"total_results": 1, "items": [1]}', "answer"), (200, '{"total_results": 0, "items": []}', "empty"), (404, '{"total_results": 0, "items": []}', "empty"), (404, "", "failed"), (200, "oops", "failed"),
+        (200, '{"items": 5}', "failed"), (200, '{"items": []}', "failed"), (200, '{"total_results": 3, "items": []}', "failed"), (500, '{"total_results": 1, "items": [1]}', "failed"),
+    ]
     assert [one(kind, s=s, b=b) for s, b, _ in cases] == [k for *_, k in cases]
     state = str(tmp_path / "runs")
     assert landed.run_count(spark, state) == 0
