@@ -62,18 +62,32 @@ def money_points(text: Column, gate: Column) -> Column:
     return out.otherwise(-3)
 
 
+def one_digit(x: Column) -> Column:
+    """A number with one digit after the point, by its exact binary value: 1.45 is below the half and gives 1.4, 0.25 is one and gives 0.3."""
+
+    def of(x: Column) -> Column:
+        a, b = x * 16, x * 4  # both exact; what their sum loses tells on which side of a half the number is
+        twenty = a + b
+        lost = (a - (twenty - (twenty - a))) + (b - (twenty - a))
+        below = (twenty == F.floor(twenty)) & (F.pmod(twenty, F.lit(2.0)) == 1) & (lost < 0)
+        return F.format_string("%.1f", F.when(below, x - 0.01).otherwise(x))
+
+    # An array of one, transformed, is a name for its element: the number is worked out once.
+    return F.when(x.isNotNull(), F.get(F.transform(F.array(x.cast("double")), of), 0))
+
+
 def currency(amount: Column) -> Column:
     """$1.2B, $3.4M, $5K; below a thousand in full, with what cents there are."""
     return (
-        F.when(amount >= 1e9, F.concat(F.lit("$"), F.format_string("%.1f", amount / 1e9), F.lit("B")))
-        .when(amount >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", amount / 1e6), F.lit("M")))
+        F.when(amount >= 1e9, F.concat(F.lit("$"), one_digit(amount / 1e9), F.lit("B")))
+        .when(amount >= 1e6, F.concat(F.lit("$"), one_digit(amount / 1e6), F.lit("M")))
         .when(amount >= 1e3, F.concat(F.lit("$"), F.format_string("%.0f", amount / 1e3), F.lit("K")))
         .when(amount.isNotNull(), F.concat(F.lit("$"), F.regexp_replace(F.format_string("%,.3f", amount.cast("double")), r"\.?0+$", "")))
     )
 
 
 def percent_label(percent: Column) -> Column:
-    return F.when(percent.isNull(), F.lit(None)).when(percent < 0.1, "<0.1%").otherwise(F.concat(F.format_string("%.1f", percent), F.lit("%")))
+    return F.when(percent.isNull(), F.lit(None)).when(percent < 0.1, "<0.1%").otherwise(F.concat(one_digit(percent), F.lit("%")))
 
 
 def exact_usd(amount: Column) -> Column:
@@ -86,7 +100,7 @@ def card_money(amount: Column) -> Column:
     """Coarser than ``currency``: whole millions and thousands, billions with one digit; empty for nothing, never "$0"."""
     small = F.when(amount == F.floor(amount), F.format_string("$%.0f", amount)).otherwise(F.format_string("$%.2f", amount))
     return (
-        F.when(amount >= 1e9, F.format_string("$%.1fB", amount / 1e9)).when(amount >= 1e6, F.format_string("$%.0fM", amount / 1e6))
+        F.when(amount >= 1e9, F.concat(F.lit("$"), one_digit(amount / 1e9), F.lit("B"))).when(amount >= 1e6, F.format_string("$%.0fM", amount / 1e6))
         .when(amount >= 1e3, F.format_string("$%.0fK", amount / 1e3)).when(amount > 0, small).otherwise("")
     )
 
@@ -94,7 +108,7 @@ def card_money(amount: Column) -> Column:
 def assets_chip(assets: Column) -> Column:
     """What a foundation holds, in words; null below a million, which would say nothing or a false zero."""
     return (
-        F.when(assets >= 1e9, F.format_string("$%.1fB in foundation assets", assets / 1e9)).when(assets >= 1e6, F.format_string("$%.0fM in foundation assets", assets / 1e6))
+        F.when(assets >= 1e9, F.concat(F.lit("$"), one_digit(assets / 1e9), F.lit("B in foundation assets"))).when(assets >= 1e6, F.format_string("$%.0fM in foundation assets", assets / 1e6))
     )
 
 
@@ -102,7 +116,7 @@ def compact_usd(amount: Column) -> Column:
     """At most one digit after the point, and none that is zero: $3.7B, $636M, $5K."""
     out = None
     for least, unit in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"), (0.0, "")):
-        said = F.concat(F.lit("$"), F.regexp_replace(F.format_string("%.1f", amount / max(least, 1.0)), r"\.0$", ""), F.lit(unit))
+        said = F.concat(F.lit("$"), F.regexp_replace(one_digit(amount / max(least, 1.0)), r"\.0$", ""), F.lit(unit))
         out = F.when(amount >= least, said) if out is None else out.when(amount >= least, said)
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed
 from factloom.functions.lists import party_code
-from factloom.functions.money import currency, prose_amounts
+from factloom.functions.money import currency, one_digit, prose_amounts
 
 #: Characters between a figure and the spending that it is taken to be, within a sentence.
 REACH = 120
@@ -60,7 +60,7 @@ def _styled(live: Column, figure: Column) -> Column:
     long = F.length(unit) > 1
 
     def large(scale: float, word: str, letter: str) -> Column:
-        number = F.regexp_replace(F.format_string("$%.1f", live / scale), r"\.0$", "")
+        number = F.concat(F.lit("$"), F.regexp_replace(one_digit(live / scale), r"\.0$", ""))
         return F.concat(number, F.when(long, F.concat(gap, F.lit(word))).when(unit == "", f" {word}").otherwise(letter))
 
     thousands = F.format_string("$%.0f", live / 1e3)

@@ -13,8 +13,10 @@ from factloom.plans.base import checkpoint_folder, query, table
 # Of a person by number: the record is impossible for every seventh, every third has no grade.
 _IMPOSSIBLE, _GRADED, _SCORE, _TOTAL = "c_custkey % 7 = 0", "c_custkey % 3 > 0", "CAST(c_custkey * 7 % 89 + 1 AS INT)", "(c_custkey * 1000 + 2000)"
 _LETTER = "CASE " + " ".join(f"WHEN {_SCORE} >= {least} THEN '{g}'" for g, least in GRADES) + " ELSE 'F' END"
-_CHIP = f"CASE WHEN {_TOTAL} >= 1000000 THEN '$' || printf('%.1f', {_TOTAL} / 1e6) || 'M' ELSE '$' || CAST({_TOTAL} // 1000 AS VARCHAR) || 'K' END"
-_LONG = f"CASE WHEN {_TOTAL} >= 1000000 THEN '$' || regexp_replace(printf('%.1f', {_TOTAL} / 1e6), '\\.0$', '') || ' million' ELSE '$' || CAST({_TOTAL} // 1000 AS VARCHAR) || ',000' END"
+# Exact halves go up; printf would send them to the even digit.
+_ROUND = f"({_TOTAL} + CASE WHEN {_TOTAL} % 500000 = 250000 THEN 1000 ELSE 0 END)"
+_CHIP = f"CASE WHEN {_TOTAL} >= 1000000 THEN '$' || printf('%.1f', {_ROUND} / 1e6) || 'M' ELSE '$' || CAST({_TOTAL} // 1000 AS VARCHAR) || 'K' END"
+_LONG = f"CASE WHEN {_TOTAL} >= 1000000 THEN '$' || regexp_replace(printf('%.1f', {_ROUND} / 1e6), '\\.0$', '') || ' million' ELSE '$' || CAST({_TOTAL} // 1000 AS VARCHAR) || ',000' END"
 _RECORDS = f"r AS (SELECT c_custkey AS person, {_IMPOSSIBLE} AS impossible, CASE WHEN {_GRADED} THEN {_SCORE} END AS score, CASE WHEN {_GRADED} THEN {_LETTER} END AS letter, {_TOTAL} AS total, {_CHIP} AS chip, {_LONG} AS long FROM customer)"
 _SUMMARY = """CASE o_orderkey % 7 WHEN 0 THEN 'Gave $1,000 in political donations. He lives here.' WHEN 1 THEN 'Her PBS score of 70 is high.' WHEN 2 THEN 'Has a giving score of 12.' WHEN 3 THEN 'Plain text.'
   WHEN 4 THEN 'They gave $1,000 in political donations.' WHEN 5 THEN 'Holds a giving grade C (50 of 100).' ELSE NULL END"""

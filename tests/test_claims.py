@@ -162,3 +162,12 @@ def test_leans(one):
 
 def test_small_sums_keep_their_cents(one):
     assert [one(money.currency(F.lit(x))) for x in (711.5900000000003, 12.5, 100.0, 0.0, 999.9996)] == ["$711.59", "$12.5", "$100", "$0", "$1,000"]
+
+
+def test_one_digit_is_by_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [i / 100 for i in range(0, 2000, 5)] + [0.25, 1.45, 8.345, 999.95, 1e9 + 0.05, 0.04999999999999999, 2.675, 1.0000000000000002, -0.35]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    got = [r[0] for r in df.orderBy("i").select(money.one_digit(F.col("x"))).collect()]
+    assert [g for g, x in zip(got, values, strict=True) if x >= 0] == [str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP)) for x in values if x >= 0]
