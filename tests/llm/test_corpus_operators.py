@@ -410,6 +410,18 @@ def test_url_query_agrees_with_sql(spark):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in queries.op1_url_filter(spark, SF).collect())
 
 
+def test_url_query_has_the_words_of_its_contract(spark, tmp_path):
+    """block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/; without a rule: allow."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://example.com/en/8": ("com/en/", "block"),
+        "http://b.net/de/8": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://x.example.net/de/80": ("example.net/de/8", "block"),
+        "http://c.org/es/1": ("org/es/", "block"), "http://c.org/en/1": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op1_url_filter(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
