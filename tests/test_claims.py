@@ -171,3 +171,11 @@ def test_one_digit_is_by_the_exact_value(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
     got = [r[0] for r in df.orderBy("i").select(money.one_digit(F.col("x"))).collect()]
     assert [g for g, x in zip(got, values, strict=True) if x >= 0] == [str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP)) for x in values if x >= 0]
+
+
+def test_party_prose_reads_a_text_once(spark):
+    """The size of the expression, which once grew with every use of an earlier step."""
+    b = F.create_map(F.lit("DEM"), F.lit(100.0), F.lit("REP"), F.lit(50.0))
+    plan = spark.range(1).select(political.party_prose(F.concat(F.lit("$"), F.col("id").cast("string")), b, F.lit(150.0)).alias("x")).select("x.verdict", "x.missing", "x.gap")
+    told = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("regexp_extract_all") == 1 and told.count("array_position") == 3
