@@ -44,10 +44,11 @@ def rotation(spark: SparkSession, d: str) -> DataFrame:
   SELECT l_suppkey, total, n, span, (SELECT string_agg(party || '=' || CAST(CAST(round(a) AS BIGINT) AS VARCHAR), ';' ORDER BY party) FROM p WHERE p.l_suppkey = w.l_suppkey) AS parties,
     coalesce((SELECT string_agg(form || '=' || CAST(f.n AS VARCHAR), ';' ORDER BY form) FROM f WHERE f.l_suppkey = w.l_suppkey), '') AS forms FROM w""")
 def contribution_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Total, sums by party, forms with their hits, and the span of days of every supplier, in one pass."""
+    """Total, sums by party, forms with their hits, and the span of days of every supplier, in one pass. Prices have cents: as decimals
+    their sums are exact in any order, also where a sum ends in half a dollar, which is rounded up."""
     line = F.col("l_linenumber")
     rows = table(spark, d, "lineitem").select(
-        "l_suppkey", F.when(line != 5, F.col("l_extendedprice")).alias("amount"), F.when(line != 6, F.col("l_returnflag")).alias("party"), F.when(line < 7, F.col("l_linestatus")).alias("form"), F.to_date("l_shipdate").alias("day"),
+        "l_suppkey", F.when(line != 5, F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"), F.when(line != 6, F.col("l_returnflag")).alias("party"), F.when(line < 7, F.col("l_linestatus")).alias("form"), F.to_date("l_shipdate").alias("day"),
     )
     told = totals.summary(rows, "l_suppkey", "amount", "party", "form", "day")
 

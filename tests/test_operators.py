@@ -375,3 +375,15 @@ def test_limits_duplicates_and_recomputation(spark, tmp_path):
     writer = events.recompute(stream, "user", lambda ids: ids.withColumn("n", F.lit(1)), lambda df, n: saved.update({n: {r.user for r in df.collect()}}))
     writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert set().union(*saved.values()) == {"u", "v"}
+
+
+def test_sums_that_end_in_half_a_dollar_do_not_depend_on_order(spark, tmp_path):
+    """Added up as doubles in the first order, these prices make 2023.4999999999998."""
+    from factloom.plans import registry
+
+    prices = [723.24, 335.61, 43.54, 883.26, 37.85]
+    rows = [(s, 1, p, "N", "F", dt.date(1995, 1, 4)) for s, order in ((1, prices), (2, prices[::-1])) for p in order]
+    path = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date").coalesce(1).write.parquet(path)
+    got = registry.QUERIES["contribution_totals"](spark, str(tmp_path)).orderBy("l_suppkey").collect()
+    assert [(r.total, r.parties) for r in got] == [(2023.5, "N=2024")] * 2
