@@ -127,7 +127,8 @@ _SUM = "CASE o_orderkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN o_totalprice WHEN 2 THEN
   SELECT o_orderkey, CASE WHEN v >= 1e9 THEN printf('$%.1fB', v / 1e9) WHEN v >= 1e6 THEN printf('$%.0fM', v / 1e6) WHEN v >= 1e3 THEN printf('$%.0fK', v / 1e3) WHEN v > 0 AND v = floor(v) THEN printf('$%.0f', v) WHEN v > 0 THEN printf('$%.2f', v) ELSE '' END AS card,
     CASE WHEN v >= 1e9 THEN printf('$%.1fB in foundation assets', v / 1e9) WHEN v >= 1e6 THEN printf('$%.0fM in foundation assets', v / 1e6) END AS chip FROM s""")
 def money_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Sums as cards and chips write them. Values that end in a half are left to neither engine's rounding: there are none."""
+    """Sums as cards and chips write them. An exact half, of which larger tables have some (2500.00), goes up, as in the reference;
+    the SQL's ``printf`` takes it to the even neighbour."""
     rows = table(spark, d, "orders").select("o_orderkey", F.expr(_SUM).alias("v"))
     return rows.select("o_orderkey", money.card_money(F.col("v")).alias("card"), money.assets_chip(F.col("v")).alias("chip"))
 

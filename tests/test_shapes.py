@@ -53,6 +53,11 @@ def test_money_in_words(one):
     assert one(money.assets_chip(F.lit(9e5))) is None
 
 
+def test_exact_halves_of_money_go_up(one):
+    """As ``toFixed`` rounds them; 2,500 and 4,500 are where half to even differs."""
+    assert [one(money.card_money(F.lit(x))) for x in (2500.0, 3500.0, 4500.0, 2499.99, 2.5e6)] == ["$3K", "$4K", "$5K", "$2K", "$3M"]
+
+
 def test_json_of_any_shape(one):
     assert [one(notes.json_scalar(F.lit(x).cast("string"))) for x in ('"a"', "1.5", "true", "null", "[1]", '{"a": 1}', "x", None)] == ["a", "1.5", "true", None, None, None, None, None]
 
