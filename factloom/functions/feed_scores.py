@@ -1,13 +1,14 @@
 """What a card of a feed is worth showing: topic, kind, tension, hedges, money, source, and the punch they make together.
 
-A word list holds beginnings of words; each entry counts once in a text, however often it occurs. Bodies are tried entry by
-entry only where one expression over all entries says that any occurs at all.
+A word list holds beginnings of words; each entry counts once in a text, however often it occurs. Texts are marked where words
+begin, once each, and entries are then looked for as plain strings, which costs far less than an expression an entry.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +31,34 @@ def _given(text: Column | None) -> Column:
     return F.lit("") if text is None else F.coalesce(text, F.lit(""))
 
 
-def _total(points: Iterable[Column]) -> Column:
-    """Sum of many columns, by an array: a chain of additions would be one method, too long to compile."""
-    return F.aggregate(F.array(*points), F.lit(0), lambda total, x: total + x)
+#: What stands before every word of a marked text. A text may hold it: before a word it says the same, elsewhere no entry has it.
+_MARK = "\u0001"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _points(title: Column, body: Column, patterns: Iterable[str], gate: str, in_title: int, in_body: int) -> Column:
-    """Sum over patterns: ``in_title`` for one in the title, else ``in_body`` for one in the body."""
-    listed = list(patterns)
-    head = _total(F.when(title.rlike(p), in_title).otherwise(0) for p in listed)
-    rest = _total(F.when(~title.rlike(p) & body.rlike(p), in_body).otherwise(0) for p in listed)
-    return F.when(title.rlike(gate), head).otherwise(0) + F.when(body.rlike(gate), rest).otherwise(0)
+def _marked(text: Column) -> Column:
+    """A text with A-Z lower-cased and a mark where each word begins."""
+    return F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"\b(?=\w)", _MARK)
+
+
+def _marked_terms(terms: Iterable[str]) -> Column:
+    """Array of entries, marked as texts are; each must begin with a letter or digit, as ``beginning`` needs a word there."""
+    return F.array(*[F.lit(re.sub(r"\b(?=\w)", _MARK, t.lower(), flags=re.ASCII)) for t in terms])
+
+
+def _named(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is worked out once: an array of one, transformed, is a name for its element."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def _both(title: Column, body: Column) -> Column:
+    return F.struct(_marked(title).alias("title"), _marked(body).alias("body"))
+
+
+def _points(x: Column, terms: Iterable[str], in_title: int, in_body: int) -> Column:
+    """Sum over entries: ``in_title`` for one in the marked title, else ``in_body`` for one in the marked body."""
+    worth = lambda t: F.when(F.contains(x["title"], t), in_title).when(F.contains(x["body"], t), in_body).otherwise(0)
+    return F.aggregate(_marked_terms(terms), F.lit(0), lambda total, t: total + worth(t))
 
 
 def plain_words(text: Column) -> Column:
@@ -56,12 +74,15 @@ def accountability(title: Column, body: Column | None = None) -> Column:
     """How much of a candidate is on topic: weighed words, double in the title, less four for a word of other subjects in the title
     and two in the body."""
     t, b = _given(title), _given(body)
-    total = F.lit(0)
-    for weight, terms in fixed.SIGNALS.values():
-        total = total + _points(t, b, map(beginning, terms), any_beginning(terms), 2 * weight, weight)
-    noise = [plain_term(x) for x in fixed.NOISE]
-    gate = f"{any_beginning(noise)}|{TICKER}"
-    return total - _points(plain_words(t), plain_words(b), [*map(beginning, noise), TICKER], gate, 4, 2)
+
+    def signals(x: Column) -> Column:
+        return reduce(lambda total, points: total + points, [_points(x, terms, 2 * weight, weight) for weight, terms in fixed.SIGNALS.values()])
+
+    def noise(plain: Column) -> Column:
+        tickers = F.when(plain["title"].rlike(TICKER), 4).when(plain["body"].rlike(TICKER), 2).otherwise(0)
+        return tickers + _named(_both(plain["title"], plain["body"]), lambda x: _points(x, map(plain_term, fixed.NOISE), 4, 2))
+
+    return _named(_both(t, b), signals) - _named(F.struct(plain_words(t).alias("title"), plain_words(b).alias("body")), noise)
 
 
 def plain_term(term: str) -> str:
@@ -70,12 +91,14 @@ def plain_term(term: str) -> str:
 
 def _kind_of(text: Column) -> Column:
     """Kind with most weighed words; the first named of equals; null without any."""
-    scores = [(k, _total(F.when(text.rlike(beginning(t)), w).otherwise(0) for t in terms)) for k, (w, terms) in fixed.SIGNALS.items()]
-    # The largest (score, place from the end) names it.
-    n = len(scores)
-    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(n - i).alias("place"), F.lit(k).alias("kind")) for i, (k, s) in enumerate(scores)]))
-    some = text.rlike("|".join(any_beginning(terms) for _, terms in fixed.SIGNALS.values()))
-    return F.when(some, best["kind"])
+
+    def of(marked: Column) -> Column:
+        # The largest (score, place from the end) names it.
+        n = len(fixed.SIGNALS)
+        scores = [F.struct((_hits(marked, terms) * w).alias("score"), F.lit(n - i).alias("place"), F.lit(k).alias("kind")) for i, (k, (w, terms)) in enumerate(fixed.SIGNALS.items())]
+        return _named(F.array_max(F.array(*scores)), lambda best: F.when(best["score"] > 0, best["kind"]))
+
+    return _named(_marked(text), of)
 
 
 def candidate_kind(title: Column, body: Column | None = None) -> Column:
@@ -91,21 +114,25 @@ def kind_mix(candidates: DataFrame, kind_col: str = "kind") -> DataFrame:
     return counted.unionByName(zero).groupBy("kind").agg(F.sum("n").alias("n"))
 
 
-def _count(text: Column, terms: Iterable[str]) -> Column:
-    return _total(text.rlike(beginning(t)).cast("int") for t in terms)
+def _hits(marked: Column, terms: Iterable[str]) -> Column:
+    """How many entries a marked text has."""
+    return F.size(F.filter(_marked_terms(terms), lambda t: F.contains(marked, t)))
 
 
 def tension(headline: Column, summary: Column | None = None) -> Column:
     """Words of conflict: three points each in the headline, else one in the summary, three of each at most."""
-    h, s = _given(headline), _given(summary)
-    only_below = _total((~h.rlike(beginning(t)) & s.rlike(beginning(t))).cast("int") for t in fixed.TENSION)
-    below = F.when(s.rlike(any_beginning(fixed.TENSION)), F.least(only_below, F.lit(fixed.TENSION_CAP))).otherwise(0)
-    return F.least(_count(h, fixed.TENSION), F.lit(fixed.TENSION_CAP)) * fixed.TENSION_WEIGHT + below
+
+    def of(x: Column) -> Column:
+        only_below = F.size(F.filter(_marked_terms(fixed.TENSION), lambda t: ~F.contains(x["title"], t) & F.contains(x["body"], t)))
+        most = F.lit(fixed.TENSION_CAP)
+        return F.least(_hits(x["title"], fixed.TENSION), most) * fixed.TENSION_WEIGHT + F.least(only_below, most)
+
+    return _named(_both(_given(headline), _given(summary)), of)
 
 
 def hedge(headline: Column) -> Column:
     """Penalty for a headline that says what may be."""
-    return F.least(_count(_given(headline), fixed.HEDGES), F.lit(fixed.HEDGE_CAP)) * fixed.HEDGE_WEIGHT
+    return _named(_marked(_given(headline)), lambda x: F.least(_hits(x, fixed.HEDGES), F.lit(fixed.HEDGE_CAP)) * fixed.HEDGE_WEIGHT)
 
 
 def headline_sum(text: Column) -> Column:

@@ -39,8 +39,10 @@ _CARDS = f"cards AS ({_cards_sql(False)})"
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    """(card, headline, summary, source, url, created, published), one card a part."""
-    return spark.sql(_cards_sql(True).replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    """(card, headline, summary, source, url, created, published), one card a part. Parts are few bytes and much work each: their file
+    would be one task, so they are dealt out first."""
+    part = table(spark, d, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return spark.sql(_cards_sql(True).replace("FROM part", "FROM {part}"), part=part)
 
 
 def _has(column: str, pattern: str) -> str:
