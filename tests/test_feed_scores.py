@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import feed_scores as f
+from factloom.functions import feed_scores, fixed
 from factloom.operators import goals, resolve
 
 
@@ -98,3 +99,23 @@ def test_profile_articles_are_those_of_a_plain_loop(spark):
         want += [(person, a, i + 1) for i, (a, _) in enumerate(kept[:3])]
     got = sorted((r.person, r.article, r.place) for r in articles.profile_articles(given, people, most=3).collect())
     assert got == sorted(want) and len(got) > 4
+
+
+def test_entries_are_found_as_their_expressions_find_them(spark):
+    """Marked texts against one expression an entry."""
+    terms = sorted({*fixed.TENSION, *fixed.HEDGES, *[t for _, listed in fixed.SIGNALS.values() for t in listed], *map(feed_scores.plain_term, fixed.NOISE)})
+    odd = ["", "sues", "xsue", "_sue", "\u00e9sue", "\u0001sue", "a\u0001sue", "net \u0001worth", "NET WORTH falls", "net  worth", "\u212aelvin may ", "may", "may be", "tax-avoid tax avoid", "\u0130sues \u017fues", "donor-advised\nlobby"]
+    texts = odd + [f"x {t}y, {t.upper()}" for t in terms] + [f"x{t}" for t in terms]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = sum((F.col("t").rlike(feed_scores.beginning(t)).cast("int") for t in terms[1:]), F.col("t").rlike(feed_scores.beginning(terms[0])).cast("int"))
+    told = rows.select("t", feed_scores._hits(feed_scores._marked(F.col("t")), terms).alias("got"), want.alias("want"))
+    assert [r for r in told.collect() if r.got != r.want] == []
+
+
+def test_scores_use_few_expressions_and_many_tasks(spark):
+    from factloom.plans import registry
+
+    for name in ("accountability", "punch_score"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert plan.rdd.getNumPartitions() > 1
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < 40
