@@ -119,3 +119,11 @@ def test_scores_use_few_expressions_and_many_tasks(spark):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert plan.rdd.getNumPartitions() > 1
         assert plan._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < 40
+
+
+def test_goals_of_one_kind_are_judged_once(spark):
+    asked = spark.range(300).select(F.col("id").alias("goal"), F.when(F.col("id") % 2 == 0, F.array(L("Here"), L("There"))).otherwise(F.array(L("There"), L("Here"), L("Here"))).alias("places"), F.array(L("ships")).alias("fields"))
+    rows = spark.range(40).selectExpr("id AS person", "'Here' AS place", "array('ships', 'x') AS fields", "id / 1D AS billions", "CAST(NULL AS DOUBLE) AS score")
+    found = goals.matches(asked, rows, most=3, means=100.0)
+    assert "windowspecdefinition(kind" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.goal, r.place, r.person, r.points) for r in found.collect()) == [(g, i + 1, 39 - i, 3) for g in range(300) for i in range(3)]
