@@ -29,13 +29,19 @@ def _bounded(cards: int) -> None:
 
 
 def near_published(candidates: DataFrame, published: DataFrame) -> DataFrame:
-    """(key, near, score): the nearest published title of every candidate with one in doubt or above. Both have
+    """(key, near, score), stored: the nearest published title of every candidate with one in doubt or above. Both have
     (key, title); candidates of one token set are compared once."""
-    c = candidates.select("key", F.array_sort(event_signature(F.col("title"))).alias("tokens"))
-    p = published.select(F.array_sort(event_signature(F.col("title"))).alias("tokens"), "key").groupBy("tokens").agg(F.min("key").alias("key")).select("key", "tokens")
-    sets = c.groupBy("tokens").agg(F.min("key").alias("key")).select("key", "tokens")
-    best = best_match(sets, p, DOUBT).join(sets, F.col("left_key") == F.col("key")).select("tokens", F.col("right_key").alias("near"), "score")
-    return c.join(best, "tokens").select("key", "near", "score")
+
+    def titled(cards: DataFrame) -> DataFrame:
+        return cards.select("key", F.array_sort(event_signature(F.col("title"))).alias("tokens"))
+
+    def sets(titles: DataFrame) -> DataFrame:
+        return titles.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("key").alias("key")).select("key", "tokens").checkpoint()
+
+    c = titled(candidates).checkpoint()
+    own, p = sets(c), sets(titled(published))
+    best = best_match(own, p, DOUBT).join(own, F.col("left_key") == F.col("key")).select("tokens", F.col("right_key").alias("near"), "score")
+    return c.join(best, "tokens").select("key", "near", "score").checkpoint()
 
 
 def select_candidates(candidates: DataFrame, published: DataFrame, run: str = "run") -> DataFrame:

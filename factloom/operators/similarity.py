@@ -2,16 +2,22 @@
 
 Titles with equal token sets are one node: copies are never paired with each other, only with what is different. A set
 is compared on its rarest tokens first (two sets with Jaccard of at least t share a token among the first
-n - ceil(t n) + 1 of each), so that common words don't bring everything together.
+n - ceil(t n) + 1 of each), so that common words don't bring everything together. Best matches need no pairs of sets at all: sets meet
+in subsets that they share, of which each keeps only the best set that holds it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import jaccard
 
+#: Tokens of a set whose subsets are listed, at most; larger sets meet by prefixes.
+LISTED = 12
+#: Pairs of places that one long has bits for: those of the first eleven places.
+_LOW = 55
+
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
     """(key, token, n, i): the rarest tokens of each set, as many as the threshold asks for, their places and the set's size."""
@@ -40,10 +46,61 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return jaccard_join(sets, sets, threshold).where("left_key < right_key").select(F.col("left_key").alias("a"), F.col("right_key").alias("b"), "score")
 
 
+def _shift(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", x, bits.cast("int"))
+
+
+def _pairs(sets: DataFrame) -> DataFrame:
+    """(key, pair, at): a hash of every two tokens of a set, and the number of their places i < j, j (j - 1) / 2 + i."""
+
+    def later(x: Column, i: Column) -> Column:
+        return F.transform(F.slice("h", i + 2, F.size("h")), lambda y, k: F.struct(x.bitwiseXOR(y).alias("pair"), (F.floor((i + k + 1) * (i + k) / 2) + i).cast("int").alias("at")))
+
+    hashed = sets.select("key", F.transform("tokens", lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.select("key", F.explode(F.flatten(F.transform("h", later))).alias("p")).select("key", "p.pair", "p.at")
+
+
+def _subsets(sets: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, shared, x, y): the subsets of each set that can be what it shares with one of ``others``, by 128 bits: those with as
+    many tokens as the threshold asks for at least, and no two that none of the others has both."""
+    met = _pairs(sets).join(_pairs(others).select("pair").distinct(), "pair", "left_semi")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    low = F.bit_or(F.when(F.col("at") < _LOW, _shift(one, F.col("at"))).otherwise(none)).alias("low")
+    high = F.bit_or(F.when(F.col("at") >= _LOW, _shift(one, F.col("at") - _LOW)).otherwise(none)).alias("high")
+    known = sets.join(met.groupBy("key").agg(low, high), "key", "left")
+
+    def place(w: Column, j: Column) -> Column:
+        # Of the places before j those whose tokens another set has together with this one.
+        first = F.floor(j * (j - 1) / 2).cast("int")
+        bits = F.when(j <= 10, F.call_function("shiftright", F.coalesce("low", none), first)).otherwise(F.coalesce("high", none))
+        return F.struct(F.xxhash64(w).alias("x"), F.xxhash64(F.lit(1), w).alias("y"), _shift(one, j).alias("bit"), bits.bitwiseAND(_shift(one, j) - 1).alias("beside"))
+
+    def grown(listed: Column, p: Column) -> Column:
+        fit = F.filter(listed, lambda s: s["at"].bitwiseAND(p["beside"]) == s["at"])
+        return F.concat(listed, F.transform(fit, lambda s: F.struct(s["x"].bitwiseXOR(p["x"]).alias("x"), s["y"].bitwiseXOR(p["y"]).alias("y"), s["at"].bitwiseOR(p["bit"]).alias("at"))))
+
+    empty = F.array(F.struct(none.alias("x"), none.alias("y"), none.alias("at")))
+    every = known.select("key", F.size("tokens").alias("n"), F.transform("tokens", place).alias("places"))
+    listed = every.select("key", "n", F.explode(F.aggregate("places", empty, grown)).alias("s")).select("key", "n", F.bit_count("s.at").alias("shared"), "s.x", "s.y")
+    return listed.where((F.col("shared") > 0) & (F.col("shared") >= threshold * F.col("n") - 1e-9))
+
+
 def best_match(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """For every left key its most similar right key; ties go to the lower key; keys without a match are missing."""
-    pairs = jaccard_join(left, right, threshold)
-    best = pairs.groupBy("left_key").agg(F.max(F.struct("score", (-F.col("right_key")).alias("down"))).alias("best"))
+    """For every left key its most similar right key; ties go to the lower key; keys without a match are missing. Of the right sets that
+    hold a subset of a left set the smallest is the most similar for all that the subset says; for the subset that is all they share that is
+    their similarity. So one right set a subset is enough, and rows grow with the sets, not with the pairs. Tables are read several times."""
+    size = F.size("tokens")
+    short, few = left.where(size <= LISTED), right.where(size <= LISTED)
+    least = _subsets(few, short, threshold).groupBy("x", "y").agg(F.min(F.struct("n", "key")).alias("least"))
+    n, m, shared = F.col("n"), F.col("least.n"), F.col("shared")
+    met = _subsets(short, few, threshold).join(least, ["x", "y"]).select(F.col("key").alias("left_key"), F.col("least.key").alias("right_key"), (shared / (n + m - shared)).alias("score"))
+    found = met.where(F.col("score") >= threshold)
+    long, many = left.where(size > LISTED), right.where(size > LISTED)
+    if not long.isEmpty():
+        found = found.union(jaccard_join(long, right, threshold))
+    if not many.isEmpty():
+        found = found.union(jaccard_join(short, many, threshold))
+    best = found.groupBy("left_key").agg(F.max(F.struct("score", (-F.col("right_key")).alias("down"))).alias("best"))
     return best.select("left_key", (-F.col("best.down")).alias("right_key"), F.col("best.score").alias("score"))
 
 

@@ -49,7 +49,8 @@ def endowment_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 def _stories(spark: SparkSession, d: str) -> DataFrame:
     """Documents as cards, their first twelve words as titles: copies among them tell of one event. Every fifth is published already."""
-    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
+    # The rest of the text stays in one piece.
+    title = F.array_join(F.slice(F.split("text", r"\s+", 13), 1, 12), " ")
     key = F.col("doc_id")
     return table(spark, d, "documents").select(key.alias("key"), title.alias("title"), (key % 40).alias("person"), key.alias("rank"), F.floor(key / 100).alias("run"), (key % 5 == 0).alias("published"), F.length("text").alias("size"))
 
@@ -57,6 +58,7 @@ def _stories(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def candidate_selection(spark: SparkSession, d: str) -> DataFrame:
     """Twenty a run at most; what was accepted before decides, so there is no SQL. Tests hold a plain loop."""
+    checkpoint_folder(spark)
     cards = _stories(spark, d)
     return feed.select_candidates(cards.where("NOT published").drop("published", "size"), cards.where("published").select("key", "title"))
 

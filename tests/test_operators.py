@@ -1,6 +1,7 @@
 """Operators on small tables, against plain loops and by their laws. All names are invented."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -387,3 +388,25 @@ def test_sums_that_end_in_half_a_dollar_do_not_depend_on_order(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date").coalesce(1).write.parquet(path)
     got = registry.QUERIES["contribution_totals"](spark, str(tmp_path)).orderBy("l_suppkey").collect()
     assert [(r.total, r.parties) for r in got] == [(2023.5, "N=2024")] * 2
+
+
+def test_best_matches_are_found_without_pairs(spark, monkeypatch):
+    """Sets of few and many tokens, copies, one token that all have: against all pairs."""
+    rng = random.Random(5)
+    sets = [frozenset([*rng.sample(range(30), rng.randint(0, 9)), "all"]) for _ in range(120)] + [frozenset(), frozenset({"all"}), frozenset(range(13)), frozenset(range(14))]
+    sets += sets[:9] + sets[-3:]
+    df = spark.createDataFrame([(k, [str(w) for w in s]) for k, s in enumerate(sets)], "key long, tokens array<string>")
+    left, right = df.where("key % 2 = 0"), df.where("key % 2 = 1")
+    own = [frozenset(map(str, s)) for s in sets]
+    for t, listed in ((0.2, 12), (0.5, 12), (1.0, 12), (0.2, 5)):
+        monkeypatch.setattr(similarity, "LISTED", listed)
+        want = {}
+        for i in range(0, len(own), 2):
+            scored = [(len(own[i] & own[j]) / len(own[i] | own[j]), -j) for j in range(1, len(own), 2) if own[i] and own[j]]
+            if max(scored, default=(0,))[0] >= t:
+                want[i] = (-max(scored)[1], max(scored)[0])
+        assert {r.left_key: (r.right_key, r.score) for r in similarity.best_match(left, right, t).collect()} == want
+    monkeypatch.setattr(similarity, "jaccard_join", None)  # sets of few tokens never meet in pairs
+    monkeypatch.setattr(similarity, "LISTED", 12)
+    few = df.where("size(tokens) <= 12")
+    assert similarity.best_match(few.where("key % 2 = 0"), few.where("key % 2 = 1"), 0.2).count() > 50
